@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import tokens
+from lumenframe.llm import packing, tokens, warc
 
 QUERIES = {
+    "op3_retrieval_packing": packing.op3_retrieval_packing,
+    "op5_warc": warc.op5_warc,
     "op10_token_parquet": tokens.op10_token_parquet,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_warc": warc.OP5_SQL,
+}
