@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import packing, tokens, warc
+from lumenframe.llm import langid, packing, tokens, warc
 
 QUERIES = {
+    "op1_langid": langid.op1_langid,
     "op3_retrieval_packing": packing.op3_retrieval_packing,
     "op5_warc": warc.op5_warc,
     "op10_token_parquet": tokens.op10_token_parquet,
