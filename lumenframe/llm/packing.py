@@ -32,8 +32,8 @@ def token_table(docs: DataFrame, tokenizer: str, kind: str, end_id: int) -> Data
         mixed = (np.arange(vocab, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
         for b in batches:
             blobs, route, n = [], [], []
-            for t in b.column("text").to_pylist():
-                blobs.append(enc.ids(t) + end)
+            for x in enc.many(b.column("text").to_pylist()):
+                blobs.append(x + end)
                 ids = np.frombuffer(blobs[-1], enc.dtype)
                 seen = np.zeros(vocab, bool)
                 seen[ids] = True

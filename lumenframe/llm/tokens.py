@@ -1,18 +1,22 @@
 """Token ids by the ``tokenizers`` library, and a Parquet format of them.
 
-Both vocabularies used here never merge across white space, so a text's ids are the ids of its
-white-space pieces one after another. Pieces repeat: each distinct one is encoded by the library once
-and remembered. A text for which the split could differ from the library's (control characters that
-only Python takes for white space) is encoded whole. ``tests/llm`` holds the two ways against each other.
+Both vocabularies used here never merge across white space, nor across the parts that their own patterns cut, so a
+text's ids are those of its parts one after another. Parts repeat: each distinct one is encoded by the library once and
+remembered (white-space pieces first, the parts of new pieces next). Pieces with other than Latin letters, and texts
+with control characters that only Python takes for white space, go through the library's whole chain of steps.
+``tests/llm`` holds the two ways against each other.
 """
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,43 +25,111 @@ from lumenframe.llm.common import partitions, ready, scratch
 #: Python takes these for white space, the library doesn't.
 ODD = re.compile(r"[\x1c-\x1f]")
 BYTE_PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
+#: Letters whose classes and lower case are the same in every Unicode version, and which no normal form changes.
+PLAIN = re.compile("[\0-\u012f\u0131-\u024f]*").fullmatch
+#: A mark that stands alone as a part after a word.
+MARKS = tuple(".,;:!?)")
+#: The patterns of the two vocabularies' own files.
+BYTE_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+WORD_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
 
 
 class Encoder:
-    """ids(text) -> bytes of little-endian unsigned 16- or 32-bit ids. kind: 'byte' keeps white space, 'word' drops it."""
+    """ids(text) -> bytes of little-endian unsigned 16- or 32-bit ids. kind: 'byte' keeps white space, 'word' drops it and case.
+
+    At most ``most`` pieces and as many parts are remembered; then the newer half goes (frequent ones come early)."""
 
     def __init__(self, path: str, kind: str, most: int = 400_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = self.bare.encode_special_tokens = True
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 65536 else "<u4")
-        self.pieces = BYTE_PIECES if kind == "byte" else str.split
+        self.word = kind == "word"
+        self.pieces, self.parts = (str.split, WORD_PARTS) if self.word else (BYTE_PIECES, BYTE_PARTS)
         self.cache: dict[str, bytes] = {}
+        self.part_cache: dict[str, bytes] = {}
         self.most = most
 
-    def _learn(self, pieces: list[str]) -> None:
-        for i in range(0, len(pieces), 4096):
-            part = pieces[i : i + 4096]
-            for p, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[p] = np.array(e.ids, self.dtype).tobytes()
+    def _run(self, tok, pieces: list[str], into: dict[str, bytes]) -> None:
+        for i in range(0, len(pieces), 20_000):
+            part = pieces[i : i + 20_000]
+            got = [e.ids for e in tok.encode_batch_fast(part, add_special_tokens=False)]
+            at = np.concatenate([[0], np.cumsum([*map(len, got)])]) * self.dtype.itemsize
+            blob, at = np.fromiter(chain.from_iterable(got), self.dtype, int(at[-1]) // self.dtype.itemsize).tobytes(), at.tolist()
+            into.update(zip(part, (blob[a:z] for a, z in zip(at, at[1:]))))
+
+    def _shrink(self, cache: dict) -> dict:
+        return dict(islice(cache.items(), self.most // 2)) if len(cache) > self.most else cache
+
+    def _learn(self, new: list[str], seen: dict[str, bytes]) -> None:
+        """Put the ids of ``new`` pieces into ``seen`` and the cache."""
+        whole, cut = [], []
+        word, parts = self.word, self.parts
+        for p in new:
+            if not (p.isascii() or PLAIN(p)):
+                whole.append(p)
+                continue
+            body = p.lower() if word else p
+            core = body if word or body[0] != " " else body[1:]
+            if core.isalpha():  # most words: one part, or one and a mark
+                cut.append((p, (body,)))
+            elif core[-1:] in MARKS and core[:-1].isalpha():
+                cut.append((p, (body[:-1], body[-1])))
+            else:
+                cut.append((p, parts(body)))
+        missing = list({x for _, xs in cut for x in xs}.difference(self.part_cache))
+        self._run(self.bare, missing, self.part_cache)
+        get = self.part_cache.__getitem__
+        for p, xs in cut:
+            seen[p] = get(xs[0]) if len(xs) == 1 else b"".join(map(get, xs))
+        self._run(self.tok, whole, seen)
+        self.part_cache = self._shrink(self.part_cache)
+        self.cache.update(seen)
+        self.cache = self._shrink(self.cache)
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        gc.disable()  # only lists and strings here: nothing that could form a cycle
+        try:
+            out: list[bytes] = []
+            held: list[tuple] = []  # (place, pieces, ids) of texts with pieces that aren't known yet
+            new: set[str] = set()
+            for t in texts:
+                if not t:
+                    out.append(b"")
+                elif ODD.search(t):
+                    out.append(np.array(self.tok.encode(t, add_special_tokens=False).ids, self.dtype).tobytes())
+                else:
+                    pieces = self.pieces(t)
+                    ids = list(map(self.cache.get, pieces))
+                    if None in ids:
+                        new.update([p for p, x in zip(pieces, ids) if x is None])
+                        held.append((len(out), pieces, ids))
+                        out.append(b"")
+                        if len(new) > 20_000:
+                            self._fill(out, held, new)
+                    else:
+                        out.append(b"".join(ids))
+            self._fill(out, held, new)
+            return out
+        finally:
+            gc.enable()
+
+    def _fill(self, out: list[bytes], held: list[tuple], new: set[str]) -> None:
+        seen: dict[str, bytes] = {}
+        self._learn(list(new), seen)
+        for i, pieces, ids in held:
+            out[i] = b"".join([seen[p] if x is None else x for p, x in zip(pieces, ids)])
+        held.clear()
+        new.clear()
 
     def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if ODD.search(text):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        pieces = self.pieces(text)
-        new = set(pieces).difference(self.cache)
-        if new:
-            if len(self.cache) + len(new) > self.most:
-                self.cache.clear()
-                new = set(pieces)
-            self._learn(sorted(new))
-        return b"".join(map(self.cache.__getitem__, pieces))
+        return self.many([text])[0]
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -88,7 +160,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, kind: str = "word",
         enc, part, seen = encoder(tokenizer, kind), TaskContext.get().partitionId(), 0
         end = np.array([end_id], enc.dtype).tobytes()
         for b in batches:
-            blobs = [enc.ids(t) + end for t in b.column("text").to_pylist()]
+            blobs = [x + end for x in enc.many(b.column("text").to_pylist())]
             sizes = np.array([len(x) // enc.dtype.itemsize for x in blobs], np.int64)
             at = np.concatenate([[0], np.cumsum(sizes)])
             ids = np.frombuffer(b"".join(blobs), enc.dtype).astype(np.int32)
