@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import langid, packing, tokens, toxicity, warc
+from lumenframe.llm import chunking, langid, packing, tokens, toxicity, warc
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op3_retrieval_packing": packing.op3_retrieval_packing,
     "op5_warc": warc.op5_warc,
+    "op7_chunk_fingerprints": chunking.op7_chunk_fingerprints,
     "op8_toxicity": toxicity.op8_toxicity,
     "op10_token_parquet": tokens.op10_token_parquet,
 }
