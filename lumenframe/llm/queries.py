@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import chunking, langid, packing, tokens, toxicity, warc
+from lumenframe.llm import chunking, langid, packing, substrings, tokens, toxicity, warc
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op3_retrieval_packing": packing.op3_retrieval_packing,
+    "op4_substring_dedup": substrings.op4_substring_dedup,
     "op5_warc": warc.op5_warc,
     "op7_chunk_fingerprints": chunking.op7_chunk_fingerprints,
     "op8_toxicity": toxicity.op8_toxicity,
@@ -14,5 +15,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_substring_dedup": substrings.OP4_SQL,
     "op5_warc": warc.OP5_SQL,
 }
