@@ -68,7 +68,7 @@ def corpus_terms(tokens: DataFrame, dtype, vocab: int) -> tuple[np.ndarray, int,
 class Shard:
     """A BM25 index of some documents; rank(seed) gives the others by falling score, best first, those without a shared query term left out."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, query_terms: int = 24, block_cells: int = 4_000_000):
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, query_terms: int = 24):
         self.n, rows, terms, tfs = len(docs), [], [], []
         for i, ids in enumerate(docs):
             t, tf = np.unique(ids, return_counts=True)
@@ -89,27 +89,13 @@ class Shard:
         by = np.argsort(term, kind="stable")
         self.post_doc, self.post_w = row[by], w[by]
         self.post_at = np.concatenate([[0], np.cumsum(in_shard)])
-        self.block_cells, self.block, self.scores = block_cells, (0, 0), None
-
-    def _score(self, start: int) -> None:
-        """Scores of the next seeds at once: as many as keep the gathered postings and the score cells bounded."""
-        long = (self.post_at[self.ask_term + 1] - self.post_at[self.ask_term]).astype(np.int64)
-        a = self.ask_at[start]
-        grown = np.cumsum(long[a:])[self.ask_at[start + 1 :] - a - 1] if len(long) > a else np.zeros(self.n - start, np.int64)
-        cells = max(1, self.block_cells // self.n)
-        stop = start + max(1, min(int(np.searchsorted(grown, self.block_cells)), cells))
-        z = self.ask_at[min(stop, self.n)]
-        n, at = long[a:z], self.post_at[self.ask_term[a:z]]
-        pos = np.repeat(at - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else at, n) + np.arange(n.sum())
-        cell = np.repeat(self.ask_row[a:z].astype(np.int64) - start, n) * self.n + self.post_doc[pos]
-        stop = min(stop, self.n)
-        self.scores = np.bincount(cell, self.post_w[pos], minlength=(stop - start) * self.n).reshape(stop - start, self.n)
-        self.block = (start, stop)
 
     def rank(self, seed: int) -> np.ndarray:
-        if not self.block[0] <= seed < self.block[1]:
-            self._score(seed)
-        s = self.scores[seed - self.block[0]]
+        a, z = self.ask_at[seed], self.ask_at[seed + 1]
+        if a == z:
+            return np.zeros(0, np.int64)
+        spans = [slice(self.post_at[t], self.post_at[t + 1]) for t in self.ask_term[a:z]]
+        s = np.bincount(np.concatenate([self.post_doc[x] for x in spans]), np.concatenate([self.post_w[x] for x in spans]), minlength=self.n)
         s[seed] = 0
         some = np.nonzero(s > 0)[0]
         return some[np.argsort(-s[some], kind="stable")]
@@ -134,15 +120,15 @@ def chain(shard: Shard, sizes: np.ndarray, window: int, room: int):
                 room -= int(sizes[seed])
             if room <= 0:
                 room += window * math.ceil((1 - room) / window)
-            for d in shard.rank(seed):
-                if unused[d]:
-                    unused[d] = False
-                    yield d
-                    room -= int(sizes[d])
-                    if room <= 0:  # cut here: it seeds the next window
-                        room += window * math.ceil((1 - room) / window)
-                        seed, fresh = int(d), True
-                        break
+            near = shard.rank(seed)
+            for d in near[unused[near]].tolist():
+                unused[d] = False
+                yield d
+                room -= int(sizes[d])
+                if room <= 0:  # cut here: it seeds the next window
+                    room += window * math.ceil((1 - room) / window)
+                    seed, fresh = d, True
+                    break
 
 
 def pack(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 1, window: int = 2048, shard_docs: int = 1024, query_terms: int = 24) -> DataFrame:
