@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import chunking, langid, packing, substrings, tokens, toxicity, warc
+from lumenframe.llm import chunking, langid, neardup, packing, substrings, tokens, toxicity, warc
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_warc": warc.op5_warc,
     "op7_chunk_fingerprints": chunking.op7_chunk_fingerprints,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_icws_neardup": neardup.op9_icws_neardup,
     "op10_token_parquet": tokens.op10_token_parquet,
 }
 
