@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import chunking, langid, neardup, packing, substrings, tokens, toxicity, warc
+from lumenframe.llm import chunking, decontam, langid, neardup, packing, substrings, tokens, toxicity, warc
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op3_retrieval_packing": packing.op3_retrieval_packing,
     "op4_substring_dedup": substrings.op4_substring_dedup,
     "op5_warc": warc.op5_warc,
+    "op6_lsi_decontam": decontam.op6_lsi_decontam,
     "op7_chunk_fingerprints": chunking.op7_chunk_fingerprints,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_icws_neardup": neardup.op9_icws_neardup,
