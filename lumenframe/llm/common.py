@@ -12,12 +12,13 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch: some MB of text at usual lengths, so a worker's memory stays small.
-BATCH_ROWS = 512
+BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
     """Ship this package to the executors and bound their Arrow batches; call it before any Python operator."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_lumenframe_zip", None) is None:
         top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
