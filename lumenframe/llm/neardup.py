@@ -5,10 +5,11 @@ the shingle's words (counted over all documents). Weighted samples agree with th
 similarity; bands of samples propose, the similarity itself decides: a pair is linked if its weighted similarity is high enough, or its
 plain one (the weights of rare words could else part texts of which the usual measure says that they are close).
 
-Texts that are equal are one node. In a bucket every node is compared with one hub, not with each other. Nodes that
-the hub doesn't settle go on: 1 - similarity is a metric (for either measure), so two nodes that are within 0.2 of each other, one within
-0.2 of the hub and one not, differ by at most 0.2 in their distance to it; all others need no further look. What is left
-is compared exactly in small groups (pairs that links already join are skipped), or with the next hub where it is large.
+Texts that are equal are one node. In a bucket every node is compared with one hub, not with each other. Buckets in
+which the links found so far leave several classes are looked at again: documents outside the largest class are
+compared with all others of the bucket that they aren't joined to yet, in one task where the bucket is small, by one
+more hub at a time where it is large. So no two documents of a bucket stay apart without having been compared with
+each other, or with what joins them.
 """
 
 from __future__ import annotations
@@ -167,48 +168,50 @@ def star(pairs: DataFrame, texts: DataFrame, idf, salt_rows: int = 500) -> DataF
 
 
 def small_groups(groups: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
-    """Links (doc_id, hub, sim) within groups (gid, doc_id) of bounded size: pairs that links already join are skipped."""
+    """Links within groups (gid, doc_id, label) of bounded size, between documents that no link joins so far (label: their class)."""
     spark = groups.sparkSession
 
-    def settle(ids: list[int], vectors: list, out: list) -> None:
-        root = list(range(len(ids)))
-
-        def find(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        far = None  # similarities to the first: those of a close pair differ by at most 1 - least
-        for i in range(len(ids)):
-            d = []
-            for j in range(i + 1, len(ids)):
-                if i and (find(i) == find(j) or min(abs(far[i][0] - far[j][0]), abs(far[i][1] - far[j][1])) > 1 - least + 1e-9):
+    def settle(ids: list[int], labels: list[int], read: list, out: list) -> None:
+        root: dict = {x: x for x in labels}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        largest = max(root, key=labels.count) if labels else None
+        vectors: dict = {}
+        few = [i for i, x in enumerate(labels) if x != largest]
+        for i in few:  # each against all others, until it is of one class with them
+            for j in range(len(ids)):
+                if find(labels[i]) == find(labels[j]) or (labels[j] != largest and j < i):
                     continue
+                for k in (i, j):
+                    if k not in vectors:
+                        vectors[k] = read(k)
                 s = similarity(vectors[i], vectors[j])
-                d.append(s)
                 if max(s) >= least:
-                    out.append((ids[j], ids[i], *s))
-                    root[find(j)] = find(i)
-            if i == 0:
-                far = [(1.0, 1.0), *d]
+                    out.append((max(ids[i], ids[j]), min(ids[i], ids[j]), *s))
+                    root[find(labels[i])] = find(labels[j])
 
     def run(batches):
-        shingles, now, ids, vectors = Shingles(idf.value), None, [], []
+        shingles, now, ids, labels, held = Shingles(idf.value), None, [], [], []
         for b in batches:
             out: list = []
-            for g, d, t in zip(*(b.column(c).to_pylist() for c in ("gid", "doc_id", "text"))):
+            for g, d, x, t in zip(*(b.column(c).to_pylist() for c in ("gid", "doc_id", "label", "text"))):
                 if g != now:
-                    settle(ids, vectors, out)
-                    now, ids, vectors = g, [], []
+                    settle(ids, labels, lambda k: shingles(held[k]), out)
+                    now, ids, labels, held = g, [], [], []
                 ids.append(d)
-                vectors.append(shingles(t))
+                labels.append(x)
+                held.append(t)
             yield _links(out)
         out = []
-        settle(ids, vectors, out)
+        settle(ids, labels, lambda k: shingles(held[k]), out)
         yield _links(out)
 
-    rows = groups.join(texts, "doc_id").select("gid", "doc_id", "text").repartition(partitions(spark), "gid").sortWithinPartitions("gid", "doc_id")
+    rows = groups.join(texts, "doc_id").select("gid", "doc_id", "label", "text").repartition(partitions(spark), "gid").sortWithinPartitions("gid", "doc_id")
     return rows.mapInArrow(run, LINKS)
 
 
@@ -219,34 +222,38 @@ def _links(out: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["doc_id", "hub", "sim", "plain"])
 
 
-def links(docs: DataFrame, reps: DataFrame, idf, least: float = LEAST_SIMILARITY, small: int = 500) -> DataFrame:
-    """All links the bands propose between texts that differ, as (doc_id, hub) with sim of at least ``least``; enough of them to join what belongs together."""
-    slack = 1 - least
+def links(docs: DataFrame, reps: DataFrame, idf, least: float = LEAST_SIMILARITY, small: int = 3000) -> DataFrame:
+    """Links the bands propose between texts that differ, as (doc_id, hub, sim, plain): enough of them to join all that belongs together.
+
+    First every document of a bucket against one hub. Then only buckets that still hold several classes: small ones
+    exactly in one task, large ones against one more document outside the first class at a time, until none is left."""
     members = reps.select("doc_id", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub")).where("n > 1")
-    members = saved(members.join(shared.hint("merge"), "band").select("band", "doc_id", "hub"), "near-members")
+    members = saved(members.join(shared.hint("merge"), "band").select("band", "doc_id", "hub", "n"), "near-members")
     ids = members.select("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    texts = saved(texts.join(ids, "doc_id", "left_semi"), "near-texts")
-    out = None
+    texts = saved(texts.join(ids.hint("merge"), "doc_id", "left_semi"), "near-texts")
+    found = saved(star(members.where("doc_id <> hub").select("doc_id", "hub").distinct(), texts, idf), "near-stars").where(F.greatest("sim", "plain") >= least)
+    tried = None
     while True:
-        # one hub a bucket; the same pair from several bands is compared once
-        found = saved(star(members.where("doc_id <> hub").select("doc_id", "hub").distinct(), texts, idf), "near-stars")
-        linked = found.where(F.greatest("sim", "plain") >= least)
-        out = linked if out is None else out.unionByName(linked)
-        far = F.greatest("sim", "plain") < least
-        with_sim = members.where("doc_id <> hub").join(found, ["doc_id", "hub"])
-        near = with_sim.where(far).groupBy("band").agg(F.max("sim").alias("s"), F.max("plain").alias("p"))
-        # the hub is done. A linked document stays only where an unlinked one may be close to it
-        stays = far | (F.col("sim") <= F.col("s") + slack + 1e-9) | (F.col("plain") <= F.col("p") + slack + 1e-9)
-        rest = saved(with_sim.join(near, "band").where(stays).select("band", "doc_id", F.when(far, F.col("doc_id")).alias("open")), "near-rest")
-        sizes = rest.groupBy("band").agg(F.count("*").alias("n"), F.min("open").alias("hub")).where("n > 1")
-        few = rest.join(sizes.where(F.col("n") <= small), "band").groupBy("band").agg(F.sort_array(F.collect_set("doc_id")).alias("ids")).select("ids").distinct()
-        groups = few.select(F.xxhash64("ids").alias("gid"), F.explode("ids").alias("doc_id"))
-        out = out.unionByName(saved(small_groups(groups, texts, idf, least), "near-small"))
-        members = saved(rest.join(sizes.where(F.col("n") > small), "band").select("band", "doc_id", "hub"), "near-members")
-        if members.isEmpty():
-            return out
+        label = components(found)
+        rows = members.join(label, "doc_id", "left").select("band", "n", "doc_id", F.coalesce("class_id", "doc_id").alias("label"))
+        rows = saved(rows, "near-labels")
+        mixed_bands = rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "lo")
+        rest = saved(rows.join(mixed_bands, "band"), "near-rest")
+        if tried is None:
+            same = rest.where(F.col("n") <= small).groupBy("band").agg(F.sort_array(F.collect_list(F.struct("doc_id", "label"))).alias("m")).select("m").distinct()
+            groups = same.select(F.xxhash64("m").alias("gid"), F.explode("m").alias("x")).select("gid", "x.doc_id", "x.label")
+            found = found.unionByName(saved(small_groups(groups, texts, idf, least), "near-small"))
+        rest = rest.where(F.col("n") > small)
+        left = rest.where("label <> lo") if tried is None else rest.where("label <> lo").join(tried, ["band", "doc_id"], "left_anti")
+        hubs = saved(left.groupBy("band").agg(F.min(F.struct("doc_id", "label")).alias("h")).select("band", F.col("h.doc_id").alias("doc_id"), F.col("h.label").alias("hub_label")), "near-hubs")
+        if hubs.isEmpty():
+            return found
+        tried = hubs.select("band", "doc_id") if tried is None else tried.unionByName(hubs.select("band", "doc_id"))
+        pairs = rest.join(hubs.withColumnRenamed("doc_id", "hub"), "band").where("label <> hub_label").select("doc_id", "hub").distinct()
+        found = found.unionByName(saved(star(pairs, texts, idf), "near-stars").where(F.greatest("sim", "plain") >= least))
+        members = members.where(F.col("n") > small)
 
 
 def components(edges: DataFrame) -> DataFrame:
