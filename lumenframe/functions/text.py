@@ -103,7 +103,7 @@ def title_variants(title) -> Column:
     """The text outside brackets, then each bracketed part; blank and repeated ones dropped."""
     c = col(title)
     outside = F.trim(F.regexp_replace(F.regexp_replace(c, r"\([^()]*\)|\[[^\[\]]*\]", " "), r"\s+", " "))
-    inside = F.transform(F.regexp_extract_all(c, F.lit(r"[(\[]([^()\[\]]*)[)\]]"), F.lit(1)), F.trim)
+    inside = F.transform(F.regexp_extract_all(c, F.lit(r"[(\[]([^()\[\]]*)[)\]]"), F.lit(1)), lambda x: F.trim(x))
     return F.array_distinct(F.filter(F.concat(F.array(outside), inside), lambda x: x != ""))
 
 
@@ -190,7 +190,7 @@ def format_size(size) -> Column:
     s = col(size).cast("double")
     units = ["B", "KB", "MB", "GB", "TB"]
     out = F.lit(None)
-    for i in reversed(range(len(units))):
+    for i in range(len(units)):
         v = s / float(1024**i)
         text = F.when((v < 10) & F.lit(i > 0), F.replace(F.format_string("%.1f", v), F.lit("."), F.lit(","))).otherwise(F.format_string("%.0f", v))
         out = F.when(s >= float(1024**i) if i else F.lit(True), F.concat(text, F.lit(" " + units[i]))).otherwise(out)

@@ -73,7 +73,7 @@ def suggestions(movies: DataFrame, view: DataFrame, q: str, near: str = "", limi
 def collection_path(dir_col: str):
     """The path through the child of the first folder named 'collections' (any case), null if there is none."""
     parts = F.split(F.col(dir_col), "/")
-    at = F.array_position(F.transform(parts, F.lower), "collections")
+    at = F.array_position(F.transform(parts, lambda x: F.lower(x)), "collections")
     return F.when((at > 0) & (F.size(parts) > at), F.array_join(F.slice(parts, F.lit(1), (at + 1).cast("int")), "/"))
 
 

@@ -15,7 +15,7 @@ MIB = 1 << 20
 
 
 def walk(spark: SparkSession, root: str) -> DataFrame:
-    """path, size, mtime (ms), kind of the stored files under ``root``; dot folders are skipped. File contents aren't read."""
+    """path, size, mtime (ms), kind of the stored files under ``root``; dot folders are skipped. File contents aren't read; Spark's file source doesn't list empty files."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
     # binaryFile skips names that begin with '_' or '.' itself; dot folders further up are cut here
     path = F.regexp_replace("path", "^file:/+", "/")
