@@ -210,9 +210,9 @@ def removed(docs: DataFrame, spans: DataFrame, window: int = WINDOW, texts: bool
     ready(docs.sparkSession)
     names = docs.columns
     rows = docs.withColumn("_key", F.xxhash64(F.col("doc_id"), F.col("text").cast("string"))).withColumn("_id", F.col("doc_id").cast("long"))
-    joined = rows.join(spans.select(F.col("doc_id").alias("_id2"), F.col("key").alias("_key2"), "spans"), F.expr("_id = _id2 and _key = _key2"), "left").drop("_key", "_key2", "_id", "_id2")
+    joined = rows.join(spans.select(F.col("doc_id").alias("_id2"), F.col("key").alias("_key2"), F.col("spans").alias("_spans")), F.expr("_id = _id2 and _key = _key2"), "left").drop("_key", "_key2", "_id", "_id2")
     if not texts:
-        joined = joined.select("doc_id", "text", "spans")
+        joined = joined.select("doc_id", F.col("text").cast("string").alias("text"), "_spans")
 
     def kept(text, spans):
         words = split(text)
@@ -226,7 +226,7 @@ def removed(docs: DataFrame, spans: DataFrame, window: int = WINDOW, texts: bool
 
     def digest(batches):
         for b in batches:
-            got = [kept(t, s) for t, s in zip(b.column("text").to_pylist(), b.column("spans").to_pylist())]
+            got = [kept(t, s) for t, s in zip(b.column("text").to_pylist(), b.column("_spans").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([n for _, n in got], pa.int64()), pa.array([n - len(w) for w, n in got], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w, _ in got], pa.string())],
                 names=["doc_id", "n_words", "n_removed", "kept_sha256"],
@@ -237,7 +237,7 @@ def removed(docs: DataFrame, spans: DataFrame, window: int = WINDOW, texts: bool
 
     def rewrite(batches):
         for b in batches:
-            got = [kept(t, s) if s else (None, 0) for t, s in zip(b.column("text").to_pylist(), b.column("spans").to_pylist())]
+            got = [kept(t, s) if s else (None, 0) for t, s in zip(b.column("text").to_pylist(), b.column("_spans").to_pylist())]
             text = [t if w is None else b" ".join(w).decode("utf-8", "surrogatepass") for t, (w, _) in zip(b.column("text").to_pylist(), got)]
             cut = [0 if w is None else n - len(w) for w, n in got]
             cols = {c: b.column(c) for c in names} | {"text": pa.array(text, pa.string()), "n_removed": pa.array(cut, pa.int64())}
