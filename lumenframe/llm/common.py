@@ -64,17 +64,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lean(run):
+    """``run`` for mapInArrow, that gives memory back to the system when its task is done: workers are kept, several an executor."""
+
+    def out(batches):
+        yield from run(batches)
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return out
+
+
 class WordIds(dict):
-    """word -> number by a rule; remembers up to ``most`` words, then starts anew, so memory is bounded."""
+    """word -> number by a rule; remembers the first ``most`` words (frequent ones come early), so memory is bounded."""
 
-    def __init__(self, rule, most: int = 300_000):
+    def __init__(self, rule, most: int = 200_000):
         super().__init__()
         self.rule, self.most = rule, most
 
     def __missing__(self, word):
-        if len(self) >= self.most:
-            self.clear()
-        out = self[word] = self.rule(word)
+        out = self.rule(word)
+        if len(self) < self.most:
+            self[word] = out
         return out
 
 
@@ -84,6 +104,10 @@ WORD_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 def bare(word: str) -> str:
     """Lower case, without punctuation at the ends; a word of punctuation only stays itself."""
     low = word.lower()
+    if low.isalpha():
+        return low
+    if low[:-1].isalpha() and low[-1] in ".,":
+        return low[:-1]
     return WORD_EDGES.sub("", low) or low
 
 
