@@ -2,8 +2,9 @@
 
 Both vocabularies used here never merge across white space, nor across the parts that their own patterns cut, so a
 text's ids are those of its parts one after another. Parts repeat: each distinct one is encoded by the library once and
-remembered (white-space pieces first, the parts of new pieces next). Pieces with other than Latin letters, and texts
-with control characters that only Python takes for white space, go through the library's whole chain of steps.
+remembered (white-space pieces first, the parts of new pieces next); texts are cut, and their pieces looked up, in
+numpy. Pieces with other than Latin letters, and texts with unusual white space, go through the library's whole chain
+of steps.
 ``tests/llm`` holds the two ways against each other.
 """
 
@@ -12,7 +13,7 @@ from __future__ import annotations
 import gc
 import re
 import zlib
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import partitions, ready, scratch
+from lumenframe.llm.common import lean, partitions, ready, scratch
 
 #: Python takes these for white space, the library doesn't.
 ODD = re.compile(r"[\x1c-\x1f]")
@@ -34,12 +35,67 @@ BYTE_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{
 WORD_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
 
 
+#: White space that isn't one ASCII byte, and characters that the two libraries class differently: such texts go piece by piece.
+WIDE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x00]")
+END = 0x1C  # between texts
+SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+class Pool:
+    """hash of a piece -> its ids: an open-addressing table in numpy and one array of ids, some 30 bytes a piece."""
+
+    def __init__(self, dtype, bits: int):
+        self.mask = (1 << bits) - 1
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.at, self.n = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
+        self.ids, self.used, self.count, self.most = np.zeros(1 << 16, dtype), 0, 0, (1 << bits) * 6 // 10
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Slot of each hash, -1 where it isn't known."""
+        slot = (h & np.uint64(self.mask)).astype(np.int64)
+        key = self.keys[slot]
+        out = np.where(key == h, slot, -1)
+        todo = np.nonzero((key != h) & (key != 0))[0]
+        while len(todo):
+            s = (slot[todo] + 1) & self.mask
+            slot[todo] = s
+            key = self.keys[s]
+            hit = key == h[todo]
+            out[todo[hit]] = s[hit]
+            todo = todo[~hit & (key != 0)]
+        return out
+
+    def add(self, h: np.ndarray, blobs: list[bytes]) -> None:
+        """Add distinct new hashes."""
+        size = self.ids.itemsize
+        n = np.array([len(b) // size for b in blobs], np.int32)
+        new = np.frombuffer(b"".join(blobs), self.ids.dtype)
+        while self.used + len(new) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(new)] = new
+        at = self.used + np.concatenate([[0], np.cumsum(n)[:-1]])
+        self.used += len(new)
+        self.count += len(h)
+        slot, todo = (h & np.uint64(self.mask)).astype(np.int64), np.arange(len(h))
+        while len(todo):
+            s = slot[todo]
+            free = np.nonzero(self.keys[s] == 0)[0]
+            s_free, first = np.unique(s[free], return_index=True)
+            won = todo[free[first]]
+            self.keys[s_free], self.at[s_free], self.n[s_free] = h[won], at[won], n[won]
+            todo = np.setdiff1d(todo, won, assume_unique=True)
+            slot[todo] = (slot[todo] + 1) & self.mask
+
+
 class Encoder:
     """ids(text) -> bytes of little-endian unsigned 16- or 32-bit ids. kind: 'byte' keeps white space, 'word' drops it and case.
 
-    At most ``most`` pieces and as many parts are remembered; then the newer half goes (frequent ones come early)."""
+    Pieces are known by 64-bit hashes of their bytes (two of a table's pieces share one with a probability under
+    10^-7). The first pieces fill the table (frequent ones come early); later ones are encoded each time they occur in a call."""
 
-    def __init__(self, path: str, kind: str, most: int = 400_000):
+    def __init__(self, path: str, kind: str, bits: int = 21, most_parts: int = 300_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,9 +108,9 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 65536 else "<u4")
         self.word = kind == "word"
         self.pieces, self.parts = (str.split, WORD_PARTS) if self.word else (BYTE_PIECES, BYTE_PARTS)
-        self.cache: dict[str, bytes] = {}
+        self.pool, self.most_parts = Pool(self.dtype, bits), most_parts
         self.part_cache: dict[str, bytes] = {}
-        self.most = most
+        self.powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
     def _run(self, tok, pieces: list[str], into: dict[str, bytes]) -> None:
         for i in range(0, len(pieces), 20_000):
@@ -64,70 +120,115 @@ class Encoder:
             blob, at = np.fromiter(chain.from_iterable(got), self.dtype, int(at[-1]) // self.dtype.itemsize).tobytes(), at.tolist()
             into.update(zip(part, (blob[a:z] for a, z in zip(at, at[1:]))))
 
-    def _shrink(self, cache: dict) -> dict:
-        return dict(islice(cache.items(), self.most // 2)) if len(cache) > self.most else cache
-
-    def _learn(self, new: list[str], seen: dict[str, bytes]) -> None:
-        """Put the ids of ``new`` pieces into ``seen`` and the cache."""
+    def learn(self, new: list[str]) -> list[bytes]:
+        """Ids of pieces, in order."""
         whole, cut = [], []
         word, parts = self.word, self.parts
         for p in new:
             if not (p.isascii() or PLAIN(p)):
                 whole.append(p)
+                cut.append(None)
                 continue
             body = p.lower() if word else p
             core = body if word or body[0] != " " else body[1:]
             if core.isalpha():  # most words: one part, or one and a mark
-                cut.append((p, (body,)))
+                cut.append((body,))
             elif core[-1:] in MARKS and core[:-1].isalpha():
-                cut.append((p, (body[:-1], body[-1])))
+                cut.append((body[:-1], body[-1]))
             else:
-                cut.append((p, parts(body)))
-        missing = list({x for _, xs in cut for x in xs}.difference(self.part_cache))
-        self._run(self.bare, missing, self.part_cache)
-        get = self.part_cache.__getitem__
-        for p, xs in cut:
-            seen[p] = get(xs[0]) if len(xs) == 1 else b"".join(map(get, xs))
-        self._run(self.tok, whole, seen)
-        self.part_cache = self._shrink(self.part_cache)
-        self.cache.update(seen)
-        self.cache = self._shrink(self.cache)
-
-    def many(self, texts: list[str | None]) -> list[bytes]:
-        gc.disable()  # only lists and strings here: nothing that could form a cycle
+                cut.append(parts(body))
+        known = self.part_cache
+        missing = list({x for xs in cut if xs is not None for x in xs}.difference(known))
+        here = known if len(known) + len(missing) <= self.most_parts else {}
+        self._run(self.bare, missing, here)
+        get = here.__getitem__ if here is known else lambda x: here[x] if x in here else known[x]
+        odd: dict[str, bytes] = {}
+        self._run(self.tok, whole, odd)
+        return [odd[p] if xs is None else get(xs[0]) if len(xs) == 1 else b"".join(map(get, xs)) for p, xs in zip(new, cut)]
+
+    def _grow(self, n: int) -> None:
+        if len(self.powers[0]) < n:
+            n = max(n, 1 << 19)
+            self.powers = tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, b, np.uint64))]) for b in (BASE, INVERSE))
+
+    def spans(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the pieces of texts that END follows: the rules of BYTE_PIECES, or of a split at white space."""
+        space = SPACES[data]
+        text = ~space & (data != END)
+        edge = np.diff(text.astype(np.int8), prepend=0)
+        a, z = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]  # data ends with END
+        if self.word:
+            return a, z
+        edge = np.diff(space.astype(np.int8), prepend=0)
+        ra, rz = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+        before = text[rz]  # a word follows: it takes a last blank with it; what else is last stands alone
+        alone = before & (data[rz - 1] != 32)
+        more = before & (rz - ra > 1)
+        starts = np.concatenate([np.where((a > 0) & (data[a - 1] == 32), a - 1, a), ra[~before], ra[more], rz[alone] - 1])
+        ends = np.concatenate([z, rz[~before], rz[more] - 1, rz[alone]])
+        order = np.argsort(starts, kind="stable")
+        return starts[order], ends[order]
+
+    def _some(self, texts: list[bytes]) -> list[bytes]:
+        raw = b"\x1c".join(texts) + b"\x1c"
+        data = np.frombuffer(raw, np.uint8)
+        self._grow(len(data) + 1)
+        a, z = self.spans(data)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(data * self.powers[0][: len(data)], out=sums[1:])
+        h = (sums[z] - sums[a]) * self.powers[1][a]
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(29))) | np.uint64(1)
+        slot = self.pool.find(h)
+        extra_at = np.zeros(0, np.int64)
+        if (slot < 0).any():
+            new = np.nonzero(slot < 0)[0]
+            keys, first, back = np.unique(h[new], return_index=True, return_inverse=True)
+            blobs = self.learn([raw[i:j].decode() for i, j in zip(a[new[first]].tolist(), z[new[first]].tolist())])
+            if self.pool.count + len(keys) <= self.pool.most:
+                self.pool.add(keys, blobs)
+                slot[new] = self.pool.find(keys)[back]
+            else:
+                extra_at = new
+        n, at, ids = self.pool.n[slot].astype(np.int64), self.pool.at[slot].astype(np.int64), self.pool.ids
+        if len(extra_at):  # ids of pieces that the table has no room for stand behind its own, for this call
+            size = self.dtype.itemsize
+            m = np.array([len(b) // size for b in blobs], np.int64)
+            ids = np.concatenate([ids[: self.pool.used], np.frombuffer(b"".join(blobs), self.dtype)])
+            n[extra_at], at[extra_at] = m[back], (self.pool.used + np.concatenate([[0], np.cumsum(m)[:-1]]))[back]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = ids[np.repeat(at - (ends - n), n) + np.arange(total)].tobytes()
+        stops = np.cumsum([len(t) + 1 for t in texts])
+        to = np.concatenate([[0], ends])[np.searchsorted(a, stops)] * self.dtype.itemsize
+        to = [0, *to.tolist()]
+        return [flat[i:j] for i, j in zip(to, to[1:])]
+
+    def many(self, texts: list[str | None], chunk: int = 1 << 18) -> list[bytes]:
+        gc.disable()  # only lists, strings and arrays here: nothing that could form a cycle
         try:
-            out: list[bytes] = []
-            held: list[tuple] = []  # (place, pieces, ids) of texts with pieces that aren't known yet
-            new: set[str] = set()
-            for t in texts:
+            out: list[bytes] = [b""] * len(texts)
+            held, places, size = [], [], 0
+            for i, t in enumerate(texts):
                 if not t:
-                    out.append(b"")
-                elif ODD.search(t):
-                    out.append(np.array(self.tok.encode(t, add_special_tokens=False).ids, self.dtype).tobytes())
-                else:
-                    pieces = self.pieces(t)
-                    ids = list(map(self.cache.get, pieces))
-                    if None in ids:
-                        new.update([p for p, x in zip(pieces, ids) if x is None])
-                        held.append((len(out), pieces, ids))
-                        out.append(b"")
-                        if len(new) > 20_000:
-                            self._fill(out, held, new)
-                    else:
-                        out.append(b"".join(ids))
-            self._fill(out, held, new)
+                    continue
+                if WIDE.search(t):
+                    out[i] = np.array(self.tok.encode(t, add_special_tokens=False).ids, self.dtype).tobytes() if ODD.search(t) else b"".join(self.learn(self.pieces(t)))
+                    continue
+                held.append(t.encode())
+                places.append(i)
+                size += len(held[-1])
+                if size >= chunk:
+                    for k, x in zip(places, self._some(held)):
+                        out[k] = x
+                    held, places, size = [], [], 0
+            if held:
+                for k, x in zip(places, self._some(held)):
+                    out[k] = x
             return out
         finally:
             gc.enable()
 
-    def _fill(self, out: list[bytes], held: list[tuple], new: set[str]) -> None:
-        seen: dict[str, bytes] = {}
-        self._learn(list(new), seen)
-        for i, pieces, ids in held:
-            out[i] = b"".join([seen[p] if x is None else x for p, x in zip(pieces, ids)])
-        held.clear()
-        new.clear()
-
     def ids(self, text: str | None) -> bytes:
         return self.many([text])[0]
 
@@ -172,7 +273,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, kind: str = "word",
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     (
-        rows.mapInArrow(encode, "doc_id long, part int, local_start long, n_tokens long, ids array<int>")
+        rows.mapInArrow(lean(encode), "doc_id long, part int, local_start long, n_tokens long, ids array<int>")
         .write.option("compression", "zstd")
         .option("parquet.writer.version", "v2")
         .option("parquet.block.size", row_group_mb << 20)
@@ -219,4 +320,4 @@ def op10_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
             n = np.diff(at).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), pa.array(n), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return read_tokens(spark, path).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_tokens(spark, path).mapInArrow(lean(digest), "doc_id long, start long, n_tokens long, ids_crc32 long")
