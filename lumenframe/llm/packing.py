@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import partitions, ready, saved
+from lumenframe.llm.common import lean, partitions, ready, saved
 from lumenframe.llm.tokens import encoder
 
 K1, B = 1.2, 0.75
@@ -35,16 +35,15 @@ def token_table(docs: DataFrame, tokenizer: str, kind: str, end_id: int) -> Data
             for x in enc.many(b.column("text").to_pylist()):
                 blobs.append(x + end)
                 ids = np.frombuffer(blobs[-1], enc.dtype)
-                seen = np.zeros(vocab, bool)
-                seen[ids] = True
-                h = mixed[seen]
-                two = np.partition(h, 1)[:2] if len(h) > 1 else np.array([h[0], h[0]])
-                route.append((int(two.min()) << 31) | int(two.max()))
+                h = mixed[ids]
+                low = int(h.min())
+                rest = h[h > np.uint64(low)]
+                route.append((low << 31) | (int(rest.min()) if len(rest) else low))
                 n.append(len(ids))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(route, pa.int64()), pa.array(n, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "route", "n_terms", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return saved(rows.mapInArrow(encode, "doc_id long, route long, n_terms long, ids binary"), "packing-tokens")
+    return saved(rows.mapInArrow(lean(encode), "doc_id long, route long, n_terms long, ids binary"), "packing-tokens")
 
 
 def corpus_terms(tokens: DataFrame, dtype, vocab: int) -> tuple[np.ndarray, int, float]:
@@ -59,7 +58,7 @@ def corpus_terms(tokens: DataFrame, dtype, vocab: int) -> tuple[np.ndarray, int,
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["term", "df"])
 
     df = np.zeros(vocab, np.int64)
-    for r in tokens.select("ids").mapInArrow(count, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toLocalIterator():
+    for r in tokens.select("ids").mapInArrow(lean(count), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toLocalIterator():
         df[r["term"]] = r["df"]
     n, mean = tokens.agg(F.count("*"), F.avg("n_terms")).first()
     return df, n, mean or 1.0
@@ -203,7 +202,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 1, w
         yield flushed(True)
 
     dealt = tokens.repartitionByRange(partitions(spark), "route", "doc_id").sortWithinPartitions("route", "doc_id", "ids")
-    return dealt.select("doc_id", "ids").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return dealt.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def op3_retrieval_packing(spark, sf_dir: str) -> DataFrame:
