@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import partitions, ready, table
+from lumenframe.llm.common import lean, partitions, ready, table
 
 #: Least, normal and largest chunk, and the zero bits asked for before and after the normal size.
 NORMAL = (12, 32, 128, 6, 4)
@@ -105,7 +105,7 @@ def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
             got = [chunks(t or "") for t in b.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array([text_of(x) for x in got], pa.string()), pa.array([len(x[0]) for x in got], pa.int32())], names=[*b.schema.names[:-1], "fingerprint", "n_chunks"])
 
-    return rows.mapInArrow(run, f"{kind}, fingerprint string, n_chunks int")
+    return rows.mapInArrow(lean(run), f"{kind}, fingerprint string, n_chunks int")
 
 
 def with_next(docs: DataFrame, fn, schema: str) -> DataFrame:
@@ -153,7 +153,7 @@ def with_next(docs: DataFrame, fn, schema: str) -> DataFrame:
                 yield fn(out)
                 out = []
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(lean(run), schema)
 
 
 def op7_chunk_fingerprints(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import ready, table
+from lumenframe.llm.common import lean, ready, table
 
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -75,7 +75,7 @@ def fit(docs: DataFrame, per_lang: int = 5000, buckets: int = 1 << 16, smooth: f
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(g.astype(np.int32)), pa.array(sums[i, g])], names=["i", "g", "n"])
 
     sums = np.full((buckets, len(langs)), smooth)
-    for r in sample.mapInArrow(count, "i int, g int, n double").groupBy("i", "g").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in sample.mapInArrow(lean(count), "i int, g int, n double").groupBy("i", "g").agg(F.sum("n").alias("n")).toLocalIterator():
         sums[r["g"], r["i"]] += r["n"]
     return langs, np.log(sums / sums.sum(0)).astype(np.float32)
 
@@ -153,7 +153,7 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, keep: tuple[str
             cols += [pa.array([[x for x, _ in o] for o in order], pa.list_(pa.string())), pa.array([[p for _, p in o] for o in order], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[:-1], "lang_pred", "score", "langs", "proportions"])
 
-    return rows.mapInArrow(run, f"{kind + ', ' if kind else ''}lang_pred string, score double, langs array<string>, proportions array<double>")
+    return rows.mapInArrow(lean(run), f"{kind + ', ' if kind else ''}lang_pred string, score double, langs array<string>, proportions array<double>")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import WordIds, crc, partitions, ready, saved, table
+from lumenframe.llm.common import WordIds, crc, lean, partitions, ready, saved, table
 from lumenframe.llm.substrings import mixed
 
 SHINGLE, LEAST_SIMILARITY = 5, 0.8
@@ -119,7 +119,7 @@ def word_idf(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], names=["b", "n"])
 
     df, n = np.zeros(BUCKETS), 1
-    for r in docs.select(F.col("text").cast("string")).mapInArrow(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in docs.select(F.col("text").cast("string")).mapInArrow(lean(count), "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toLocalIterator():
         if r["b"] < 0:
             n = r["n"]
         else:
@@ -141,7 +141,7 @@ def nodes(docs: DataFrame, idf) -> DataFrame:
 
     text = F.col("text").cast("string")
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.encode(text, "UTF-8")).alias("same"), text.alias("text"))
-    return saved(rows.mapInArrow(run, "doc_id long, same string, bands array<long>"), "near-nodes")
+    return saved(rows.mapInArrow(lean(run), "doc_id long, same string, bands array<long>"), "near-nodes")
 
 
 def star(pairs: DataFrame, texts: DataFrame, idf, salt_rows: int = 500) -> DataFrame:
@@ -164,7 +164,7 @@ def star(pairs: DataFrame, texts: DataFrame, idf, salt_rows: int = 500) -> DataF
                     out.append((doc, hub, *similarity(shingles(t), mine)))
             yield _links(out)
 
-    return rows.select("hub", "salt", "doc_id", "o", "text").mapInArrow(run, LINKS)
+    return rows.select("hub", "salt", "doc_id", "o", "text").mapInArrow(lean(run), LINKS)
 
 
 def small_groups(groups: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
@@ -212,7 +212,7 @@ def small_groups(groups: DataFrame, texts: DataFrame, idf, least: float) -> Data
         yield _links(out)
 
     rows = groups.join(texts, "doc_id").select("gid", "doc_id", "label", "text").repartition(partitions(spark), "gid").sortWithinPartitions("gid", "doc_id")
-    return rows.mapInArrow(run, LINKS)
+    return rows.mapInArrow(lean(run), LINKS)
 
 
 LINKS = "doc_id long, hub long, sim double, plain double"

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import WordIds, partitions, ready, saved, scratch, table
+from lumenframe.llm.common import WordIds, lean, partitions, ready, saved, scratch, table
 
 WINDOW, GRAM = 50, 25
 #: Odd bases of the two polynomial hashes, and their inverses modulo 2^64.
@@ -116,7 +116,7 @@ class FingerprintIndex:
                 cat = lambda x, k: np.concatenate([np.zeros(0, k), *x])
                 yield pa.RecordBatch.from_arrays([pa.array(cat(g, np.uint64).view(np.int64)), pa.array(cat(doc, np.int64)), pa.array(cat(key, np.int64))], names=["g", "doc_id", "key"])
 
-        new = self._write(_keyed(docs).where("doc_id is not null").mapInArrow(run, "g long, doc_id long, key long"))
+        new = self._write(_keyed(docs).where("doc_id is not null").mapInArrow(lean(run), "g long, doc_id long, key long"))
         ends = lambda name: self.spark.table(name).groupBy("g").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count("*").alias("n"))
         # merge joins of tables that are bucketed and sorted alike: nothing is moved
         both = ends(new)
@@ -176,7 +176,7 @@ def repeated(docs: DataFrame, shared: DataFrame, window: int = WINDOW, gram: int
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())))], names=["g", "hot", "doc_id", "key", "at", "hashes"])
 
     # written once: both ways read it
-    rows = saved(_keyed(docs).join(lists, ["doc_id", "key"]).mapInArrow(run, "g long, hot boolean, doc_id long, key long, at int, hashes array<long>"), "windows")
+    rows = saved(_keyed(docs).join(lists, ["doc_id", "key"]).mapInArrow(lean(run), "g long, hot boolean, doc_id long, key long, at int, hashes array<long>"), "windows")
 
     def compare(batches):
         now, seen = None, {}
@@ -198,7 +198,7 @@ def repeated(docs: DataFrame, shared: DataFrame, window: int = WINDOW, gram: int
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "key", "a", "z"])
 
-    usual = rows.where("not hot").drop("hot").repartition(n, "g").sortWithinPartitions("g", "doc_id").mapInArrow(compare, "doc_id long, key long, a int, z int")
+    usual = rows.where("not hot").drop("hot").repartition(n, "g").sortWithinPartitions("g", "doc_id").mapInArrow(lean(compare), "doc_id long, key long, a int, z int")
     each = rows.where("hot").select("g", "doc_id", "key", F.posexplode("hashes").alias("i", "h"), "at")
     firsts = each.groupBy("g", "h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("g", "h", "first")
     hot = each.join(firsts, ["g", "h"]).where("first < doc_id").select("doc_id", "key", (F.col("at") + F.col("i")).alias("a"), (F.col("at") + F.col("i")).alias("z"))
@@ -233,7 +233,7 @@ def removed(docs: DataFrame, spans: DataFrame, window: int = WINDOW, texts: bool
             )
 
     if not texts:
-        return joined.mapInArrow(digest, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
+        return joined.mapInArrow(lean(digest), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
 
     def rewrite(batches):
         for b in batches:
@@ -244,7 +244,7 @@ def removed(docs: DataFrame, spans: DataFrame, window: int = WINDOW, texts: bool
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     kind = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(rewrite, f"{kind}, n_removed long")
+    return joined.mapInArrow(lean(rewrite), f"{kind}, n_removed long")
 
 
 def shared_rows(docs: DataFrame, n_batches: int = 2, **options) -> DataFrame:

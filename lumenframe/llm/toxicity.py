@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import WordIds, bare, crc, ready, table
+from lumenframe.llm.common import WordIds, bare, crc, lean, ready, table
 
 
 #: Lengths of the word beginnings that are features besides whole words: inflected and compounded insults share them.
@@ -112,7 +112,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_grade: int = 8000, buckets: in
             yield pa.RecordBatch.from_arrays([b.column("grade"), pa.array([features(t, ids).astype("<i4").tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["grade", "x"])
 
     rows, grades = [], []
-    for r in chosen.mapInArrow(run, "grade int, x binary").toLocalIterator():
+    for r in chosen.mapInArrow(lean(run), "grade int, x binary").toLocalIterator():
         rows.append(np.frombuffer(r["x"], "<i4"))
         grades.append(r["grade"])
     grades = np.array(grades, np.int64)
@@ -141,7 +141,7 @@ def score(docs: DataFrame, model: Ordinal, keep: tuple[str, ...] = ("doc_id",))
             grade = (p >= 0.5).sum(1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(p.sum(1)), pa.array(grade), pa.array(grade > 0)], names=[*b.schema.names[:-1], "severity", "grade", "toxic"])
 
-    return rows.mapInArrow(run, f"{kind}, severity double, grade int, toxic boolean")
+    return rows.mapInArrow(lean(run), f"{kind}, severity double, grade int, toxic boolean")
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:

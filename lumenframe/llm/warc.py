@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import partitions, ready, saved, scratch, table
+from lumenframe.llm.common import lean, partitions, ready, saved, scratch, table
 
 INDEX = "page_id long, url string, record_type string, refers_to long, digest string, payload_bytes long, file string, offset long, length long"
 
@@ -118,7 +118,7 @@ def write_warc(pages: DataFrame, out: str, least_bytes: int = 0, roll_mb: int =
             if sink is not None:
                 sink.close()
 
-    return saved(decided(pages, least_bytes).mapInArrow(run, INDEX), "warc-index")
+    return saved(decided(pages, least_bytes).mapInArrow(lean(run), INDEX), "warc-index")
 
 
 _NAMES = [x.split()[0] for x in INDEX.split(", ")]
@@ -167,7 +167,7 @@ def read_warc(index: DataFrame, gap: int = 64 << 10, most: int = 8 << 20, payloa
             stream.close()
 
     ranges = index.select("file", "offset", "length").repartitionByRange(partitions(spark), "file", "offset").sortWithinPartitions("file", "offset")
-    return ranges.mapInArrow(run, schema)
+    return ranges.mapInArrow(lean(run), schema)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
