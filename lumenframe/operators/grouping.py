@@ -43,7 +43,9 @@ def split_part(name: str) -> tuple[str, str, int]:
 
 
 def marked_extra(path: str) -> bool:
-    return path.split("/")[-2].lower() in EXTRA_DIRS if path.count("/") and path.split("/")[-2].lower() in EXTRA_DIRS else bool(EXTRA.search(stem(path)))
+    """Whether the folder or the name says that a video is an extra."""
+    folder = path.rpartition("/")[0].rpartition("/")[2]
+    return folder.lower() in EXTRA_DIRS or bool(EXTRA.search(stem(path)))
 
 
 def part_sets(videos: list[tuple]) -> dict[str, bool]:

@@ -56,11 +56,6 @@ def facet_value_order(spark, d):
     return facets.counts(a.items(spark, d), {}, ("genre",)).select("value", "n", "rank")
 
 
-def _ranked(df, *order):
-    """rank over a total order: per bucket of its first key, then offsets, so that no task sorts everything."""
-    return df.orderBy(*order)
-
-
 @query("item_sort_year_last", f"SELECT id AS movie_id, CAST(row_number() OVER (PARTITION BY director ORDER BY (year = 0), year DESC, title, 'movie:' || id) AS INTEGER) AS rank FROM ({ITEMS})")
 def item_sort_year_last(spark, d):
     rows = a.items(spark, d)
