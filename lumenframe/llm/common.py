@@ -9,6 +9,7 @@ import uuid
 import zipfile
 import zlib
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch: some MB of text at usual lengths, so a worker's memory stays small.
@@ -113,3 +114,46 @@ def bare(word: str) -> str:
 
 def crc(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass"))
+
+
+_INSIDE = np.array([chr(i).isalnum() if i < 128 else True for i in range(256)])
+_MARKS = re.compile("[\xa0-\xbf\xd7\xf7\u2000-\u206f\u3000-\u303f\uff00-\uff0f]")
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
+
+
+def hashed_words(texts: list[str | None], bits: int, chunk: int = 1 << 18) -> list[np.ndarray]:
+    """Hashes of ``bits`` bits of each text's words (runs of letters and digits, lower case), in order, all in numpy: some 40 MB/s."""
+    none = np.zeros(0, np.int64)
+    out, held, places, size = [none] * len(texts), [], [], 0
+
+    def flush() -> None:
+        raw = b"\0".join(held) + b"\0"
+        data = np.frombuffer(raw, np.uint8)
+        if not _POWERS or len(_POWERS[0]) < len(data) + 1:
+            n = max(len(data) + 1, 1 << 19)
+            _POWERS[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, b, np.uint64))]) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+        edge = np.diff(_INSIDE[data].astype(np.int8), prepend=0)
+        a, z = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(data * _POWERS[0][: len(data)], out=sums[1:])
+        h = (sums[z] - sums[a]) * _POWERS[1][a]
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h >> np.uint64(64 - bits)).astype(np.int64)
+        stops = np.searchsorted(a, np.cumsum([len(x) + 1 for x in held])).tolist()
+        for i, lo, hi in zip(places, [0, *stops], stops):
+            out[i] = h[lo:hi]
+
+    for i, t in enumerate(texts):
+        if not t:
+            continue
+        t = t.lower()
+        held.append((t if t.isascii() or not _MARKS.search(t) else _MARKS.sub(" ", t)).encode("utf-8", "surrogatepass"))
+        places.append(i)
+        size += len(held[-1])
+        if size >= chunk:
+            flush()
+            held, places, size = [], [], 0
+    if held:
+        flush()
+    return out
