@@ -75,8 +75,8 @@ def fit(docs: DataFrame, per_lang: int = 5000, buckets: int = 1 << 16, smooth: f
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(g.astype(np.int32)), pa.array(sums[i, g])], names=["i", "g", "n"])
 
     sums = np.full((buckets, len(langs)), smooth)
-    for r in sample.mapInArrow(lean(count), "i int, g int, n double").groupBy("i", "g").agg(F.sum("n").alias("n")).toLocalIterator():
-        sums[r["g"], r["i"]] += r["n"]
+    got = sample.mapInArrow(lean(count), "i int, g int, n double").groupBy("i", "g").agg(F.sum("n").alias("n")).toArrow()
+    sums[got["g"].to_numpy(), got["i"].to_numpy()] += got["n"].to_numpy()
     return langs, np.log(sums / sums.sum(0)).astype(np.float32)
 
 

@@ -58,8 +58,8 @@ def corpus_terms(tokens: DataFrame, dtype, vocab: int) -> tuple[np.ndarray, int,
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["term", "df"])
 
     df = np.zeros(vocab, np.int64)
-    for r in tokens.select("ids").mapInArrow(lean(count), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toLocalIterator():
-        df[r["term"]] = r["df"]
+    got = tokens.select("ids").mapInArrow(lean(count), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    df[got["term"].to_numpy()] = got["df"].to_numpy()
     n, mean = tokens.agg(F.count("*"), F.avg("n_terms")).first()
     return df, n, mean or 1.0
 
