@@ -9,6 +9,7 @@ words' conditional log-probabilities.
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import WordIds, bare, crc, ready, saved, table
+from lumenframe.llm.common import WordIds, bare, crc, lean, ready, saved, table
 
 CLASSES, INNER, UNKNOWN = 64, 64, 64
 VOCAB = CLASSES * INNER
@@ -38,7 +39,7 @@ def vocabulary(docs: DataFrame, size: int = VOCAB - UNKNOWN) -> list[tuple[str,
                 n = Counter()
         yield _counts(n, bares)
 
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(lean(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [(r["word"], r["n"]) for r in rows.orderBy(F.desc("n"), "word").limit(size).collect()]
 
 
@@ -72,7 +73,7 @@ def encoded(docs: DataFrame, words: list[str]) -> DataFrame:
             ids = [np.fromiter(map(get, t.split()), np.uint16).tobytes() if t else b"" for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary"), "lm-ids")
+    return saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, ids binary"), "lm-ids")
 
 
 class Network:
@@ -180,7 +181,7 @@ def windows(ids: np.ndarray, stride: int, phase: int) -> tuple[np.ndarray, np.nd
     return np.stack([x[at + j] for j in range(-SIDE, SIDE + 1) if j], 1) if len(at) else np.zeros((0, PLACES), np.int64), x[at]
 
 
-def train(ids: DataFrame, counts: np.ndarray, rounds: int = 6, stride: int = 48, batch: int = 1024, rate: float = 0.05, block: int = 1 << 14) -> Network:
+def train(ids: DataFrame, counts: np.ndarray, rounds: int = 6, stride: int = 48, batch: int = 1024, rate: float = 0.05, block: int = 1 << 14, adders: int = 8) -> Network:
     """Average of the tasks' networks after each round. Each round takes every ``stride``-th word of every document, from another one on."""
     spark = ids.sparkSession
     net = Network.start(counts)
@@ -222,15 +223,20 @@ def train(ids: DataFrame, counts: np.ndarray, rounds: int = 6, stride: int = 48,
             if sums:
                 yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v[0] for v in sums.values()]), pa.array([v[1].tobytes() for v in sums.values()], pa.binary())], names=["block", "n", "w"])
 
-        # blocks of the weights meet in as many tasks: one row a block comes to the driver, however many tasks trained
-        parts = ids.select("ids").mapInArrow(run, "block int, n long, w binary").repartition(-(-size // block), "block").mapInArrow(add, "block int, n long, w binary")
-        got = {row["block"]: np.frombuffer(row["w"]) / row["n"] for row in parts.toLocalIterator()}
+        # sums of blocks in ``adders`` tasks, however many tasks trained; adders x blocks rows come to the driver
+        parts = ids.select("ids").mapInArrow(lean(run), "block int, n long, w binary").repartition(adders).mapInArrow(lean(add), "block int, n long, w binary")
+        got: dict[int, list] = {}
+        for row in parts.collect():
+            v = got.setdefault(row["block"], [0, 0.0])
+            v[0], v[1] = v[0] + row["n"], v[1] + np.frombuffer(row["w"])
         if got:
-            net = net.unflat(np.concatenate([got[k] for k in sorted(got)]))
+            net = net.unflat(np.concatenate([got[k][1] / got[k][0] for k in sorted(got)]))
     return net
 
 
+@functools.cache
 def net0() -> Network:
+    """For its shapes."""
     return Network.start(np.zeros(VOCAB))
 
 
@@ -262,7 +268,7 @@ def score(ids: DataFrame, net: Network) -> DataFrame:
             mean = [s / k if k else None for s, k in zip(sums.tolist(), n.tolist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(sums), pa.array(mean, pa.float64())], names=["doc_id", "n_tokens", "pll", "mean_logprob"])
 
-    return ids.mapInArrow(run, "doc_id long, n_tokens long, pll double, mean_logprob double")
+    return ids.mapInArrow(lean(run), "doc_id long, n_tokens long, pll double, mean_logprob double")
 
 
 def _add(net: Network, tables, held, places, sums: np.ndarray) -> None:
