@@ -123,8 +123,8 @@ _POWERS: list[np.ndarray] = []
 
 
 def hashed_words(texts: list[str | None], bits: int, chunk: int = 1 << 18) -> list[np.ndarray]:
-    """Hashes of ``bits`` bits of each text's words (runs of letters and digits, lower case), in order, all in numpy: some 40 MB/s."""
-    none = np.zeros(0, np.int64)
+    """Hashes of ``bits`` bits (64: unsigned) of each text's words (runs of letters and digits, lower case), in order, all in numpy: some 40 MB/s."""
+    none = np.zeros(0, np.uint64 if bits == 64 else np.int64)
     out, held, places, size = [none] * len(texts), [], [], 0
 
     def flush() -> None:
@@ -139,7 +139,7 @@ def hashed_words(texts: list[str | None], bits: int, chunk: int = 1 << 18) -> li
         np.cumsum(data * _POWERS[0][: len(data)], out=sums[1:])
         h = (sums[z] - sums[a]) * _POWERS[1][a]
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h >> np.uint64(64 - bits)).astype(np.int64)
+        h = h if bits == 64 else (h >> np.uint64(64 - bits)).astype(np.int64)
         stops = np.searchsorted(a, np.cumsum([len(x) + 1 for x in held])).tolist()
         for i, lo, hi in zip(places, [0, *stops], stops):
             out[i] = h[lo:hi]

@@ -19,33 +19,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import WordIds, crc, lean, partitions, ready, saved, table
+from lumenframe.llm.common import hashed_words, lean, partitions, ready, saved, table
 from lumenframe.llm.substrings import mixed
 
 SHINGLE, LEAST_SIMILARITY = 5, 0.8
 SAMPLES, ROWS = 64, 4  # 16 bands of 4: a pair at 0.8 is missed with probability 0.0002
-BUCKETS, TABLE = 1 << 18, 1 << 15
-
-
-def words(text: str | None) -> list[str]:
-    return text.lower().split() if text else []
+BITS, TABLE = 18, 1 << 14
+BUCKETS = 1 << BITS
 
 
 class Shingles:
-    """text -> sorted shingle hashes and their weights. A text of fewer than 5 words is one shingle."""
+    """texts -> sorted shingle hashes and their weights of each. Words: runs of letters and digits, lower case. A text of fewer than 5 words is one shingle."""
 
     def __init__(self, idf: np.ndarray):
         self.idf = idf
-        self.ids = WordIds(lambda w: (_hash(w), crc(w) % BUCKETS))
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        ws = words(text)
-        if not ws:
-            return np.zeros(0, np.uint64), np.zeros(0)
-        h, b = zip(*map(self.ids.__getitem__, ws))
-        h, w = np.array(h, np.uint64), self.idf[np.array(b)]
-        n = min(SHINGLE, len(ws))
-        s, v = np.zeros(len(ws) - n + 1, np.uint64), np.zeros(len(ws) - n + 1)
+        return self.many([text])[0]
+
+    def many(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [self._of(h) if len(h) else (h, np.zeros(0)) for h in hashed_words(texts, 64)]
+
+    def _of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = self.idf[(h >> np.uint64(64 - BITS)).astype(np.int64)]
+        n = min(SHINGLE, len(h))
+        s, v = np.zeros(len(h) - n + 1, np.uint64), np.zeros(len(h) - n + 1)
         for i in range(n):
             s = mixed(s + h[i : len(h) - n + 1 + i])
             v += w[i : len(w) - n + 1 + i]
@@ -53,12 +51,6 @@ class Shingles:
         return s, v[first] / n * tf
 
 
-def _hash(word: str) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-
-
 def similarity(a, b) -> tuple[float, float]:
     """Weighted and plain Jaccard of two (hashes, weights)."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -108,12 +100,10 @@ def word_idf(docs: DataFrame) -> np.ndarray:
     """Inverse document frequency of each word bucket, over all documents. The driver gets at most BUCKETS rows."""
 
     def count(batches):
-        df, ids, n = np.zeros(BUCKETS, np.int64), WordIds(lambda w: crc(w) % BUCKETS), 0
+        df, n = np.zeros(BUCKETS, np.int64), 0
         for b in batches:
-            for t in b.column("text").to_pylist():
-                if t:
-                    got = set(map(ids.__getitem__, set(words(t))))
-                    df[np.fromiter(got, np.int64, len(got))] += 1
+            for w in hashed_words(b.column("text").to_pylist(), BITS):
+                df[w] += 1  # once a document: repeated places of an index count once
                 n += 1
         at = np.nonzero(df)[0]
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], names=["b", "n"])
@@ -131,10 +121,7 @@ def nodes(docs: DataFrame, idf) -> DataFrame:
     def run(batches):
         shingles = Shingles(idf.value)
         for b in batches:
-            out = []
-            for t in b.column("text").to_pylist():
-                h, w = shingles(t)
-                out.append(bands(h, w) if len(h) else np.zeros(0, np.int64))
+            out = [bands(h, w) if len(h) else np.zeros(0, np.int64) for h, w in shingles.many(b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("same"), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "same", "bands"])
 
     text = F.col("text").cast("string")

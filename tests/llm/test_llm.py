@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -401,7 +402,7 @@ def near_rows():
 def brute_classes(rows):
     sets = {}
     for i, t in rows:
-        w = (t or "").lower().split()
+        w = re.findall(r"[^\W_]+", (t or "").lower())
         k = min(5, len(w))
         sets[i] = {tuple(w[a : a + k]) for a in range(len(w) - k + 1)} if w else set()
     text = dict(rows)
