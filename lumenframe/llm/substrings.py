@@ -200,8 +200,8 @@ def repeated(docs: DataFrame, shared: DataFrame, window: int = WINDOW, gram: int
 
     usual = rows.where("not hot").drop("hot").repartition(n, "g").sortWithinPartitions("g", "doc_id").mapInArrow(lean(compare), "doc_id long, key long, a int, z int")
     each = rows.where("hot").select("g", "doc_id", "key", F.posexplode("hashes").alias("i", "h"), "at")
-    firsts = each.groupBy("g", "h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("g", "h", "first")
-    # a query of its own, written: Spark splits a skewed join's partitions only where nothing else hangs on them
+    # minima and join are queries of their own, written: Spark splits a skewed join's partitions only between plain exchanges
+    firsts = saved(each.groupBy("g", "h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("g", "h", "first"), "hot-firsts")
     place = (F.col("at") + F.col("i")).alias("a"), (F.col("at") + F.col("i")).alias("z")
     hot = saved(each.join(firsts.hint("merge"), ["g", "h"]).where("first < doc_id").select("doc_id", "key", *place), "hot-windows")
     return usual.unionByName(hot).groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
