@@ -140,10 +140,10 @@ def reset_identification(current: DataFrame, fingerprint: str) -> DataFrame:
 # --- part links ---
 
 
-def final_leaders(links: DataFrame, most: int = 64) -> DataFrame:
+def final_leaders(links: DataFrame) -> DataFrame:
     """follower, leader: the end of each chain of links; chains that run in a circle lead nowhere. Pointers jump, so 2^n links take n rounds."""
     rows = links.select(F.col("fingerprint").alias("follower"), F.col("leader"))
-    for _ in range(most):
+    for _ in range(links.count().bit_length() + 1):  # chains are done by then: what goes on runs in a circle
         nxt = rows.select(F.col("follower").alias("_f"), F.col("leader").alias("_l"))
         step = rows.join(nxt, rows["leader"] == nxt["_f"], "left")
         new = step.select("follower", F.coalesce("_l", "leader").alias("leader"), F.col("_l").isNotNull().alias("moved"))
