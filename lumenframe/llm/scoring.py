@@ -105,37 +105,47 @@ class Network:
         return Network(out)
 
     def step(self, context: np.ndarray, target: np.ndarray, sums: dict[str, np.ndarray], rate: float) -> float:
-        """One Adagrad step on a batch; its mean loss."""
+        """One Adagrad step on a batch; its mean loss. Rows that no gradient reaches are left out of it."""
         w, n = self.w, len(target)
+        order = np.argsort((target // INNER).astype(np.uint8), kind="stable")  # by class: its words are one slice
+        context, target = context[order], target[order]
+        cls, word, rows = target // INNER, target % INNER, np.arange(n)
+        edge = np.searchsorted(cls, np.arange(CLASSES + 1))
+        some = np.nonzero(np.diff(edge))[0]
+        spans = [(k, slice(edge[k], edge[k + 1])) for k in some]
         x = w["E"][context].reshape(n, -1)
         a = np.tanh(x @ w["W"] + w["b"])
-        cls, word = target // INNER, target % INNER
-        rows = np.arange(n)
         pc = _softmax(a @ w["C"] + w["c"])
-        loss = -np.log(pc[rows, cls] + 1e-20).sum()
+        p = np.empty((n, INNER), np.float32)
+        for k, r in spans:
+            np.matmul(a[r], w["I"][k], out=p[r])
+        p += w["i"][cls]
+        p = _softmax(p)
+        loss = -np.log(pc[rows, cls] + 1e-20).sum() - np.log(p[rows, word] + 1e-20).sum()
         pc[rows, cls] -= 1
+        p[rows, word] -= 1
         pc /= n
-        g = {"C": a.T @ pc, "c": pc.sum(0), "I": np.zeros_like(w["I"]), "i": np.zeros_like(w["i"])}
+        p /= n
         da = pc @ w["C"].T
-        order = np.argsort(cls, kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for k in np.nonzero(np.diff(edge))[0]:
-            r = order[edge[k] : edge[k + 1]]
-            ak = a[r]
-            p = _softmax(ak @ w["I"][k] + w["i"][k])
-            loss -= np.log(p[np.arange(len(r)), word[r]] + 1e-20).sum()
-            p[np.arange(len(r)), word[r]] -= 1
-            p /= n
-            g["I"][k], g["i"][k] = ak.T @ p, p.sum(0)
-            da[r] += p @ w["I"][k].T
+        inner = np.empty((len(some), HIDDEN, INNER), np.float32)
+        for j, (k, r) in enumerate(spans):
+            np.matmul(a[r].T, p[r], out=inner[j])
+            da[r] += p[r] @ w["I"][k].T
         dz = da * (1 - a * a)
-        g["W"], g["b"] = x.T @ dz, dz.sum(0)
         dx = (dz @ w["W"].T).reshape(-1, DIM)
-        flat = context.ravel()
-        g["E"] = np.stack([np.bincount(flat, dx[:, j], VOCAB + 1) for j in range(DIM)], 1).astype(np.float32)
-        for k, v in g.items():
-            sums[k] += v * v
-            w[k] -= rate * v / (np.sqrt(sums[k]) + 1e-6)
+        flat = context.ravel().astype(np.uint16)
+        by = np.argsort(flat, kind="stable")
+        flat = flat[by]
+        first = np.nonzero(np.diff(flat.astype(np.int32), prepend=-1))[0]
+        near = np.add.reduceat(dx[by], first, 0)
+        hit = slice(None) if len(some) == CLASSES else some
+        for k, at, v in (("C", ..., a.T @ pc), ("c", ..., pc.sum(0)), ("W", ..., x.T @ dz), ("b", ..., dz.sum(0)), ("I", hit, inner), ("i", hit, np.add.reduceat(p, edge[some], 0)), ("E", flat[first], near)):
+            sums[k][at] += v * v
+            root = np.sqrt(sums[k][at])
+            root += 1e-6
+            v *= rate
+            v /= root
+            w[k][at] -= v
         return float(loss) / n
 
     def prepared(self) -> list[np.ndarray]:
@@ -165,8 +175,11 @@ class Network:
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(1, keepdims=True))
-    return x / x.sum(1, keepdims=True)
+    """In place."""
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
 
 
 def padded(ids: np.ndarray) -> np.ndarray:
@@ -181,8 +194,20 @@ def windows(ids: np.ndarray, stride: int, phase: int) -> tuple[np.ndarray, np.nd
     return np.stack([x[at + j] for j in range(-SIDE, SIDE + 1) if j], 1) if len(at) else np.zeros((0, PLACES), np.int64), x[at]
 
 
-def train(ids: DataFrame, counts: np.ndarray, rounds: int = 6, stride: int = 48, batch: int = 1024, rate: float = 0.05, block: int = 1 << 14, adders: int = 8) -> Network:
-    """Average of the tasks' networks after each round. Each round takes every ``stride``-th word of every document, from another one on."""
+def places(blobs: list[bytes], stride: int, phase: int) -> tuple[np.ndarray, np.ndarray]:
+    """``windows`` of many packed documents at once, each from (phase + its length) mod stride on."""
+    edge = np.full(SIDE, VOCAB, np.uint16).tobytes()
+    x = np.frombuffer(edge + b"".join(v + edge for v in blobs), np.uint16)
+    size = np.array([len(v) // 2 for v in blobs], np.int64)
+    word = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    take = np.nonzero((word - phase - np.repeat(size, size)) % stride == 0)[0]
+    at = take + np.repeat(SIDE * np.arange(1, len(size) + 1), size)[take]
+    return np.stack([x[at + j] for j in range(-SIDE, SIDE + 1) if j], 1), x[at].astype(np.int64)
+
+
+def train(ids: DataFrame, counts: np.ndarray, rounds: int = 6, stride: int = 6, batch: int = 1024, rate: float = 0.05, block: int = 1 << 14, adders: int = 8) -> Network:
+    """Average of the tasks' networks after each round. Each round takes every ``stride``-th word of every document, from
+    another one on: as many rounds as the stride train on every word of every document once."""
     spark = ids.sparkSession
     net = Network.start(counts)
     size = len(net.flat())
@@ -193,21 +218,17 @@ def train(ids: DataFrame, counts: np.ndarray, rounds: int = 6, stride: int = 48,
         def run(batches, shared=shared, phase=phase):
             own, seen = net0().unflat(shared.value.copy()), 0
             sums = {k: np.full_like(v, 1e-8) for k, v in own.w.items()}
-            xs, ys, have = [], [], 0
+            xs, ys = np.zeros((0, PLACES), np.uint16), np.zeros(0, np.int64)
             for b in batches:
-                for x in b.column("ids").to_pylist():
-                    v = np.frombuffer(x, np.uint16)
-                    if len(v):
-                        c, t = windows(v, stride, (phase + len(v)) % stride)  # short documents have their turn in some rounds
-                        xs.append(c)
-                        ys.append(t)
-                        have += len(t)
-                    if have >= batch:
-                        own.step(np.concatenate(xs), np.concatenate(ys), sums, rate)
-                        seen, xs, ys, have = seen + have, [], [], 0
-            if have:
-                own.step(np.concatenate(xs), np.concatenate(ys), sums, rate)
-                seen += have
+                c, t = places(b.column("ids").to_pylist(), stride, phase)  # the first words aren't all of one round
+                xs, ys = np.concatenate([xs, c]), np.concatenate([ys, t])
+                whole = len(ys) - len(ys) % batch
+                for i in range(0, whole, batch):
+                    own.step(xs[i : i + batch], ys[i : i + batch], sums, rate)
+                seen, xs, ys = seen + whole, xs[whole:], ys[whole:]
+            if len(ys):
+                own.step(xs, ys, sums, rate)
+                seen += len(ys)
             if seen:
                 flat = own.flat() * np.float64(seen)
                 cut = [flat[i : i + block].tobytes() for i in range(0, size, block)]

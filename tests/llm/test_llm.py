@@ -180,6 +180,21 @@ def test_scores(spark):
     assert abs(got[7].pll - net.log_probs(net.prepared(), scoring.padded(long)).sum(dtype=np.float64)) < 0.5
 
 
+def test_rounds_cover_every_word():
+    """The rounds of the query's training take each word of each document once, in documents of one word too."""
+    import inspect
+
+    use = inspect.signature(scoring.train).parameters
+    rounds, stride = use["rounds"].default, use["stride"].default
+    docs = [np.arange(n) + 100 * n for n in range(1, 40)] + [np.zeros(0, int)]
+    blobs = [d.astype(np.uint16).tobytes() for d in docs]
+    got = [scoring.places(blobs, stride, (r * stride) // rounds) for r in range(rounds)]
+    assert sorted(np.concatenate([t for _, t in got]).tolist()) == sorted(np.concatenate(docs).tolist())
+    for k, (c, t) in enumerate(got):
+        each = [scoring.windows(d, stride, ((k * stride) // rounds + len(d)) % stride) for d in docs]
+        assert np.array_equal(c, np.concatenate([x for x, _ in each])) and np.array_equal(t, np.concatenate([x for _, x in each]))
+
+
 # --- substring deduplication ---
 
 
