@@ -1,15 +1,16 @@
 """Masked pseudo-likelihood: a window network predicts every word from the words on both sides.
 
-The vocabulary is the corpus's most frequent words (counted over all documents) and hash buckets for the others. The
-network adds a projected embedding for each place of the window, goes through tanh, and gives a two-level softmax
+The vocabulary is the corpus's most frequent words (counted over all documents) and hash buckets for the others; a word
+of a bucket also has its probability within the bucket, from counts of every word of all documents. The network adds a projected embedding for each place of the window, goes through tanh, and gives a two-level softmax
 (class, then word of the class; classes are runs of frequency ranks). It is trained in numpy by rounds of local
 Adagrad on every task's documents, after which the tasks' weights are averaged. A document's score is the sum of its
-words' conditional log-probabilities.
+words' conditional log-probabilities. Counts of rare words stay on the executors, dealt by the words' hashes.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -17,16 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import WordIds, bare, crc, lean, ready, saved, table
+from lumenframe.llm.common import WordIds, bare, crc, lean, partitions, ready, saved, table
 
 CLASSES, INNER, UNKNOWN = 64, 64, 64
 VOCAB = CLASSES * INNER
 SIDE, DIM, HIDDEN = 2, 16, 32
 PLACES = 2 * SIDE
+DEAL_WORDS = 2_000_000  # rare words that are counted at once
 
 
 def vocabulary(docs: DataFrame, size: int = VOCAB - UNKNOWN) -> list[tuple[str, int]]:
-    """The ``size`` most frequent words of all documents with their counts (ties: by word), and the words of all others as one count."""
+    """The ``size`` most frequent words of all documents with their counts (ties: by word)."""
 
     def count(batches):
         bares, n = WordIds(bare), Counter()
@@ -52,28 +54,101 @@ def _counts(n: Counter, bares: WordIds) -> pa.RecordBatch:
 
 
 def token_ids(words: dict[str, int]) -> WordIds:
-    """raw word -> id: its rank, or a bucket among the last UNKNOWN ids."""
+    """raw word -> id (low 16 bits): its rank, or a bucket among the last UNKNOWN ids, with 48 bits of the word's hash above it."""
 
     def rule(w):
         w = bare(w)
         i = words.get(w)
-        return VOCAB - UNKNOWN + crc(w) % UNKNOWN if i is None else i
+        if i is not None:
+            return i
+        h = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=6).digest(), "little")
+        return h << 16 | (VOCAB - UNKNOWN + crc(w) % UNKNOWN)
 
     return WordIds(rule)
 
 
 def encoded(docs: DataFrame, words: list[str]) -> DataFrame:
-    """doc_id and ids (packed 16-bit) of every document, written once; null text: no ids."""
+    """doc_id, row (a number of the row's own), ids (packed 16-bit) and rare (packed 64-bit: id and hash of each word outside ``words``)
+    of every document, written once; null text: no ids."""
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})  # at most VOCAB words
 
     def run(batches):
-        get = token_ids(ranks.value).__getitem__
+        from pyspark import TaskContext
+
+        get, row = token_ids(ranks.value).__getitem__, TaskContext.get().partitionId() << 32
+        for b in batches:
+            ids, rare = [], []
+            for t in b.column("text").to_pylist():
+                v = np.fromiter(map(get, t.split()), np.uint64) if t else np.zeros(0, np.uint64)
+                low = (v & np.uint64(0xFFFF)).astype(np.uint16)
+                ids.append(low.tobytes())
+                rare.append(v[low >= VOCAB - UNKNOWN].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(range(row, row + len(ids)), pa.int64()), pa.array(ids, pa.binary()), pa.array(rare, pa.binary())], names=["doc_id", "row", "ids", "rare"])
+            row += len(ids)
+
+    return saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, row long, ids binary, rare binary"), "lm-ids")
+
+
+def id_counts(ids: DataFrame) -> np.ndarray:
+    """How often each id is in all documents, the buckets' included; at most VOCAB rows come to the driver."""
+
+    def count(batches):
+        n = np.zeros(VOCAB, np.int64)
+        for b in batches:
+            n += np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), np.uint16), minlength=VOCAB)
+        at = np.nonzero(n)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["id", "n"])
+
+    got = ids.select("ids").mapInArrow(lean(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(VOCAB)
+    out[got["id"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def within_buckets(ids: DataFrame, counts: np.ndarray, deal_words: int = DEAL_WORDS) -> DataFrame:
+    """row, inside: the sum of log p(word | bucket) over each row's rare words, in several rows a document.
+
+    p is the word's count in all of ``ids`` by its bucket's plus one; that one is left to words that were never seen.
+    Words go to tasks by their hashes, packed by batch and task, so no count leaves its task."""
+    spark = ids.sparkSession
+    tasks = max(partitions(spark), -(-int(counts[VOCAB - UNKNOWN :].sum()) // deal_words))
+
+    def deal(batches):
+        for b in batches:
+            blobs = b.column("rare").to_pylist()
+            key = np.frombuffer(b"".join(blobs), np.uint64)
+            row = np.repeat(b.column("row").to_numpy(), [len(x) // 8 for x in blobs])
+            to = ((key >> np.uint64(16)) % np.uint64(tasks)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            key, row, to = key[order], row[order], to[order]
+            some = np.unique(to)
+            edge = np.searchsorted(to, np.append(some, tasks))
+            cut = list(zip(edge[:-1], edge[1:]))
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([key[a:z].tobytes() for a, z in cut], pa.binary()), pa.array([row[a:z].tobytes() for a, z in cut], pa.binary())], names=["task", "keys", "at"])
+
+    def sums(keys: list[bytes], at: list[bytes]):
+        key, row = np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(at), np.int64)
+        _, word, n = np.unique(key, return_inverse=True, return_counts=True)
+        lp = np.log(n)[word] - np.log(counts[(key & np.uint64(0xFFFF)).astype(np.int64)] + 1)
+        rows, doc = np.unique(row, return_inverse=True)
+        inside = np.bincount(doc, lp, len(rows))
+        for i in range(0, len(rows), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(rows[i : i + (1 << 16)]), pa.array(inside[i : i + (1 << 16)])], names=["row", "inside"])
+
+    def look(batches):
+        now, keys, at = None, [], []
         for b in batches:
-            ids = [np.fromiter(map(get, t.split()), np.uint16).tobytes() if t else b"" for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            for k, x, y in zip(*(b.column(c).to_pylist() for c in ("task", "keys", "at"))):
+                if k != now:  # one share at a time, should several have come to this task
+                    yield from sums(keys, at)
+                    now, keys, at = k, [], []
+                keys.append(x)
+                at.append(y)
+        yield from sums(keys, at)
 
-    return saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, ids binary"), "lm-ids")
+    dealt = ids.select("row", "rare").mapInArrow(lean(deal), "task long, keys binary, at binary")
+    return dealt.repartition(tasks, "task").sortWithinPartitions("task").mapInArrow(lean(look), "row long, inside double")
 
 
 class Network:
@@ -261,8 +336,8 @@ def net0() -> Network:
     return Network.start(np.zeros(VOCAB))
 
 
-def score(ids: DataFrame, net: Network) -> DataFrame:
-    """doc_id, n_tokens, pll (sum of log-probabilities) and mean_logprob (null without words)."""
+def score(ids: DataFrame, net: Network, counts: np.ndarray | None = None) -> DataFrame:
+    """doc_id, n_tokens, pll (sum of log-probabilities) and mean_logprob (null without words). counts: those of ``ids``, if known."""
     shared = ids.sparkSession.sparkContext.broadcast(net.w)
 
     def run(batches):
@@ -286,10 +361,13 @@ def score(ids: DataFrame, net: Network) -> DataFrame:
             if held:
                 _add(own, tables, held, places, sums)
             n = np.array([len(v) for v in blobs], np.int64)
-            mean = [s / k if k else None for s, k in zip(sums.tolist(), n.tolist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(sums), pa.array(mean, pa.float64())], names=["doc_id", "n_tokens", "pll", "mean_logprob"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(n), pa.array(sums)], names=["row", "doc_id", "n_tokens", "pll"])
 
-    return ids.mapInArrow(lean(run), "doc_id long, n_tokens long, pll double, mean_logprob double")
+    known = ids.select("row", "doc_id", "ids").mapInArrow(lean(run), "row long, doc_id long, n_tokens long, pll double")
+    inside = within_buckets(ids, id_counts(ids) if counts is None else counts).select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_tokens"), F.col("inside").alias("pll"))
+    # a document is one row of the first, so the largest doc_id and count are its own
+    every = known.unionByName(inside).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("pll").alias("pll"))
+    return every.select("doc_id", "n_tokens", "pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")).alias("mean_logprob"))
 
 
 def _add(net: Network, tables, held, places, sums: np.ndarray) -> None:
@@ -303,7 +381,5 @@ def op2_masked_pll(spark, sf_dir: str) -> DataFrame:
     docs = table(ready(spark), sf_dir, "documents")
     words = vocabulary(docs)
     ids = encoded(docs, [w for w, _ in words])
-    counts = np.zeros(VOCAB)
-    counts[: len(words)] = [n for _, n in words]
-    counts[VOCAB - UNKNOWN :] = max(1, words[-1][1] if words else 1)
-    return score(ids, train(ids, counts))
+    counts = id_counts(ids)
+    return score(ids, train(ids, counts), counts)

@@ -195,6 +195,33 @@ def test_rounds_cover_every_word():
         assert np.array_equal(c, np.concatenate([x for x, _ in each])) and np.array_equal(t, np.concatenate([x for _, x in each]))
 
 
+def test_rare_words_have_their_own_probability(spark):
+    """Words outside the vocabulary get p(bucket) p(word | bucket) from all documents' counts, in whichever task they are counted."""
+    rows = [(i, f"aa bb common{i % 2} " * 3) for i in range(20)] + [(30, "seldom " * 8), (31, "gibberish"), (32, "Seldom, seldom"), (33, None), (33, "gibberish aa")]
+    df = docs_of(spark, rows)
+    ids = scoring.encoded(df, ["aa", "bb"])
+    counts = scoring.id_counts(ids)
+    count, first = {"common0": 30, "common1": 30, "seldom": 10, "gibberish": 2}, scoring.VOCAB - scoring.UNKNOWN
+    bucket = {w: first + scoring.crc(w) % scoring.UNKNOWN for w in count}
+    for b in range(first, scoring.VOCAB):
+        assert counts[b] == sum(n for w, n in count.items() if bucket[w] == b)
+    assert (counts[0], counts[1]) == (61, 60) and counts.sum() == 61 + 60 + 72
+    inside = {w: np.log(count[w] / (counts[bucket[w]] + 1)) for w in count}
+    net = scoring.Network.start(counts)
+    stored = {r.row: r for r in ids.collect()}
+    for deal in (scoring.DEAL_WORDS, 5):  # one task or many
+        sums = {}
+        for r in scoring.within_buckets(ids, counts, deal).collect():
+            sums[stored[r.row].doc_id] = sums.get(stored[r.row].doc_id, 0) + r.inside
+        assert abs(sums[30] - 8 * inside["seldom"]) < 1e-6 and abs(sums[31] - inside["gibberish"]) < 1e-6 and abs(sums[32] - 2 * inside["seldom"]) < 1e-6 and abs(sums[0] - 3 * inside["common0"]) < 1e-6
+    got = [(r.doc_id, r.n_tokens, r.pll) for r in scoring.score(ids, net).collect()]
+    assert sorted((d, n) for d, n, _ in got) == sorted((d, len((t or "").split())) for d, t in rows)
+    alone = {r.doc_id: net.log_probs(net.prepared(), scoring.padded(np.frombuffer(r.ids, np.uint16))).sum() for r in stored.values() if r.doc_id != 33}
+    for d, _, p in got:
+        if d in (30, 31, 32):
+            assert abs(p - alone[d] - sums[d]) < 1e-3
+
+
 # --- substring deduplication ---
 
 
