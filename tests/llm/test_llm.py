@@ -345,6 +345,32 @@ def test_retrieval_recall():
     assert want >= 50 and hits / want >= 0.9
 
 
+def test_short_items_are_found(spark):
+    """Copies of items of 3 to 15 words among rare words, and copies without a word, against brute force."""
+    r = random.Random(5)
+    bench = [" ".join(f"item{i % 9}w{k}" if k % 3 else f"q{r.randrange(40)}" for k in range(3 + i % 13)) for i in range(39)]
+    rows = []
+    for d in range(156):
+        w, rare = bench[d % 39].split(), [f"rare{d}x{k}" for k in range(120)]
+        if d % 2 and len(w) >= 8:
+            del w[r.randrange(len(w))]
+        at = r.randint(0, 120)
+        rows.append((d, " ".join(rare[:at] + (w if d % 4 < 3 else w[: len(w) // 3]) + rare[at:])))
+    df = docs_of(spark, rows)
+    idf = decontam.word_idf(df)
+    its = [decontam.Item(i, t) for i, t in enumerate(bench)]
+    terms = np.unique(np.concatenate([x.words for x in its]))
+    find, want = decontam.Retriever(its, terms, np.zeros((len(terms), 1), np.float32), idf), set()
+    for d, t in rows:
+        words = decontam.words_of([t])[0]
+        for it in its:
+            cover, answer = find.coverage(it, words)
+            if cover >= decontam.FULL or (cover >= decontam.PART and answer >= decontam.ANSWER):
+                want.add((d, it.item_id))
+    got = {(x.doc_id, x.item_id) for x in decontam.leaks(df, spark.createDataFrame(list(enumerate(bench)), "item_id int, text string")).collect()}
+    assert got == want and len(want) > 90
+
+
 # --- fingerprints ---
 
 
