@@ -172,6 +172,9 @@ def op1_langid(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language; those without any letter (``und``) go. Learns from the documents that it is given."""
+    """Documents in a language; those without any letter (``und``) go. Learns from the documents that it is given; where they
+    teach no language, all with a letter stay."""
     langs, logp = fit(training_rows(docs))
+    if not langs:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
     return predict(docs, langs, logp, tuple(docs.columns)).where(f"lang_pred <> '{UNKNOWN}'").select(*docs.columns)

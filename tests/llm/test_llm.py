@@ -136,6 +136,12 @@ def test_language(spark):
     assert langid.fit(langid.training_rows(docs_of(spark, ODD)))[0] == []
 
 
+def test_stage_without_labels(spark):
+    """Where no language can be learned, documents with a letter stay."""
+    kept = langid.stage_language(spark, docs_of(spark, [(1, "some text"), (2, "漢字"), (3, "1 2 3 ..."), (4, ""), (5, None)]), "")
+    assert {r.doc_id for r in kept.collect()} == {1, 2} and kept.columns == [c.split()[0] for c in DOCS.split(", ")]
+
+
 # --- language-model scoring ---
 
 
