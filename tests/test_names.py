@@ -25,6 +25,12 @@ NAMES = [
     ("[1975] Welfare (1975, 168')", dict(title="Welfare", year=1975, countries=["168'"])),
     ("[1973] Juan Moreira [rodriguezalvarez.com]", dict(title="Juan Moreira", year=1973)),
     ("EL_DEPENDIENTE [multiplexado]", dict(title="EL DEPENDIENTE [multiplexado]")),
+    ("(1990) 1080p", dict(title="1990) 1080p", year=1990, resolution="1080p")),
+    ("Some Film_Jane Doe x", dict(title="Some Film", director="Jane Doe x")),
+    ("Some Film_[tag] x", dict(title="Some Film [tag] x")),
+    ("A_B C_D", dict(title="A_B C_D")),
+    ("Foo.Bar.H.264.AAC-GRP", dict(title="Foo Bar", codec="H.264", release_group="GRP")),
+    ("", {}),
     ("300 - Rise of an Empire (2014)", dict(title="300 - Rise of an Empire", year=2014)),
 ]
 
@@ -42,6 +48,13 @@ READINGS = [
     (("Foo", "foo"), []),
     (("Spider-Man", ""), []),
     (("La notte", ""), []),
+    (("mediterraneo g salvatore", ""), [("mediterraneo g", "salvatore"), ("mediterraneo", "g salvatore")]),
+    (("L'ivresse du pouvoir,C Chabrol", ""), [("L'ivresse du pouvoir", "C Chabrol")]),
+    (("300 - Rise of an Empire Smith", ""), []),
+    (("Amélie", "Amelie"), []),
+    (("Amarcord", ""), []),
+    (("", ""), []),
+    (("Azor - ÁZOR", ""), [("Azor", "ÁZOR")]),
 ]
 
 
