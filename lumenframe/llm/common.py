@@ -118,27 +118,72 @@ def crc(word: str) -> int:
 
 _INSIDE = np.array([chr(i).isalnum() if i < 128 else True for i in range(256)])
 _MARKS = re.compile("[\xa0-\xbf\xd7\xf7\u2000-\u206f\u3000-\u303f\uff00-\uff0f]")
-_BASE = 0x9E3779B97F4A7C15
-_POWERS: list[np.ndarray] = []
-
-
-def hashed_words(texts: list[str | None], bits: int, chunk: int = 1 << 18) -> list[np.ndarray]:
-    """Hashes of ``bits`` bits (64: unsigned) of each text's words (runs of letters and digits, lower case), in order, all in numpy: some 40 MB/s."""
+#: Masks of the first n bytes of a little-endian word.
+FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+LONG = 256  # longer spans are hashed or compared one by one
+
+
+def eights(raw: bytes) -> np.ndarray:
+    """The eight bytes from each place of ``raw`` on, as little-endian words (zeros after its end): a view, nothing is copied per place."""
+    return np.ndarray((len(raw) + 1,), "<u8", raw + bytes(8), 0, (1,))
+
+
+def span_hashes(raw: bytes, a: np.ndarray, z: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of the spans raw[a:z], never 0. Eight bytes at a time, each mixed in by steps that aren't linear, so
+    no family of spans collides as those of a polynomial do; spans over LONG bytes by xxh3."""
+    words = eights(raw) if words is None else words
+    n = z - a
+    h = n.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    todo, at = slice(None), a
+    left = n
+    long = np.nonzero(n > LONG)[0]
+    while True:
+        x = h[todo] ^ (words[at] & FIRST[np.minimum(left, 8)])
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        h[todo] = x ^ (x >> np.uint64(32))
+        more = np.nonzero((left > 8) & (left <= LONG))[0]
+        if not len(more):
+            break
+        todo = more if isinstance(todo, slice) else todo[more]
+        at, left = at[more] + 8, left[more] - 8
+    if len(long):
+        import xxhash
+
+        h[long] = [xxhash.xxh3_64_intdigest(raw[i:j]) for i, j in zip(a[long].tolist(), z[long].tolist())]
+    return h | np.uint64(1)
+
+
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of letters and digits (any byte of a character outside ASCII counts as one); the last byte is no letter."""
+    edge = np.diff(_INSIDE[data].astype(np.int8), prepend=0)
+    return np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+
+
+_SPACE = np.isin(np.arange(256), [0, 9, 10, 11, 12, 13, 28, 29, 30, 31, 32])
+
+
+def bare_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words between white space, without the marks at their ends; a word of marks only stays
+    itself. The last byte of ``data`` is white space."""
+    edge = np.diff((~_SPACE[data]).astype(np.int8), prepend=0)
+    a, z = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+    letters = np.nonzero(_INSIDE[data])[0]
+    i, j = np.searchsorted(letters, a), np.searchsorted(letters, z)
+    some = np.nonzero(i < j)[0]
+    a[some], z[some] = letters[i[some]], letters[j[some] - 1] + 1
+    return a, z
+
+
+def hashed_words(texts: list[str | None], bits: int, chunk: int = 1 << 18, spans=word_spans) -> list[np.ndarray]:
+    """Hashes of ``bits`` bits (64: unsigned) of each text's words (those of ``spans``, in lower case), in order, all in numpy."""
     none = np.zeros(0, np.uint64 if bits == 64 else np.int64)
     out, held, places, size = [none] * len(texts), [], [], 0
 
     def flush() -> None:
         raw = b"\0".join(held) + b"\0"
-        data = np.frombuffer(raw, np.uint8)
-        if not _POWERS or len(_POWERS[0]) < len(data) + 1:
-            n = max(len(data) + 1, 1 << 19)
-            _POWERS[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, b, np.uint64))]) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
-        edge = np.diff(_INSIDE[data].astype(np.int8), prepend=0)
-        a, z = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(data * _POWERS[0][: len(data)], out=sums[1:])
-        h = (sums[z] - sums[a]) * _POWERS[1][a]
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        a, z = spans(np.frombuffer(raw, np.uint8))
+        h = span_hashes(raw, a, z)
         h = h if bits == 64 else (h >> np.uint64(64 - bits)).astype(np.int64)
         stops = np.searchsorted(a, np.cumsum([len(x) + 1 for x in held])).tolist()
         for i, lo, hi in zip(places, [0, *stops], stops):

@@ -3,8 +3,8 @@
 Both vocabularies used here never merge across white space, nor across the parts that their own patterns cut, so a
 text's ids are those of its parts one after another. Parts repeat: each distinct one is encoded by the library once and
 remembered (white-space pieces first, the parts of new pieces next); texts are cut, and their pieces looked up, in
-numpy. Pieces with other than Latin letters, and texts with unusual white space, go through the library's whole chain
-of steps.
+numpy (by a hash, then by their bytes). Pieces with other than Latin letters, and texts with unusual white space, go
+through the library's whole chain of steps; texts that hold one of a vocabulary's special tokens go to it whole.
 ``tests/llm`` holds the two ways against each other.
 """
 
@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import lean, partitions, ready, scratch
+from lumenframe.llm.common import FIRST, LONG, eights, lean, partitions, ready, scratch, span_hashes
 
 #: Python takes these for white space, the library doesn't.
 ODD = re.compile(r"[\x1c-\x1f]")
@@ -39,18 +39,22 @@ WORD_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\
 WIDE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x00]")
 END = 0x1C  # between texts
 SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
 
 
 class Pool:
-    """hash of a piece -> its ids: an open-addressing table in numpy and one array of ids, some 30 bytes a piece."""
+    """piece -> its ids: an open-addressing table by hash in numpy, the pieces' bytes, and one array of ids; some 50 bytes a piece."""
 
     def __init__(self, dtype, bits: int):
         self.mask = (1 << bits) - 1
         self.keys = np.zeros(1 << bits, np.uint64)
         self.at, self.n = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
+        self.byte_at, self.byte_n = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
         self.ids, self.used, self.count, self.most = np.zeros(1 << 16, dtype), 0, 0, (1 << bits) * 6 // 10
+        self.bytes, self.bytes_used = np.zeros(1 << 18, np.uint8), 0
+        self._view()
+
+    def _view(self) -> None:
+        self.words = np.ndarray((len(self.bytes) - 8,), "<u8", self.bytes, 0, (1,))
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Slot of each hash, -1 where it isn't known."""
@@ -67,8 +71,23 @@ class Pool:
             todo = todo[~hit & (key != 0)]
         return out
 
-    def add(self, h: np.ndarray, blobs: list[bytes]) -> None:
-        """Add distinct new hashes."""
+    def verified(self, slot: np.ndarray, raw: bytes, words: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """``slot``, with -1 where the piece raw[a:z] isn't, byte for byte, the one that the slot holds."""
+        n, at = z - a, self.byte_at[slot]
+        good = (slot >= 0) & (self.byte_n[slot] == n)
+        todo, here, left = np.nonzero(good)[0], 0, None
+        while len(todo):
+            left = n[todo] - here
+            same = (words[a[todo] + here] ^ self.words[at[todo] + here]) & FIRST[np.minimum(left, 8)] == 0
+            good[todo[~same]] = False
+            here += 8
+            todo = todo[same & (left > 8) & (n[todo] <= LONG)]
+        for i in np.nonzero(good & (n > LONG))[0].tolist():
+            good[i] = raw[a[i] : z[i]] == self.bytes[at[i] : at[i] + n[i]].tobytes()
+        return np.where(good, slot, -1)
+
+    def add(self, h: np.ndarray, pieces: list[bytes], blobs: list[bytes]) -> None:
+        """Add pieces with distinct new hashes."""
         size = self.ids.itemsize
         n = np.array([len(b) // size for b in blobs], np.int32)
         new = np.frombuffer(b"".join(blobs), self.ids.dtype)
@@ -78,22 +97,33 @@ class Pool:
         at = self.used + np.concatenate([[0], np.cumsum(n)[:-1]])
         self.used += len(new)
         self.count += len(h)
+        byte_n = np.array([len(x) for x in pieces], np.int32)
+        text = np.frombuffer(b"".join(pieces), np.uint8)
+        if self.bytes_used + len(text) + 8 > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros(len(self.bytes) + len(text), np.uint8)])
+            self._view()
+        self.bytes[self.bytes_used : self.bytes_used + len(text)] = text
+        byte_at = self.bytes_used + np.concatenate([[0], np.cumsum(byte_n)[:-1]])
+        self.bytes_used += len(text)
         slot, todo = (h & np.uint64(self.mask)).astype(np.int64), np.arange(len(h))
         while len(todo):
             s = slot[todo]
             free = np.nonzero(self.keys[s] == 0)[0]
             s_free, first = np.unique(s[free], return_index=True)
             won = todo[free[first]]
-            self.keys[s_free], self.at[s_free], self.n[s_free] = h[won], at[won], n[won]
+            self.keys[s_free], self.at[s_free], self.n[s_free], self.byte_at[s_free], self.byte_n[s_free] = h[won], at[won], n[won], byte_at[won], byte_n[won]
             todo = np.setdiff1d(todo, won, assume_unique=True)
             slot[todo] = (slot[todo] + 1) & self.mask
 
 
 class Encoder:
-    """ids(text) -> bytes of little-endian unsigned 16- or 32-bit ids. kind: 'byte' keeps white space, 'word' drops it and case.
+    """ids(text) -> bytes of little-endian unsigned 16- or 32-bit ids, those of the library with add_special_tokens=False.
+    kind: 'byte' keeps white space, 'word' drops it and case.
+
+    A piece is found by a 64-bit hash and compared byte by byte. The first pieces of up to LONGEST bytes fill the table
+    (frequent ones come early); others are encoded each time they occur in a call."""
 
-    Pieces are known by 64-bit hashes of their bytes (two of a table's pieces share one with a probability under
-    10^-7). The first pieces fill the table (frequent ones come early); later ones are encoded each time they occur in a call."""
+    LONGEST = 4096
 
     def __init__(self, path: str, kind: str, bits: int = 21, most_parts: int = 300_000):
         import os
@@ -102,7 +132,7 @@ class Encoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tok, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = self.bare.encode_special_tokens = True
+        self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 65536 else "<u4")
@@ -110,7 +140,6 @@ class Encoder:
         self.pieces, self.parts = (str.split, WORD_PARTS) if self.word else (BYTE_PIECES, BYTE_PARTS)
         self.pool, self.most_parts = Pool(self.dtype, bits), most_parts
         self.part_cache: dict[str, bytes] = {}
-        self.powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
     def _run(self, tok, pieces: list[str], into: dict[str, bytes]) -> None:
         for i in range(0, len(pieces), 20_000):
@@ -146,11 +175,6 @@ class Encoder:
         self._run(self.tok, whole, odd)
         return [odd[p] if xs is None else get(xs[0]) if len(xs) == 1 else b"".join(map(get, xs)) for p, xs in zip(new, cut)]
 
-    def _grow(self, n: int) -> None:
-        if len(self.powers[0]) < n:
-            n = max(n, 1 << 19)
-            self.powers = tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, b, np.uint64))]) for b in (BASE, INVERSE))
-
     def spans(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the pieces of texts that END follows: the rules of BYTE_PIECES, or of a split at white space."""
         space = SPACES[data]
@@ -172,24 +196,30 @@ class Encoder:
     def _some(self, texts: list[bytes]) -> list[bytes]:
         raw = b"\x1c".join(texts) + b"\x1c"
         data = np.frombuffer(raw, np.uint8)
-        self._grow(len(data) + 1)
         a, z = self.spans(data)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(data * self.powers[0][: len(data)], out=sums[1:])
-        h = (sums[z] - sums[a]) * self.powers[1][a]
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(29))) | np.uint64(1)
+        words = eights(raw)
+        h = span_hashes(raw, a, z, words)
         slot = self.pool.find(h)
+        slot = self.pool.verified(slot, raw, words, a, z)
         extra_at = np.zeros(0, np.int64)
-        if (slot < 0).any():
-            new = np.nonzero(slot < 0)[0]
-            keys, first, back = np.unique(h[new], return_index=True, return_inverse=True)
-            blobs = self.learn([raw[i:j].decode() for i, j in zip(a[new[first]].tolist(), z[new[first]].tolist())])
-            if self.pool.count + len(keys) <= self.pool.most:
-                self.pool.add(keys, blobs)
-                slot[new] = self.pool.find(keys)[back]
-            else:
-                extra_at = new
+        new = np.nonzero(slot < 0)[0]
+        if len(new):
+            number: dict[bytes, int] = {}
+            back = np.array([number.setdefault(raw[i:j], len(number)) for i, j in zip(a[new].tolist(), z[new].tolist())], np.int64)
+            pieces = list(number)
+            blobs = self.learn([x.decode() for x in pieces])
+            first = np.full(len(pieces), -1, np.int64)
+            first[back[::-1]] = new[::-1]
+            keys, one = np.unique(h[first], return_index=True)  # of pieces that share a hash, one has its place
+            fits = (self.pool.find(keys) < 0) & (z[first[one]] - a[first[one]] <= self.LONGEST)
+            keys, one = keys[fits], one[fits]
+            if len(keys) and self.pool.count + len(keys) <= self.pool.most:
+                self.pool.add(keys, [pieces[i] for i in one.tolist()], [blobs[i] for i in one.tolist()])
+                kept = np.zeros(len(pieces), bool)
+                kept[one] = True
+                slot[new] = np.where(kept[back], self.pool.find(h[new]), -1)
+            extra_at = new[slot[new] < 0]
+            back = back[slot[new] < 0]
         n, at, ids = self.pool.n[slot].astype(np.int64), self.pool.at[slot].astype(np.int64), self.pool.ids
         if len(extra_at):  # ids of pieces that the table has no room for stand behind its own, for this call
             size = self.dtype.itemsize
@@ -212,8 +242,9 @@ class Encoder:
             for i, t in enumerate(texts):
                 if not t:
                     continue
-                if WIDE.search(t):
-                    out[i] = np.array(self.tok.encode(t, add_special_tokens=False).ids, self.dtype).tobytes() if ODD.search(t) else b"".join(self.learn(self.pieces(t)))
+                special = any([x in t for x in self.specials])
+                if special or WIDE.search(t):
+                    out[i] = np.array(self.tok.encode(t, add_special_tokens=False).ids, self.dtype).tobytes() if special or ODD.search(t) else b"".join(self.learn(self.pieces(t)))
                     continue
                 held.append(t.encode())
                 places.append(i)

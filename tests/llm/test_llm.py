@@ -39,15 +39,53 @@ def test_encoder_is_the_library(kind):
 
     path = public_tokenizers.path(FILES[kind])
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
     own = tokens.Encoder(path, kind, bits=6, most_parts=50)  # so small that everything overflows
     r = random.Random(2)
     letters = "ab'sS tΣσİſé́  \n\t \x1c\x85\x00  .,1²٣½ñ漢가😀‍_ÅÅ"
-    texts = [t for _, t in ODD if t] + ["<|endoftext|> it's", "a  b   c\n\n d ", " lead", "x " * 200] + ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(1500)]
+    texts = [t for _, t in ODD if t] + ["<|endoftext|> it's", "hello <|endoftext|> world", "<|startoftext|>x<|ENDOFTEXT|> <|endoftext", "a  b   c\n\n d ", " lead", "x " * 200] + ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(1500)]
     for got, t in zip(own.many(texts), texts):
         assert got == np.array(lib.encode(t, add_special_tokens=False).ids, own.dtype).tobytes(), repr(t)
 
 
+@pytest.mark.parametrize("kind", ["word", "byte"])
+def test_encoder_tells_like_words_apart(kind):
+    """Thue-Morse words and their complements, which polynomial hashes modulo 2^64 confuse; and pieces whose hashes are made equal."""
+    from tokenizers import Tokenizer
+
+    lib, own = Tokenizer.from_file(public_tokenizers.path(FILES[kind])), tokens.Encoder(public_tokenizers.path(FILES[kind]), kind)
+    for n in (64, 1024, 2048, 8192):
+        a = "".join("ab"[i.bit_count() & 1] for i in range(n))
+        text = f"x {a} {a.translate(str.maketrans('ab', 'ba'))}"
+        for _ in range(2):
+            assert own.many([text]) == [np.array(lib.encode(text, add_special_tokens=False).ids, own.dtype).tobytes()]
+
+
+@pytest.mark.parametrize("kind", ["word", "byte"])
+def test_encoder_compares_bytes(kind, monkeypatch):
+    from tokenizers import Tokenizer
+
+    lib, own = Tokenizer.from_file(public_tokenizers.path(FILES[kind])), tokens.Encoder(public_tokenizers.path(FILES[kind]), kind)
+    monkeypatch.setattr(tokens, "span_hashes", lambda raw, a, z, words=None: ((z - a) % 3 + 1).astype(np.uint64))  # nearly all collide
+    texts = ["one two three four five six", "six seven eightandmore nine ten", "eightandmore eightandless " + "z" * 300 + " " + "z" * 299 + "y", "two six one"]
+    for _ in range(2):
+        for t, got in zip(texts, own.many(texts)):
+            assert got == np.array(lib.encode(t, add_special_tokens=False).ids, own.dtype).tobytes()
+
+
+def test_word_hashes():
+    from lumenframe.llm import common
+
+    a = "".join("ab"[i.bit_count() & 1] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    for n in (8, 64, 256, 300, 1024, 2048):
+        x = common.hashed_words([f"{a[:n]} {b[:n]} {a[:n]}", "é x"], 64)
+        assert x[0][0] != x[0][1] and x[0][0] == x[0][2] and len(x[1]) == 2
+    odd = "... don't (Foo) 漢字 \x1c a, --- _b_ 3.5% é"
+    got = common.hashed_words([odd], 64, spans=common.bare_spans)[0]
+    want = [common.hashed_words([common.bare(w)], 64, spans=common.bare_spans)[0][0] for w in odd.split()]
+    assert got.tolist() == [int(x) for x in want] and len(set(got.tolist())) == len(got)
+
+
 def test_token_files(spark, tmp_path):
     rows = ODD + [(100 + i, t) for i, t in enumerate(prose(1, 40))]
     path = tokens.write_tokens(docs_of(spark, rows, True), f"file://{tmp_path}/t", public_tokenizers.path(FILES["word"]), "word", 2, n=5)
