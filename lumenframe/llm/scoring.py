@@ -1,24 +1,24 @@
 """Masked pseudo-likelihood: a window network predicts every word from the words on both sides.
 
-The vocabulary is the corpus's most frequent words (counted over all documents) and hash buckets for the others; a word
-of a bucket also has its probability within the bucket, from counts of every word of all documents. The network adds a projected embedding for each place of the window, goes through tanh, and gives a two-level softmax
-(class, then word of the class; classes are runs of frequency ranks). It is trained in numpy by rounds of local
-Adagrad on every task's documents, after which the tasks' weights are averaged. A document's score is the sum of its
-words' conditional log-probabilities. Counts of rare words stay on the executors, dealt by the words' hashes.
+A word is what stands between white space, in lower case and without the marks at its ends; it is known by its 64-bit
+hash. The vocabulary is the corpus's most frequent words (counted over all documents) and hash buckets for the others;
+a word of a bucket also has its probability within the bucket, from counts of every word of all documents. The network
+adds a projected embedding for each place of the window, goes through tanh, and gives a two-level softmax (class, then
+word of the class; classes are runs of frequency ranks). It is trained in numpy by rounds of local Adagrad on every
+task's documents, after which the tasks' weights are averaged. A document's score is the sum of its words' conditional
+log-probabilities. Counts of rare words stay on the executors, dealt by the words' hashes.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import WordIds, bare, crc, lean, partitions, ready, saved, table
+from lumenframe.llm.common import bare_spans, hashed_words, lean, partitions, ready, saved, table
 
 CLASSES, INNER, UNKNOWN = 64, 64, 64
 VOCAB = CLASSES * INNER
@@ -27,65 +27,63 @@ PLACES = 2 * SIDE
 DEAL_WORDS = 2_000_000  # rare words that are counted at once
 
 
-def vocabulary(docs: DataFrame, size: int = VOCAB - UNKNOWN) -> list[tuple[str, int]]:
-    """The ``size`` most frequent words of all documents with their counts (ties: by word)."""
+def words_of(texts: list[str | None]) -> list[np.ndarray]:
+    """Hashes of each text's words, in order."""
+    return hashed_words(texts, 64, spans=bare_spans)
+
+
+def vocabulary(docs: DataFrame, size: int = VOCAB - UNKNOWN, held: int = 1 << 20) -> list[tuple[int, int]]:
+    """The ``size`` most frequent words (hashes) of all documents with their counts (ties: by hash)."""
 
     def count(batches):
-        bares, n = WordIds(bare), Counter()
+        parts, size = [], 0
         for b in batches:
-            for t in b.column("text").to_pylist():
-                if t:
-                    n.update(t.split())
-            if len(n) > 400_000:
-                yield _counts(n, bares)
-                n = Counter()
-        yield _counts(n, bares)
-
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(lean(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+            parts.append(np.concatenate([np.zeros(0, np.uint64), *words_of(b.column("text").to_pylist())]))
+            size += len(parts[-1])
+            if size > held:
+                yield counted(parts)
+                parts, size = [], 0
+        yield counted(parts)
+
+    def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+        word, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(lean(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [(r["word"], r["n"]) for r in rows.orderBy(F.desc("n"), "word").limit(size).collect()]
 
 
-def _counts(n: Counter, bares: WordIds) -> pa.RecordBatch:
-    out: dict[str, int] = {}
-    for w, k in n.items():
-        w = bares[w]
-        out[w] = out.get(w, 0) + k
-    return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=["word", "n"])
-
-
-def token_ids(words: dict[str, int]) -> WordIds:
-    """raw word -> id (low 16 bits): its rank, or a bucket among the last UNKNOWN ids, with 48 bits of the word's hash above it."""
+class TokenIds:
+    """hashes -> ids: a word's rank, or its bucket among the last UNKNOWN ids; and the same with 48 bits of the hash above it."""
 
-    def rule(w):
-        w = bare(w)
-        i = words.get(w)
-        if i is not None:
-            return i
-        h = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=6).digest(), "little")
-        return h << 16 | (VOCAB - UNKNOWN + crc(w) % UNKNOWN)
+    def __init__(self, words: np.ndarray):
+        self.order = np.argsort(words).astype(np.uint16)
+        self.words = np.append(words[self.order], np.uint64(0))  # hashes are never 0
 
-    return WordIds(rule)
+    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.words[:-1], h)
+        ids = (VOCAB - UNKNOWN + (h >> np.uint64(8)) % np.uint64(UNKNOWN)).astype(np.uint16)
+        known = self.words[at] == h
+        ids[known] = self.order[at[known]]
+        rare = ~known
+        return ids, (h[rare] >> np.uint64(16)) << np.uint64(16) | ids[rare]
 
 
-def encoded(docs: DataFrame, words: list[str]) -> DataFrame:
+def encoded(docs: DataFrame, words: list[int]) -> DataFrame:
     """doc_id, row (a number of the row's own), ids (packed 16-bit) and rare (packed 64-bit: id and hash of each word outside ``words``)
     of every document, written once; null text: no ids."""
     spark = docs.sparkSession
-    ranks = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})  # at most VOCAB words
+    ranks = spark.sparkContext.broadcast(np.array(words, np.int64).view(np.uint64))  # at most VOCAB words
 
     def run(batches):
         from pyspark import TaskContext
 
-        get, row = token_ids(ranks.value).__getitem__, TaskContext.get().partitionId() << 32
+        number, row = TokenIds(ranks.value), TaskContext.get().partitionId() << 32
         for b in batches:
-            ids, rare = [], []
-            for t in b.column("text").to_pylist():
-                v = np.fromiter(map(get, t.split()), np.uint64) if t else np.zeros(0, np.uint64)
-                low = (v & np.uint64(0xFFFF)).astype(np.uint16)
-                ids.append(low.tobytes())
-                rare.append(v[low >= VOCAB - UNKNOWN].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(range(row, row + len(ids)), pa.int64()), pa.array(ids, pa.binary()), pa.array(rare, pa.binary())], names=["doc_id", "row", "ids", "rare"])
-            row += len(ids)
+            got = [number(h) for h in words_of(b.column("text").to_pylist())]
+            cols = [pa.array(range(row, row + len(got)), pa.int64()), pa.array([x.tobytes() for x, _ in got], pa.binary()), pa.array([x.tobytes() for _, x in got], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=["doc_id", "row", "ids", "rare"])
+            row += len(got)
 
     return saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, row long, ids binary, rare binary"), "lm-ids")
 
@@ -238,14 +236,14 @@ class Network:
         cls, word = target // INNER, target % INNER
         s = a @ self.w["C"]
         s += self.w["c"]
-        out = s[np.arange(n), cls] - np.log(np.exp(s).sum(1))
+        out = _log_softmax_at(s, cls)
         order = np.argsort(cls, kind="stable")
         edge = np.searchsorted(cls[order], np.arange(CLASSES + 1))
         for k in np.nonzero(np.diff(edge))[0]:
             r = order[edge[k] : edge[k + 1]]
             s = a[r] @ self.w["I"][k]
             s += self.w["i"][k]
-            out[r] += s[np.arange(len(r)), word[r]] - np.log(np.exp(s).sum(1))
+            out[r] += _log_softmax_at(s, word[r])
         return out
 
 
@@ -257,6 +255,14 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """log softmax of each row at one place; in place."""
+    x -= x.max(1, keepdims=True)
+    out = x[np.arange(len(x)), at]
+    np.exp(x, out=x)
+    return out - np.log(x.sum(1))
+
+
 def padded(ids: np.ndarray) -> np.ndarray:
     edge = np.full(SIDE, VOCAB, np.int64)
     return np.concatenate([edge, ids.astype(np.int64), edge])
@@ -274,13 +280,14 @@ def places(blobs: list[bytes], stride: int, phase: int) -> tuple[np.ndarray, np.
     edge = np.full(SIDE, VOCAB, np.uint16).tobytes()
     x = np.frombuffer(edge + b"".join(v + edge for v in blobs), np.uint16)
     size = np.array([len(v) // 2 for v in blobs], np.int64)
-    word = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    take = np.nonzero((word - phase - np.repeat(size, size)) % stride == 0)[0]
-    at = take + np.repeat(SIDE * np.arange(1, len(size) + 1), size)[take]
+    first = (phase + size) % stride
+    n = np.maximum(0, -((first - size) // stride))
+    start = np.cumsum(size + SIDE) - size + first  # of each document's first word taken, in x
+    at = np.repeat(start - stride * (np.cumsum(n) - n), n) + stride * np.arange(n.sum())
     return np.stack([x[at + j] for j in range(-SIDE, SIDE + 1) if j], 1), x[at].astype(np.int64)
 
 
-def train(ids: DataFrame, counts: np.ndarray, rounds: int = 6, stride: int = 6, batch: int = 1024, rate: float = 0.05, block: int = 1 << 14, adders: int = 8) -> Network:
+def train(ids: DataFrame, counts: np.ndarray, rounds: int = 6, stride: int = 6, batch: int = 2048, rate: float = 0.05, block: int = 1 << 14, adders: int = 8) -> Network:
     """Average of the tasks' networks after each round. Each round takes every ``stride``-th word of every document, from
     another one on: as many rounds as the stride train on every word of every document once."""
     spark = ids.sparkSession

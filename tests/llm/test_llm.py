@@ -212,6 +212,12 @@ def test_scores(spark):
     df = docs_of(spark, ODD + [(100 + i, t) for i, t in rows], True)
     words = scoring.vocabulary(df)
     assert words == sorted(words, key=lambda w: (-w[1], w[0]))
+    seen = {}
+    for _, t in ODD + [(0, t) for _, t in rows]:
+        for h in scoring.words_of([t])[0].view(np.int64).tolist():
+            seen[h] = seen.get(h, 0) + 1
+    assert words == sorted(seen.items(), key=lambda w: (-w[1], w[0]))[: scoring.VOCAB - scoring.UNKNOWN]
+    assert scoring.vocabulary(df, 7, held=10) == words[:7]
     ids = scoring.encoded(df, [w for w, _ in words])
     counts = np.zeros(scoring.VOCAB)
     counts[: len(words)] = [n for _, n in words]
@@ -222,6 +228,16 @@ def test_scores(spark):
     assert got[103].n_tokens == len(v) and abs(got[103].pll - net.log_probs(net.prepared(), scoring.padded(v)).sum()) < 1e-2
     long = np.frombuffer(ids.where("doc_id = 7").first().ids, np.uint16)
     assert abs(got[7].pll - net.log_probs(net.prepared(), scoring.padded(long)).sum(dtype=np.float64)) < 0.5
+    for none in (docs_of(spark, []), docs_of(spark, [(1, None), (2, None)])):  # no rows, no words
+        ids = scoring.encoded(none, [w for w, _ in scoring.vocabulary(none)])
+        out = scoring.score(ids, scoring.train(ids, scoring.id_counts(ids), rounds=1, stride=1)).collect()
+        assert [(r.n_tokens, r.pll, r.mean_logprob) for r in out] == [(0, 0.0, None)] * none.count()
+
+
+def test_large_logits():
+    net = scoring.Network.start(np.ones(scoring.VOCAB))
+    net.w["c"][:] = np.linspace(-500, 500, scoring.CLASSES)
+    assert np.isfinite(net.log_probs(net.prepared(), scoring.padded(np.arange(300)))).all()
 
 
 def test_rounds_cover_every_word():
@@ -243,10 +259,12 @@ def test_rare_words_have_their_own_probability(spark):
     """Words outside the vocabulary get p(bucket) p(word | bucket) from all documents' counts, in whichever task they are counted."""
     rows = [(i, f"aa bb common{i % 2} " * 3) for i in range(20)] + [(30, "seldom " * 8), (31, "gibberish"), (32, "Seldom, seldom"), (33, None), (33, "gibberish aa")]
     df = docs_of(spark, rows)
-    ids = scoring.encoded(df, ["aa", "bb"])
+    hashes = lambda *words: scoring.words_of([" ".join(words)])[0]
+    ids = scoring.encoded(df, hashes("aa", "bb").view(np.int64).tolist())
     counts = scoring.id_counts(ids)
     count, first = {"common0": 30, "common1": 30, "seldom": 10, "gibberish": 2}, scoring.VOCAB - scoring.UNKNOWN
-    bucket = {w: first + scoring.crc(w) % scoring.UNKNOWN for w in count}
+    bucket = dict(zip(count, scoring.TokenIds(hashes("aa", "bb"))(hashes(*count))[0].tolist()))
+    assert all(first <= b < scoring.VOCAB for b in bucket.values())
     for b in range(first, scoring.VOCAB):
         assert counts[b] == sum(n for w, n in count.items() if bucket[w] == b)
     assert (counts[0], counts[1]) == (61, 60) and counts.sum() == 61 + 60 + 72
