@@ -24,6 +24,7 @@ CLASSES, INNER, UNKNOWN = 64, 64, 64
 VOCAB = CLASSES * INNER
 SIDE, DIM, HIDDEN = 2, 16, 32
 PLACES = 2 * SIDE
+PIECE = 1 << 13  # words scored at once
 DEAL_WORDS = 2_000_000  # rare words that are counted at once
 
 
@@ -80,14 +81,22 @@ def encoded(docs: DataFrame, words: list[int]) -> DataFrame:
 
         number, row = TokenIds(ranks.value), TaskContext.get().partitionId() << 32
         for b in batches:
-            got = [number(h) for h in words_of(b.column("text").to_pylist())]
-            cols = [pa.array(range(row, row + len(got)), pa.int64()), pa.array([x.tobytes() for x, _ in got], pa.binary()), pa.array([x.tobytes() for _, x in got], pa.binary())]
+            got = words_of(b.column("text").to_pylist())
+            ids, rare = number(np.concatenate([np.zeros(0, np.uint64), *got]))
+            ends = np.cumsum([0, *map(len, got)])
+            seen = np.concatenate([[0], np.cumsum(ids >= VOCAB - UNKNOWN)])[ends]
+            cols = [pa.array(range(row, row + len(got)), pa.int64()), _cut(ids.tobytes(), 2 * ends), _cut(rare.tobytes(), 8 * seen)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=["doc_id", "row", "ids", "rare"])
             row += len(got)
 
     return saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, row long, ids binary, rare binary"), "lm-ids")
 
 
+def _cut(blob: bytes, ends: np.ndarray) -> pa.Array:
+    """A binary value between each two of ``ends``."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(blob)]).cast(pa.binary())
+
+
 def id_counts(ids: DataFrame) -> np.ndarray:
     """How often each id is in all documents, the buckets' included; at most VOCAB rows come to the driver."""
 
@@ -104,53 +113,72 @@ def id_counts(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def within_buckets(ids: DataFrame, counts: np.ndarray, deal_words: int = DEAL_WORDS) -> DataFrame:
-    """row, inside: the sum of log p(word | bucket) over each row's rare words, in several rows a document.
+def within_buckets(ids: DataFrame, counts: np.ndarray, deal_words: int = DEAL_WORDS, chunk_words: int = 1 << 21) -> DataFrame:
+    """row, inside: the sum of log p(word | bucket) over the rare words of each row that has any.
 
     p is the word's count in all of ``ids`` by its bucket's plus one; that one is left to words that were never seen.
-    Words go to tasks by their hashes, packed by batch and task, so no count leaves its task."""
+    Words go to tasks by their hashes and their sums go back by the task that read the rows, both packed (a value a
+    pair of tasks): a word's occurrences are sorted where they meet, and no count leaves its task."""
     spark = ids.sparkSession
     tasks = max(partitions(spark), -(-int(counts[VOCAB - UNKNOWN :].sum()) // deal_words))
 
     def deal(batches):
+        held, rows, size = [], [], 0
         for b in batches:
             blobs = b.column("rare").to_pylist()
-            key = np.frombuffer(b"".join(blobs), np.uint64)
-            row = np.repeat(b.column("row").to_numpy(), [len(x) // 8 for x in blobs])
-            to = ((key >> np.uint64(16)) % np.uint64(tasks)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            key, row, to = key[order], row[order], to[order]
-            some = np.unique(to)
-            edge = np.searchsorted(to, np.append(some, tasks))
-            cut = list(zip(edge[:-1], edge[1:]))
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([key[a:z].tobytes() for a, z in cut], pa.binary()), pa.array([row[a:z].tobytes() for a, z in cut], pa.binary())], names=["task", "keys", "at"])
+            held += blobs
+            rows.append(np.repeat(b.column("row").to_numpy(), [len(x) // 8 for x in blobs]))
+            size += len(rows[-1])
+            if size >= chunk_words:
+                yield dealt(held, rows)
+                held, rows, size = [], [], 0
+        yield dealt(held, rows)
+
+    def dealt(blobs: list[bytes], rows: list[np.ndarray]) -> pa.RecordBatch:
+        key, row = np.frombuffer(b"".join(blobs), np.uint64), np.concatenate([np.zeros(0, np.int64), *rows])
+        to = ((key >> np.uint64(16)) % np.uint64(tasks)).astype(np.uint16 if tasks < 1 << 16 else np.int64)
+        order = np.argsort(to, kind="stable")
+        some, at = np.unique(to[order], return_index=True)
+        ends = 8 * np.append(at, len(key))
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), _cut(key[order].tobytes(), ends), _cut(row[order].tobytes(), ends)], names=["task", "keys", "at"])
 
     def sums(keys: list[bytes], at: list[bytes]):
         key, row = np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(at), np.int64)
         _, word, n = np.unique(key, return_inverse=True, return_counts=True)
         lp = np.log(n)[word] - np.log(counts[(key & np.uint64(0xFFFF)).astype(np.int64)] + 1)
         rows, doc = np.unique(row, return_inverse=True)
-        inside = np.bincount(doc, lp, len(rows))
-        for i in range(0, len(rows), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(rows[i : i + (1 << 16)]), pa.array(inside[i : i + (1 << 16)])], names=["row", "inside"])
+        inside = np.bincount(doc, lp, len(rows)).astype(np.float64)  # of nothing it is whole numbers
+        some, first = np.unique(rows >> 32, return_index=True)
+        ends = 8 * np.append(first, len(rows))
+        return pa.RecordBatch.from_arrays([pa.array(some), _cut(rows.tobytes(), ends), _cut(inside.tobytes(), ends)], names=["source", "rows", "inside"])
 
-    def look(batches):
-        now, keys, at = None, [], []
-        for b in batches:
-            for k, x, y in zip(*(b.column(c).to_pylist() for c in ("task", "keys", "at"))):
-                if k != now:  # one share at a time, should several have come to this task
-                    yield from sums(keys, at)
-                    now, keys, at = k, [], []
-                keys.append(x)
-                at.append(y)
-        yield from sums(keys, at)
+    def back(rows: list[bytes], inside: list[bytes]):
+        row, doc = np.unique(np.frombuffer(b"".join(rows), np.int64), return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.bincount(doc, np.frombuffer(b"".join(inside)), len(row)).astype(np.float64))], names=["row", "inside"])
+
+    def by(key: str, one: str, two: str, run):
+        """``run`` on the values of each key, which come one after another."""
+
+        def each(batches):
+            now, xs, ys = None, [], []
+            for b in batches:
+                for k, x, y in zip(*(b.column(c).to_pylist() for c in (key, one, two))):
+                    if k != now:
+                        yield run(xs, ys)
+                        now, xs, ys = k, [], []
+                    xs.append(x)
+                    ys.append(y)
+            yield run(xs, ys)
+
+        return lean(each)
 
-    dealt = ids.select("row", "rare").mapInArrow(lean(deal), "task long, keys binary, at binary")
-    return dealt.repartition(tasks, "task").sortWithinPartitions("task").mapInArrow(lean(look), "row long, inside double")
+    words = ids.select("row", "rare").mapInArrow(lean(deal), "task long, keys binary, at binary").repartition(tasks, "task").sortWithinPartitions("task")
+    found = words.mapInArrow(by("task", "keys", "at", sums), "source long, rows binary, inside binary").repartition(partitions(spark), "source").sortWithinPartitions("source")
+    return found.mapInArrow(by("source", "rows", "inside", back), "row long, inside double")
 
 
 class Network:
-    """Weights by name: E (embeddings, the last row pads), W and b (window to hidden), C, c (classes), I, i (words in a class)."""
+    """Weights by name: E (embeddings, the last row pads), W and b (window to hidden), C (hidden and 1 to classes), I (to words in a class)."""
 
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w = weights
@@ -161,10 +189,9 @@ class Network:
         g = np.random.Generator(np.random.PCG64(seed))
         n = (counts + 1.0).reshape(CLASSES, INNER)
         f = lambda *s: g.standard_normal(s).astype(np.float32)
-        return cls({
-            "E": f(VOCAB + 1, DIM) * 0.3, "W": f(PLACES * DIM, HIDDEN) * 0.2, "b": np.zeros(HIDDEN, np.float32), "C": f(HIDDEN, CLASSES) * 0.05, "c": np.log(n.sum(1) / n.sum()).astype(np.float32),
-            "I": f(CLASSES, HIDDEN, INNER) * 0.05, "i": np.log(n / n.sum(1, keepdims=True)).astype(np.float32),
-        })
+        w = {"E": f(VOCAB + 1, DIM) * 0.3, "W": f(PLACES * DIM, HIDDEN) * 0.2, "b": np.zeros(HIDDEN, np.float32), "C": f(HIDDEN + 1, CLASSES) * 0.05, "I": f(CLASSES, HIDDEN + 1, INNER) * 0.05}
+        w["C"][HIDDEN], w["I"][:, HIDDEN] = np.log(n.sum(1) / n.sum()), np.log(n / n.sum(1, keepdims=True))
+        return cls(w)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.w[k].ravel() for k in sorted(self.w)])
@@ -177,49 +204,48 @@ class Network:
             at += n
         return Network(out)
 
-    def step(self, context: np.ndarray, target: np.ndarray, sums: dict[str, np.ndarray], rate: float) -> float:
-        """One Adagrad step on a batch; its mean loss. Rows that no gradient reaches are left out of it."""
+    def step(self, context: np.ndarray, target: np.ndarray, sums: dict[str, np.ndarray], rate: float) -> None:
+        """One Adagrad step on a batch (gradients are sums over it). Rows that no gradient reaches are left out of it."""
         w, n = self.w, len(target)
         order = np.argsort((target // INNER).astype(np.uint8), kind="stable")  # by class: its words are one slice
         context, target = context[order], target[order]
         cls, word, rows = target // INNER, target % INNER, np.arange(n)
-        edge = np.searchsorted(cls, np.arange(CLASSES + 1))
-        some = np.nonzero(np.diff(edge))[0]
-        spans = [(k, slice(edge[k], edge[k + 1])) for k in some]
+        edge = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+        spans = [(k, slice(a, z)) for k, (a, z) in enumerate(zip(edge, edge[1:])) if a < z]
         x = w["E"][context].reshape(n, -1)
-        a = np.tanh(x @ w["W"] + w["b"])
-        pc = _softmax(a @ w["C"] + w["c"])
+        a = np.ones((n, HIDDEN + 1), np.float32)
+        z = x @ w["W"]
+        z += w["b"]
+        np.tanh(z, out=a[:, :HIDDEN])
+        pc = _softmax(a @ w["C"])
         p = np.empty((n, INNER), np.float32)
         for k, r in spans:
             np.matmul(a[r], w["I"][k], out=p[r])
-        p += w["i"][cls]
         p = _softmax(p)
-        loss = -np.log(pc[rows, cls] + 1e-20).sum() - np.log(p[rows, word] + 1e-20).sum()
         pc[rows, cls] -= 1
         p[rows, word] -= 1
-        pc /= n
-        p /= n
-        da = pc @ w["C"].T
-        inner = np.empty((len(some), HIDDEN, INNER), np.float32)
+        dz = pc @ w["C"][:HIDDEN].T
+        inner = np.empty((len(spans), HIDDEN + 1, INNER), np.float32)
         for j, (k, r) in enumerate(spans):
             np.matmul(a[r].T, p[r], out=inner[j])
-            da[r] += p[r] @ w["I"][k].T
-        dz = da * (1 - a * a)
+            dz[r] += p[r] @ w["I"][k, :HIDDEN].T
+        dz *= 1 - a[:, :HIDDEN] ** 2
         dx = (dz @ w["W"].T).reshape(-1, DIM)
         flat = context.ravel().astype(np.uint16)
         by = np.argsort(flat, kind="stable")
         flat = flat[by]
         first = np.nonzero(np.diff(flat.astype(np.int32), prepend=-1))[0]
         near = np.add.reduceat(dx[by], first, 0)
-        hit = slice(None) if len(some) == CLASSES else some
-        for k, at, v in (("C", ..., a.T @ pc), ("c", ..., pc.sum(0)), ("W", ..., x.T @ dz), ("b", ..., dz.sum(0)), ("I", hit, inner), ("i", hit, np.add.reduceat(p, edge[some], 0)), ("E", flat[first], near)):
-            sums[k][at] += v * v
-            root = np.sqrt(sums[k][at])
-            root += 1e-6
+        hit = slice(None) if len(spans) == CLASSES else [k for k, _ in spans]
+        for k, at, v in (("C", ..., a.T @ pc), ("W", ..., x.T @ dz), ("b", ..., dz.sum(0)), ("I", hit, inner), ("E", flat[first], near)):
+            root = sums[k][at]
+            root = root + v * v
+            sums[k][at] = root
+            root = np.sqrt(root, out=root)
+            root += 1e-3
             v *= rate
             v /= root
             w[k][at] -= v
-        return float(loss) / n
 
     def prepared(self) -> list[np.ndarray]:
         """The first layer as one table a place of the window."""
@@ -228,37 +254,49 @@ class Network:
     def log_probs(self, tables: list[np.ndarray], x: np.ndarray) -> np.ndarray:
         """log p of each word of ``x`` but the first and last SIDE, from its neighbours; padding among them gets the last word's."""
         n = len(x) - 2 * SIDE
-        z = np.broadcast_to(self.w["b"], (n, HIDDEN)).copy()
-        for t, j in zip(tables, [j for j in range(2 * SIDE + 1) if j != SIDE]):
+        z = tables[0][x[:n]]
+        z += self.w["b"]
+        for t, j in zip(tables[1:], [j for j in range(1, 2 * SIDE + 1) if j != SIDE]):
             z += t[x[j : j + n]]
-        a = np.tanh(z)
         target = np.minimum(x[SIDE : SIDE + n], VOCAB - 1)
+        order = np.argsort((target // INNER).astype(np.uint8), kind="stable")
+        target = target[order]
         cls, word = target // INNER, target % INNER
-        s = a @ self.w["C"]
-        s += self.w["c"]
-        out = _log_softmax_at(s, cls)
-        order = np.argsort(cls, kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for k in np.nonzero(np.diff(edge))[0]:
-            r = order[edge[k] : edge[k + 1]]
-            s = a[r] @ self.w["I"][k]
-            s += self.w["i"][k]
-            out[r] += _log_softmax_at(s, word[r])
+        a = np.ones((n, HIDDEN + 1), np.float32)
+        np.tanh(z[order], out=a[:, :HIDDEN])
+        sums = _log_softmax_at(a @ self.w["C"], cls)
+        p = np.empty((n, INNER), np.float32)
+        edge = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+        for k, (i, j) in enumerate(zip(edge, edge[1:])):
+            if i < j:
+                np.matmul(a[i:j], self.w["I"][k], out=p[i:j])
+        sums += _log_softmax_at(p, word)
+        out = np.empty_like(sums)
+        out[order] = sums
         return out
 
 
+#: Logits up to here need no shift before exp.
+SAFE = 60.0
+
+
+def _shifted(x: np.ndarray) -> np.ndarray:
+    """Logits that exp can take, in place: less their row's largest, unless none is far from 0."""
+    if len(x) and (x.max() > SAFE or x.min() < -SAFE):
+        x -= x.max(1, keepdims=True)
+    return x
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     """In place."""
-    x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
+    np.exp(_shifted(x), out=x)
+    x *= (1 / x.sum(1))[:, None]
     return x
 
 
 def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     """log softmax of each row at one place; in place."""
-    x -= x.max(1, keepdims=True)
-    out = x[np.arange(len(x)), at]
+    out = _shifted(x)[np.arange(len(x)), at]
     np.exp(x, out=x)
     return out - np.log(x.sum(1))
 
@@ -287,7 +325,7 @@ def places(blobs: list[bytes], stride: int, phase: int) -> tuple[np.ndarray, np.
     return np.stack([x[at + j] for j in range(-SIDE, SIDE + 1) if j], 1), x[at].astype(np.int64)
 
 
-def train(ids: DataFrame, counts: np.ndarray, rounds: int = 6, stride: int = 6, batch: int = 2048, rate: float = 0.05, block: int = 1 << 14, adders: int = 8) -> Network:
+def train(ids: DataFrame, counts: np.ndarray, rounds: int = 6, stride: int = 6, batch: int = 4096, rate: float = 0.05, block: int = 1 << 14, adders: int = 8) -> Network:
     """Average of the tasks' networks after each round. Each round takes every ``stride``-th word of every document, from
     another one on: as many rounds as the stride train on every word of every document once."""
     spark = ids.sparkSession
@@ -299,7 +337,7 @@ def train(ids: DataFrame, counts: np.ndarray, rounds: int = 6, stride: int = 6,
 
         def run(batches, shared=shared, phase=phase):
             own, seen = net0().unflat(shared.value.copy()), 0
-            sums = {k: np.full_like(v, 1e-8) for k, v in own.w.items()}
+            sums = {k: np.full_like(v, 1e-2) for k, v in own.w.items()}
             xs, ys = np.zeros((0, PLACES), np.uint16), np.zeros(0, np.int64)
             for b in batches:
                 c, t = places(b.column("ids").to_pylist(), stride, phase)  # the first words aren't all of one round
@@ -356,13 +394,14 @@ def score(ids: DataFrame, net: Network, counts: np.ndarray | None = None) -> Dat
             # documents one after another, padding between them, in pieces of bounded size
             held, places, size = [], [], 0
             for i, v in enumerate(blobs):
-                for a in range(0, len(v), 1 << 15):
-                    z = min(len(v), a + (1 << 15))
-                    edge = padded(v)[a : z + 2 * SIDE]
+                whole = padded(v)
+                for a in range(0, len(v), PIECE):
+                    z = min(len(v), a + PIECE)
+                    edge = whole[a : z + 2 * SIDE]
                     held.append(edge)
                     places.append((i, size, z - a))
                     size += len(edge)
-                    if size > 1 << 15:
+                    if size > PIECE:
                         _add(own, tables, held, places, sums)
                         held, places, size = [], [], 0
             if held:
