@@ -1,6 +1,7 @@
 """Operators of the llm subpackage: brute force, exact round trips, held-out accuracy, and odd inputs."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 from lumenframe.llm import chunking, decontam, langid, neardup, packing, scoring, substrings, tokens, toxicity, warc
 
+SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Nulls, empty and odd texts, ties and repeats.
 ODD = [(None, "no id at all"), (1, None), (2, ""), (3, "  \n\t "), (4, "one"), (4, "one"), (5, "\x1c odd \x00 ends\x85 ŧ 漢字 👍🏽 ́"), (6, "1 2 3 4 5 6 7 8 9 0"), (7, "word " * 3000), (8, "Ångström ẞtraße ΣΑΣ İI"), (9, "x" * 5000), (9, "another text of nine")]
@@ -369,42 +371,75 @@ def test_decontamination(spark):
         planted[i] = item
     df = docs_of(spark, [*enumerate(corpus), (1000, None), (1001, ""), (1002, "a b")], True)
     b = spark.createDataFrame([*enumerate(bench), (90, None), (91, " "), (92, "short one here")], "item_id int, text string")
-    for block in (448, 10):
+    for block in (8192, 10):
         got = {(x.doc_id, x.item_id) for x in decontam.leaks(df, b, block).collect()}
         assert got == set(planted.items())
     assert decontam.leaks(df, b.limit(0)).count() == 0 and decontam.leaks(df.limit(0), b).count() == 0
+    for kind in ("short", "decimal(5,0)", "date"):  # ids of any type; a repeated document
+        cast = F.date_add(F.lit("2020-01-01"), F.col("item_id")) if kind == "date" else F.col("item_id").cast(kind)
+        some = df.where("doc_id in (0, 8)")
+        assert decontam.leaks(some.unionByName(some), b.withColumn("item_id", cast)).count() == 4
 
 
-def test_retrieval_recall():
-    """Candidates by projection against cosines of the full vectors."""
+def test_decomposition(spark):
+    """Distributed singular directions against those of the dense matrix, at a rank far below its own."""
     r = np.random.default_rng(1)
     idf = (r.random(decontam.BUCKETS) * 8 + 0.5).astype(np.float32)
-    its = []
-    for i in range(20):
-        it = decontam.Item(i, "x")
-        it.words = r.integers(0, 3000, 30)
-        its.append(it)
-    terms = np.unique(np.concatenate([x.words for x in its]))
-    rows = np.zeros((20, len(terms)))
-    for i, it in enumerate(its):
-        at, n = np.unique(np.searchsorted(terms, it.words), return_counts=True)
-        rows[i, at] = n * idf[terms[at]]
-        rows[i] /= np.linalg.norm(rows[i])
-    v = np.linalg.svd(rows, full_matrices=False)[2].T.astype(np.float32)
-    find, hits, want = decontam.Retriever(its, terms, v, idf), 0, 0
-    for k in range(60):
-        words = r.integers(0, 3000, 32)
-        words[:16] = its[k % 20].words[:16]
-        got = {i for i, _, _ in find.candidates(words)}
-        w = idf[words]
-        for i, it in enumerate(its):
-            x = np.zeros(len(terms))
-            inside = np.isin(words, terms)
-            np.add.at(x, np.searchsorted(terms, words[inside]), w[inside])
-            if x @ rows[i] / np.sqrt((w * w).sum()) >= decontam.LEAST_COSINE:
-                want += 1
-                hits += i in got
-    assert want >= 50 and hits / want >= 0.9
+    topics = r.integers(0, decontam.BUCKETS, (12, 40))
+    rows = [r.choice(topics[i % 12], 24).tolist() + r.integers(0, decontam.BUCKETS, 3 + i % 5).tolist() for i in range(600)]
+    dense = np.zeros((600, decontam.TERMS))
+    for i, x in enumerate(rows):
+        for w in x:
+            dense[i, w >> (decontam.BITS - decontam.LATENT_BITS)] += idf[w]
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    want_s, want = np.linalg.svd(dense, full_matrices=False)[1:]
+    v, s = decontam.decomposed(spark.createDataFrame([(x,) for x in [*rows, []]], "words array<int>"), idf, rank=12)
+    assert v.shape == (decontam.TERMS, 12) and np.allclose(v.T @ v, np.eye(12), atol=1e-3)
+    assert np.allclose(s, want_s[:12], rtol=0.02)
+    assert np.linalg.svd(want[:12] @ v, compute_uv=False).min() > 0.98  # the same subspace
+    none = decontam.decomposed(spark.createDataFrame([], "words array<int>"), idf)
+    assert none[0].shape == (decontam.TERMS, 0)
+
+
+def paraphrase(r, words, share):
+    """Words with a ``share`` of them replaced or dropped, a few put in."""
+    out = []
+    for w in words:
+        if r.random() >= share:
+            out.append(w)
+        elif r.random() < 0.5:
+            out.append("instead%d" % r.randrange(50))
+        if r.random() < share / 3:
+            out.append("and")
+    return out
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_retrieval_recall(spark):
+    """All leaks that a search without retrieval finds (every item at every place), with paraphrases planted in real documents."""
+    r = random.Random(9)
+    docs = [(x.doc_id, x.text or "") for x in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+    bench = [(x.item_id, x.text) for x in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    for k in range(0, 160):
+        i = r.randrange(len(docs))
+        w = docs[i][1].split()
+        at = r.randint(0, len(w))
+        docs[i] = (docs[i][0], " ".join(w[:at] + paraphrase(r, r.choice(bench)[1].split(), r.choice([0, 0.05, 0.1, 0.15, 0.2])) + w[at:]))
+    df = docs_of(spark, docs)
+    got = {(x.doc_id, x.item_id) for x in decontam.leaks(df, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    idf, _ = decontam.word_idf(df)
+    find, want = decontam.Retriever([p for i, t in bench for p in decontam.parts(i, t, None)], np.zeros((decontam.TERMS, 1), np.float32), idf), set()
+    for d, t in docs:
+        words = decontam.words_of([t])[0]
+        for a in range(0, len(words), decontam.STRIDE):
+            near = words[max(0, a - 64) : a + 96]
+            for i, it in enumerate(find.its):
+                if find.can_be(i, set(near.tolist())):
+                    n = len(it.words)
+                    cover, answer = find.coverage(it, words[max(0, a - n) : a + decontam.PASSAGE + n])
+                    if cover >= decontam.FULL or (cover >= decontam.PART and answer >= decontam.ANSWER):
+                        want.add((d, it.item_id))
+    assert len(want) > 120 and len(got & want) >= 0.98 * len(want)
 
 
 def test_short_items_are_found(spark):
@@ -419,10 +454,9 @@ def test_short_items_are_found(spark):
         at = r.randint(0, 120)
         rows.append((d, " ".join(rare[:at] + (w if d % 4 < 3 else w[: len(w) // 3]) + rare[at:])))
     df = docs_of(spark, rows)
-    idf = decontam.word_idf(df)
+    idf, _ = decontam.word_idf(df)
     its = [decontam.Item(i, t) for i, t in enumerate(bench)]
-    terms = np.unique(np.concatenate([x.words for x in its]))
-    find, want = decontam.Retriever(its, terms, np.zeros((len(terms), 1), np.float32), idf), set()
+    find, want = decontam.Retriever(its, np.zeros((decontam.TERMS, 1), np.float32), idf), set()
     for d, t in rows:
         words = decontam.words_of([t])[0]
         for it in its:
