@@ -1,15 +1,15 @@
 """Near duplicates by improved consistent weighted sampling.
 
 A document is the weighted set of its 5-word shingles: times in the text, by the mean inverse document frequency of
-the shingle's words (counted over all documents). Weighted samples agree with the probability of the weighted Jaccard
-similarity; bands of samples propose, the similarity itself decides: a pair is linked if its weighted similarity is high enough, or its
-plain one (the weights of rare words could else part texts of which the usual measure says that they are close).
+the shingle's words (counted over all documents; a shingle's own document frequency is that of its copies, which would
+make the words that copies share light and what sets them apart heavy). Weighted samples agree with the probability of
+the weighted Jaccard similarity; bands of samples propose, the weighted Jaccard similarity itself decides.
 
 Texts that are equal are one node. In a bucket every node is compared with one hub, not with each other. Buckets in
-which the links found so far leave several classes are looked at again: documents outside the largest class are
-compared with all others of the bucket that they aren't joined to yet, in one task where the bucket is small, by one
-more hub at a time where it is large. So no two documents of a bucket stay apart without having been compared with
-each other, or with what joins them.
+which the links found so far leave several classes are looked at again: documents outside the first class are compared
+with all others of the bucket that they aren't joined to yet: in one task where that is little work, else as further
+hubs, 64 times as many a bucket in each round. So no two documents of a bucket stay apart without having been compared
+with each other, or with what joins them, and rounds grow with the logarithm of a bucket.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import hashed_words, lean, partitions, ready, saved, table
@@ -51,12 +52,12 @@ class Shingles:
         return s, v[first] / n * tf
 
 
-def similarity(a, b) -> tuple[float, float]:
-    """Weighted and plain Jaccard of two (hashes, weights)."""
+def similarity(a, b) -> float:
+    """Weighted Jaccard of two (hashes, weights)."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     low = np.minimum(a[1][i], b[1][j]).sum()
     both = a[1].sum() + b[1].sum() - low
-    return (float(low / both), len(i) / (len(a[0]) + len(b[0]) - len(i))) if both > 0 else (0.0, 0.0)
+    return float(low / both) if both > 0 else 0.0
 
 
 _RANDOM: list[tuple] = []
@@ -116,23 +117,24 @@ def word_idf(docs: DataFrame) -> np.ndarray:
 
 
 def nodes(docs: DataFrame, idf) -> DataFrame:
-    """doc_id, same (digest of the text) and bands of every document with a word; written once."""
+    """doc_id, same (digest of the text), size (of the text) and bands of every document with a text; written once."""
 
     def run(batches):
         shingles = Shingles(idf.value)
         for b in batches:
             out = [bands(h, w) if len(h) else np.zeros(0, np.int64) for h, w in shingles.many(b.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("same"), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "same", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("same"), b.column("size"), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "same", "size", "bands"])
 
     text = F.col("text").cast("string")
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.encode(text, "UTF-8")).alias("same"), text.alias("text"))
-    return saved(rows.mapInArrow(lean(run), "doc_id long, same string, bands array<long>"), "near-nodes")
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.encode(text, "UTF-8")).alias("same"), F.length(text).alias("size"), text.alias("text"))
+    return saved(rows.mapInArrow(lean(run), "doc_id long, same string, size int, bands array<long>"), "near-nodes")
 
 
 def star(pairs: DataFrame, texts: DataFrame, idf, salt_rows: int = 500) -> DataFrame:
-    """doc_id, hub, sim and plain of each pair. A hub's text meets its documents' in as many tasks as they need."""
+    """doc_id, hub and sim of each pair. A hub's text meets its documents' in as many tasks as they need."""
     spark = pairs.sparkSession
-    per = pairs.groupBy("hub").agg(F.ceil(F.count("*") / salt_rows).cast("int").alias("salts"))
+    # written: Spark splits a skewed join's partitions only between plain exchanges
+    per = saved(pairs.groupBy("hub").agg(F.ceil(F.count("*") / salt_rows).cast("int").alias("salts")), "near-salts")
     left = pairs.join(per, "hub").select("hub", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), "doc_id", F.lit(1).alias("o"))
     hubs = per.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("hub").alias("doc_id"), F.lit(0).alias("o"))
     rows = left.unionByName(hubs).join(texts, "doc_id").repartition(partitions(spark), "hub", "salt").sortWithinPartitions("hub", "salt", "o", "doc_id")
@@ -146,7 +148,7 @@ def star(pairs: DataFrame, texts: DataFrame, idf, salt_rows: int = 500) -> DataF
                     if now != (hub, salt):
                         now, mine = (hub, salt), shingles(t)
                 elif now == (hub, salt):
-                    out.append((doc, hub, *similarity(shingles(t), mine)))
+                    out.append((doc, hub, similarity(shingles(t), mine)))
             yield _links(out)
 
     return rows.select("hub", "salt", "doc_id", "o", "text").mapInArrow(lean(run), LINKS)
@@ -176,8 +178,8 @@ def small_groups(groups: DataFrame, texts: DataFrame, idf, least: float) -> Data
                     if k not in vectors:
                         vectors[k] = read(k)
                 s = similarity(vectors[i], vectors[j])
-                if max(s) >= least:
-                    out.append((max(ids[i], ids[j]), min(ids[i], ids[j]), *s))
+                if s >= least:
+                    out.append((max(ids[i], ids[j]), min(ids[i], ids[j]), s))
                     root[find(labels[i])] = find(labels[j])
 
     def run(batches):
@@ -200,45 +202,54 @@ def small_groups(groups: DataFrame, texts: DataFrame, idf, least: float) -> Data
     return rows.mapInArrow(lean(run), LINKS)
 
 
-LINKS = "doc_id long, hub long, sim double, plain double"
+LINKS = "doc_id long, hub long, sim double"
 
 
 def _links(out: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["doc_id", "hub", "sim", "plain"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 3, (pa.int64(), pa.int64(), pa.float64()))], names=["doc_id", "hub", "sim"])
 
 
-def links(docs: DataFrame, reps: DataFrame, idf, least: float = LEAST_SIMILARITY, small: int = 3000) -> DataFrame:
-    """Links the bands propose between texts that differ, as (doc_id, hub, sim, plain): enough of them to join all that belongs together.
+def links(docs: DataFrame, reps: DataFrame, idf, least: float = LEAST_SIMILARITY, task_pairs: int = 200_000, task_bytes: int = 16 << 20, more_hubs: int = 64) -> DataFrame:
+    """Links the bands propose between texts that differ, as (doc_id, hub, sim): enough of them to join all that belongs together.
 
-    First every document of a bucket against one hub. Then only buckets that still hold several classes: small ones
-    exactly in one task, large ones against one more document outside the first class at a time, until none is left."""
-    members = reps.select("doc_id", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub")).where("n > 1")
-    members = saved(members.join(shared.hint("merge"), "band").select("band", "doc_id", "hub", "n"), "near-members")
+    First every document of a bucket against one hub. Then only buckets that still hold several classes: in one task
+    those of at most ``task_pairs`` comparisons and ``task_bytes`` of text, the others against ``more_hubs`` to the
+    power of the round's number more documents outside the first class, until every such document has been a hub."""
+    members = reps.select("doc_id", "size", F.explode("bands").alias("band"))
+    # aggregates are written before they are joined on their own key, so Spark can split a bucket that many documents share
+    shared = saved(members.groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("doc_id").alias("hub")).where("n > 1"), "near-buckets")
+    members = saved(members.drop("size").join(shared.hint("merge"), "band"), "near-members")
     ids = members.select("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     texts = saved(texts.join(ids.hint("merge"), "doc_id", "left_semi"), "near-texts")
-    found = saved(star(members.where("doc_id <> hub").select("doc_id", "hub").distinct(), texts, idf), "near-stars").where(F.greatest("sim", "plain") >= least)
-    tried = None
+    found = saved(star(members.where("doc_id <> hub").select("doc_id", "hub").distinct(), texts, idf), "near-stars").where(F.col("sim") >= least)
+    members, tried, n_hubs = members.drop("hub"), None, 1
     while True:
         label = components(found)
-        rows = members.join(label, "doc_id", "left").select("band", "n", "doc_id", F.coalesce("class_id", "doc_id").alias("label"))
-        rows = saved(rows, "near-labels")
-        mixed_bands = rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "lo")
-        rest = saved(rows.join(mixed_bands, "band"), "near-rest")
+        rows = saved(members.join(label, "doc_id", "left").select("band", "n", "bytes", "doc_id", F.coalesce("class_id", "doc_id").alias("label")), "near-labels")
+        first = rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "lo")
+        rest = saved(rows.join(saved(first, "near-mixed").hint("merge"), "band").withColumn("out", F.col("label") != F.col("lo")), "near-rest")
         if tried is None:
-            same = rest.where(F.col("n") <= small).groupBy("band").agg(F.sort_array(F.collect_list(F.struct("doc_id", "label"))).alias("m")).select("m").distinct()
+            work = saved(rest.groupBy("band").agg((F.sum(F.col("out").cast("long")) * F.first("n")).alias("pairs"), F.first("bytes").alias("all")), "near-work").select("band", ((F.col("pairs") <= task_pairs) & (F.col("all") <= task_bytes)).alias("little"))
+            rest = saved(rest.join(work.hint("merge"), "band"), "near-rest")
+            same = rest.where("little").groupBy("band").agg(F.sort_array(F.collect_list(F.struct("doc_id", "label"))).alias("m")).select("m").distinct()
             groups = same.select(F.xxhash64("m").alias("gid"), F.explode("m").alias("x")).select("gid", "x.doc_id", "x.label")
             found = found.unionByName(saved(small_groups(groups, texts, idf, least), "near-small"))
-        rest = rest.where(F.col("n") > small)
-        left = rest.where("label <> lo") if tried is None else rest.where("label <> lo").join(tried, ["band", "doc_id"], "left_anti")
-        hubs = saved(left.groupBy("band").agg(F.min(F.struct("doc_id", "label")).alias("h")).select("band", F.col("h.doc_id").alias("doc_id"), F.col("h.label").alias("hub_label")), "near-hubs")
+            rest = rest.where("not little")
+            members = members.join(rest.select("band").distinct(), "band", "left_semi")
+        left = rest.where("out")
+        if tried is not None:
+            left = left.join(tried, ["band", "doc_id"], "left_anti")
+        n_hubs *= more_hubs
+        turn = F.row_number().over(Window.partitionBy("band").orderBy("doc_id"))
+        hubs = saved(left.select("band", F.col("doc_id").alias("hub"), F.col("label").alias("hub_label"), turn.alias("turn")).where(F.col("turn") <= n_hubs).drop("turn"), "near-hubs")
         if hubs.isEmpty():
             return found
-        tried = hubs.select("band", "doc_id") if tried is None else tried.unionByName(hubs.select("band", "doc_id"))
-        pairs = rest.join(hubs.withColumnRenamed("doc_id", "hub"), "band").where("label <> hub_label").select("doc_id", "hub").distinct()
-        found = found.unionByName(saved(star(pairs, texts, idf), "near-stars").where(F.greatest("sim", "plain") >= least))
-        members = members.where(F.col("n") > small)
+        now = hubs.select("band", F.col("hub").alias("doc_id"))
+        tried = now if tried is None else tried.unionByName(now)
+        # a band's hubs are a stated set of queries against its documents of other classes
+        pairs = rest.join(hubs, "band").where("label <> hub_label").select(F.greatest("doc_id", "hub").alias("doc_id"), F.least("doc_id", "hub").alias("hub")).distinct()
+        found = found.unionByName(saved(star(pairs, texts, idf), "near-stars").where(F.col("sim") >= least))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -255,23 +266,41 @@ def components(edges: DataFrame) -> DataFrame:
             return label.select("doc_id", F.col("l").alias("class_id"))
 
 
+def copies(every: DataFrame) -> DataFrame:
+    """doc_id, same, local and rep: the least doc_ids with the same text, of a share of them and of all; written.
+
+    A text's documents are dealt into as many shares as there are partitions, so one that a third of all rows have is no
+    task's alone."""
+    n = partitions(every.sparkSession)
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(n))
+    own = saved(every.select("doc_id", "same", F.min("doc_id").over(Window.partitionBy("same", share)).alias("local")), "near-copies")
+    least = own.where("doc_id = local").select("same", "local").distinct()
+    reps = saved(least.withColumn("rep", F.min("local").over(Window.partitionBy("same"))), "near-reps")
+    return saved(own.join(reps.hint("merge"), ["same", "local"]), "near-own")
+
+
 def classes(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
     """doc_id, class_id and n_links of every document. Documents are of one class if links of at least ``least`` join them.
 
     Equal texts are always linked (empty ones too); null text: a class of its own; texts of fewer than 5 words are linked
-    only if their words are equal. Rows of one doc_id are one document. Rows without doc_id are left out.
+    only if their words are equal. Rows of one doc_id are one document. Rows without doc_id are left out. n_links: the
+    verified links of a document's text with other texts (each text with the hubs of its buckets, not with all partners).
     """
     spark = ready(docs.sparkSession)
     idf = spark.sparkContext.broadcast(word_idf(docs))
     every = nodes(docs, idf)
-    kept = every.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    own = saved(every.select("doc_id", "same").join(kept, "same").select("doc_id", "rep", "copies"), "near-copies")
-    reps = every.where(F.size("bands") > 0).join(own.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
-    found = saved(links(docs, reps, idf, least), "near-links")
-    grouped = components(found.select("doc_id", "hub").unionByName(own.where("doc_id <> rep").select("doc_id", F.col("rep").alias("hub"))))
+    own = copies(every)
+    reps = every.where(F.size("bands") > 0).join(own.where("doc_id = rep").select("doc_id", "same").distinct(), ["doc_id", "same"], "left_semi").dropDuplicates(["doc_id", "same"])
+    found = saved(links(docs, reps, idf, least).select("doc_id", "hub").distinct(), "near-links")
+    # a repeated doc_id joins the classes of its texts
+    several = own.groupBy("doc_id").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).where("lo <> hi").select("doc_id")
+    label = components(found.unionByName(own.join(several, "doc_id", "left_semi").where("doc_id <> rep").select("doc_id", F.col("rep").alias("hub"))))
     degree = found.select("doc_id").unionByName(found.select(F.col("hub").alias("doc_id"))).groupBy("doc_id").agg(F.count("*").alias("n_links"))
+    known = own.select("same", "local", "rep").distinct().join(label.withColumnRenamed("doc_id", "rep"), "rep", "left").join(degree.withColumnRenamed("doc_id", "rep"), "rep", "left")
+    known = saved(known.select("same", "local", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "near-known")
+    got = own.join(known.hint("merge"), ["same", "local"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
     ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    return ids.join(grouped, "doc_id", "left").join(degree, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return ids.join(got, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def op9_icws_neardup(spark, sf_dir: str) -> DataFrame:

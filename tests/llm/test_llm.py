@@ -563,13 +563,11 @@ def near_rows():
     return rows + [(n, rows[0][1]), (n + 1, None), (n + 2, ""), (n + 3, ""), (n + 4, "two words"), (n + 5, "two words"), (n + 6, None)]
 
 
-def brute_classes(rows):
-    sets = {}
-    for i, t in rows:
-        w = re.findall(r"[^\W_]+", (t or "").lower())
-        k = min(5, len(w))
-        sets[i] = {tuple(w[a : a + k]) for a in range(len(w) - k + 1)} if w else set()
-    text = dict(rows)
+def brute_classes(rows, idf, least=0.8):
+    """Classes by the weighted similarity of every two texts; and those pairs."""
+    shingles = neardup.Shingles(idf)
+    sets = {i: dict(zip(*(x.tolist() for x in shingles(t)))) for i, t in rows}
+    text, where = dict(rows), {}
     root = {i: i for i in sets}
 
     def find(x):
@@ -577,36 +575,67 @@ def brute_classes(rows):
             x = root[x]
         return x
 
-    for a in sets:
-        for b in sets:
-            if a < b and ((text[a] is not None and text[a] == text[b]) or (sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))):
-                lo, hi = sorted((find(a), find(b)))
-                root[hi] = lo
-    return {i: find(i) for i in sets}
-
-
-@pytest.mark.parametrize("small", [3000, 2])
-def test_near_duplicates(spark, small, monkeypatch):
+    for i, w in sets.items():
+        for h in w:
+            where.setdefault(h, []).append(i)
+    total = {i: sum(w.values()) for i, w in sets.items()}
+    near, pairs = {}, []
+    for i, w in sets.items():
+        low = {}
+        for h, x in w.items():
+            for j in where[h]:
+                if j < i:
+                    low[j] = low.get(j, 0) + min(x, sets[j][h])
+        near.update({(j, i): s for j, x in low.items() if (s := x / (total[i] + total[j] - x)) >= least})
+    same = {}
+    for i, t in text.items():
+        if t is not None:
+            same.setdefault(t, []).append(i)
+    for (a, b), s in [*near.items(), *(((x[0], y), 1) for x in same.values() for y in x[1:])]:
+        lo, hi = sorted((find(a), find(b)))
+        root[hi] = lo
+        pairs.append((a, b))
+    return {i: find(i) for i in sets}, pairs
+
+
+@pytest.mark.parametrize("task_pairs,more_hubs", [(200_000, 64), (0, 2)])
+def test_near_duplicates(spark, task_pairs, more_hubs, monkeypatch):
     rows = near_rows()
-    monkeypatch.setattr(neardup.links, "__defaults__", (neardup.LEAST_SIMILARITY, small))
-    got = {r.doc_id: r.class_id for r in neardup.classes(docs_of(spark, rows, True)).collect()}
-    want = brute_classes(rows)
-    # every link of the plain measure is kept; the weighted one may join a few more
-    by = {}
-    for i, c in want.items():
-        by.setdefault(c, set()).add(got[i])
-    assert all(len(x) == 1 for x in by.values()) and len(set(got.values())) >= 0.9 * len(set(want.values()))
+    monkeypatch.setattr(neardup.links, "__defaults__", (neardup.LEAST_SIMILARITY, task_pairs, 16 << 20, more_hubs))
+    df = docs_of(spark, rows, True)
+    got = {r.doc_id: r.class_id for r in neardup.classes(df).collect()}
+    assert got == brute_classes(rows, neardup.word_idf(df))[0]
     kept = neardup.stage_near(spark, docs_of(spark, rows), "")
     assert {r.doc_id for r in kept.collect()} == set(got.values())
 
 
-def test_samples_estimate_weighted_jaccard():
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_near_recall(spark):
+    """Every pair of the table at 0.8 and more, found by comparing all that share a shingle, is in one class, and classes hold nothing else."""
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    got = {r.doc_id: r.class_id for r in neardup.classes(df).collect()}
+    want, pairs = brute_classes(rows, neardup.word_idf(df))
+    assert len(pairs) > 20 and sum(got[a] == got[b] for a, b in pairs) >= 0.99 * len(pairs)
+    assert all(want[i] == want[c] for i, c in got.items())
+
+
+def test_near_several_texts_of_one_id(spark):
+    a, b, c = (" ".join(t.split()[:80]) for t in prose(52, 3, 3000))
+    rows = [(5, a), (5, b), (2, a), (7, b), (9, c), (3, c)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in neardup.classes(docs_of(spark, rows)).collect()}
+    assert got == {5: (2, 0), 2: (2, 0), 7: (2, 0), 9: (3, 0), 3: (3, 0)}
+
+
+@pytest.mark.parametrize("n", [600, 60_000])
+def test_samples_estimate_weighted_jaccard(n):
     r = np.random.default_rng(3)
-    h = np.unique(r.integers(1, 1 << 63, 600).astype(np.uint64))
+    h = np.unique(r.integers(1, 1 << 63, n).astype(np.uint64))
     w = r.random(len(h)) * 5 + 0.5
-    a, b = np.arange(len(h)) < 500, np.arange(len(h)) >= 60
-    true = neardup.similarity((h[a], w[a]), (h[b], w[b]))[0]
-    got = np.mean([(neardup.samples(neardup.mixed(h[a] + np.uint64(k)), w[a]) == neardup.samples(neardup.mixed(h[b] + np.uint64(k)), w[b])).mean() for k in range(20)])
+    a, b = np.arange(len(h)) < n * 5 // 6, np.arange(len(h)) >= n // 10
+    true = neardup.similarity((h[a], w[a]), (h[b], w[b]))
+    times = 20 if n < 1000 else 4
+    got = np.mean([(neardup.samples(neardup.mixed(h[a] + np.uint64(k)), w[a]) == neardup.samples(neardup.mixed(h[b] + np.uint64(k)), w[b])).mean() for k in range(times)])
     assert abs(got - true) < 0.06
 
 
