@@ -6,10 +6,12 @@ make the words that copies share light and what sets them apart heavy). Weighted
 the weighted Jaccard similarity; bands of samples propose, the weighted Jaccard similarity itself decides.
 
 Texts that are equal are one node. In a bucket every node is compared with one hub, not with each other. Buckets in
-which the links found so far leave several classes are looked at again: documents outside the first class are compared
-with all others of the bucket that they aren't joined to yet: in one task where that is little work, else as further
-hubs, 64 times as many a bucket in each round. So no two documents of a bucket stay apart without having been compared
-with each other, or with what joins them, and rounds grow with the logarithm of a bucket.
+which the links found so far leave several classes are looked at again. Where that may be much work, the bucket is
+first dealt into random groups of bounded size, a few times over, whose documents are compared until one class joins
+them: what belongs together mostly is together then. In what still holds several classes, documents outside the first
+class are compared with all others of the bucket that they aren't joined to yet: in one task where that is little work,
+else as further hubs, 4 times as many a bucket in each round. So no two documents of a bucket stay apart without having
+been compared with each other, or with what joins them, and rounds grow with the logarithm of a bucket.
 """
 
 from __future__ import annotations
@@ -42,6 +44,11 @@ class Shingles:
         return [self._of(h) if len(h) else (h, np.zeros(0)) for h in hashed_words(texts, 64)]
 
     def _of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s, weight, tf = self.counted(h)
+        return s, weight * tf
+
+    def counted(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted shingle hashes of a text's word hashes, the weight of one occurrence of each (the same in every text), and how often it has each."""
         w = self.idf[(h >> np.uint64(64 - BITS)).astype(np.int64)]
         n = min(SHINGLE, len(h))
         s, v = np.zeros(len(h) - n + 1, np.uint64), np.zeros(len(h) - n + 1)
@@ -49,7 +56,7 @@ class Shingles:
             s = mixed(s + h[i : len(h) - n + 1 + i])
             v += w[i : len(w) - n + 1 + i]
         s, first, tf = np.unique(s, return_index=True, return_counts=True)
-        return s, v[first] / n * tf
+        return s, v[first] / n, tf
 
 
 def similarity(a, b) -> float:
@@ -130,8 +137,8 @@ def nodes(docs: DataFrame, idf) -> DataFrame:
     return saved(rows.mapInArrow(lean(run), "doc_id long, same string, size int, bands array<long>"), "near-nodes")
 
 
-def star(pairs: DataFrame, texts: DataFrame, idf, salt_rows: int = 500) -> DataFrame:
-    """doc_id, hub and sim of each pair. A hub's text meets its documents' in as many tasks as they need."""
+def star(pairs: DataFrame, texts: DataFrame, idf, least: float, salt_rows: int = 500) -> DataFrame:
+    """doc_id, hub and sim of the pairs that are at least so similar. A hub's text meets its documents' in as many tasks as they need."""
     spark = pairs.sparkSession
     # written: Spark splits a skewed join's partitions only between plain exchanges
     per = saved(pairs.groupBy("hub").agg(F.ceil(F.count("*") / salt_rows).cast("int").alias("salts")), "near-salts")
@@ -148,17 +155,61 @@ def star(pairs: DataFrame, texts: DataFrame, idf, salt_rows: int = 500) -> DataF
                     if now != (hub, salt):
                         now, mine = (hub, salt), shingles(t)
                 elif now == (hub, salt):
-                    out.append((doc, hub, similarity(shingles(t), mine)))
+                    s = similarity(shingles(t), mine)
+                    if s >= least:
+                        out.append((doc, hub, s))
             yield _links(out)
 
     return rows.select("hub", "salt", "doc_id", "o", "text").mapInArrow(lean(run), LINKS)
 
 
+def similarities(sets: list[tuple], few: np.ndarray, often: int = 32, block: int = 2048) -> np.ndarray:
+    """Weighted Jaccard of the sets (hashes, weight of one, times) at ``few`` with all sets: len(few) x len(sets).
+
+    A shingle that a set has k times is k features of one weight, so what two sets share is a sum over features: of those
+    in more than ``often`` sets by products of blocks of 0s and 1s, of the others pair by pair."""
+    n = len(sets)
+    times = np.concatenate([x[2] for x in sets])
+    level = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    key = mixed(np.repeat(np.concatenate([x[0] for x in sets]), times) + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    weight = np.repeat(np.concatenate([x[1] for x in sets]), times)
+    doc = np.repeat(np.arange(n), [int(x[2].sum()) for x in sets])
+    total = np.bincount(doc, weight, n)
+    _, feature, df = np.unique(key, return_inverse=True, return_counts=True)
+    row = np.full(n, -1)
+    row[few] = np.arange(len(few))
+    both = np.zeros(len(few) * n)
+    some = (df[feature] > 1) & (df[feature] <= often)
+    by = np.argsort(feature[some], kind="stable")
+    f, d, w = feature[some][by], doc[some][by], weight[some][by]
+    for lag in range(1, often):
+        at = np.nonzero(f[lag:] == f[: len(f) - lag])[0]
+        if not len(at):
+            break
+        for x, y in ((d[at], d[at + lag]), (d[at + lag], d[at])):
+            mine = row[x] >= 0
+            both += np.bincount(row[x[mine]] * n + y[mine], w[at][mine], len(both))
+    both = both.reshape(len(few), n)
+    rank = np.cumsum(df > often) - 1
+    some = df[feature] > often
+    f, d, w = rank[feature[some]], doc[some], weight[some]
+    by = np.argsort(f, kind="stable")
+    f, d, w = f[by], d[by], w[by]
+    for i in range(0, int(rank[-1]) + 1 if len(rank) else 0, block):
+        a, z = np.searchsorted(f, (i, i + block))
+        has = np.zeros((n, block), np.float32)
+        has[d[a:z], f[a:z] - i] = 1
+        worth = np.zeros(block, np.float32)
+        worth[f[a:z] - i] = w[a:z]
+        both += (has[few] * worth) @ has.T
+    return both / np.maximum(total[few][:, None] + total - both, 1e-12)
+
+
 def small_groups(groups: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
     """Links within groups (gid, doc_id, label) of bounded size, between documents that no link joins so far (label: their class)."""
     spark = groups.sparkSession
 
-    def settle(ids: list[int], labels: list[int], read: list, out: list) -> None:
+    def settle(ids: list[int], labels: list[int], texts: list, shingles: Shingles) -> list:
         root: dict = {x: x for x in labels}
 
         def find(x):
@@ -167,36 +218,33 @@ def small_groups(groups: DataFrame, texts: DataFrame, idf, least: float) -> Data
                 x = root[x]
             return x
 
-        largest = max(root, key=labels.count) if labels else None
-        vectors: dict = {}
-        few = [i for i, x in enumerate(labels) if x != largest]
-        for i in few:  # each against all others, until it is of one class with them
-            for j in range(len(ids)):
-                if find(labels[i]) == find(labels[j]) or (labels[j] != largest and j < i):
-                    continue
-                for k in (i, j):
-                    if k not in vectors:
-                        vectors[k] = read(k)
-                s = similarity(vectors[i], vectors[j])
-                if s >= least:
-                    out.append((max(ids[i], ids[j]), min(ids[i], ids[j]), s))
-                    root[find(labels[i])] = find(labels[j])
+        classes, size = np.unique(labels, return_counts=True)
+        few = np.nonzero(np.array(labels) != classes[size.argmax()])[0] if ids else []
+        if not len(few):
+            return []
+        words = hashed_words(texts, 64)
+        sim = similarities([shingles.counted(h) for h in words], few)
+        out = []
+        for k, j in zip(*(x.tolist() for x in np.nonzero(sim >= least))):
+            i = int(few[k])
+            a, b = find(labels[i]), find(labels[j])
+            if a != b:  # enough links to join what belongs together
+                root[a] = b
+                out.append((max(ids[i], ids[j]), min(ids[i], ids[j]), min(1.0, float(sim[k, j]))))
+        return out
 
     def run(batches):
-        shingles, now, ids, labels, held = Shingles(idf.value), None, [], [], []
+        shingles, now, held = Shingles(idf.value), None, ([], [], [])
         for b in batches:
             out: list = []
             for g, d, x, t in zip(*(b.column(c).to_pylist() for c in ("gid", "doc_id", "label", "text"))):
                 if g != now:
-                    settle(ids, labels, lambda k: shingles(held[k]), out)
-                    now, ids, labels, held = g, [], [], []
-                ids.append(d)
-                labels.append(x)
-                held.append(t)
+                    out += settle(*held, shingles)
+                    now, held = g, ([], [], [])
+                for c, v in zip(held, (d, x, t)):
+                    c.append(v)
             yield _links(out)
-        out = []
-        settle(ids, labels, lambda k: shingles(held[k]), out)
-        yield _links(out)
+        yield _links(settle(*held, shingles))
 
     rows = groups.join(texts, "doc_id").select("gid", "doc_id", "label", "text").repartition(partitions(spark), "gid").sortWithinPartitions("gid", "doc_id")
     return rows.mapInArrow(lean(run), LINKS)
@@ -209,12 +257,24 @@ def _links(out: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 3, (pa.int64(), pa.int64(), pa.float64()))], names=["doc_id", "hub", "sim"])
 
 
-def links(docs: DataFrame, reps: DataFrame, idf, least: float = LEAST_SIMILARITY, task_pairs: int = 200_000, task_bytes: int = 16 << 20, more_hubs: int = 64) -> DataFrame:
+def mixed_buckets(members: DataFrame, found: DataFrame, task_pairs: int, task_bytes: int) -> DataFrame:
+    """band, n, bytes, doc_id, label (class so far), out (of the bucket's first class) and little (work enough for a task)
+    of the buckets that hold several classes; written. Aggregates are written before they are joined on their own key."""
+    rows = saved(members.join(components(found), "doc_id", "left").select("band", "n", "bytes", "doc_id", F.coalesce("class_id", "doc_id").alias("label")), "near-labels")
+    first = rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "lo")
+    rows = saved(rows.join(saved(first, "near-mixed").hint("merge"), "band").withColumn("out", F.col("label") != F.col("lo")).drop("lo"), "near-outside")
+    work = rows.groupBy("band").agg((F.sum(F.col("out").cast("long")) * F.first("n")).alias("pairs"), F.first("bytes").alias("all"))
+    work = saved(work.select("band", ((F.col("pairs") <= task_pairs) & (F.col("all") <= task_bytes)).alias("little")), "near-work")
+    return saved(rows.join(work.hint("merge"), "band"), "near-rest")
+
+
+def links(docs: DataFrame, reps: DataFrame, idf, least: float = LEAST_SIMILARITY, task_pairs: int = 4_000_000, task_bytes: int = 16 << 20, group_docs: int = 1024, deals: int = 3, more_hubs: int = 4) -> DataFrame:
     """Links the bands propose between texts that differ, as (doc_id, hub, sim): enough of them to join all that belongs together.
 
-    First every document of a bucket against one hub. Then only buckets that still hold several classes: in one task
-    those of at most ``task_pairs`` comparisons and ``task_bytes`` of text, the others against ``more_hubs`` to the
-    power of the round's number more documents outside the first class, until every such document has been a hub."""
+    First every document of a bucket against one hub. Then only buckets that still hold several classes. Those of more
+    than ``task_pairs`` comparisons or ``task_bytes`` of text are dealt into groups of ``group_docs``, each document in
+    one group (of its largest bucket) a deal. Then buckets of little work are settled in a task, the others against
+    some ``more_hubs`` to the power of the round's number documents outside the first class, until all such have been hubs."""
     members = reps.select("doc_id", "size", F.explode("bands").alias("band"))
     # aggregates are written before they are joined on their own key, so Spark can split a bucket that many documents share
     shared = saved(members.groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("doc_id").alias("hub")).where("n > 1"), "near-buckets")
@@ -222,34 +282,36 @@ def links(docs: DataFrame, reps: DataFrame, idf, least: float = LEAST_SIMILARITY
     ids = members.select("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     texts = saved(texts.join(ids.hint("merge"), "doc_id", "left_semi"), "near-texts")
-    found = saved(star(members.where("doc_id <> hub").select("doc_id", "hub").distinct(), texts, idf), "near-stars").where(F.col("sim") >= least)
-    members, tried, n_hubs = members.drop("hub"), None, 1
-    while True:
-        label = components(found)
-        rows = saved(members.join(label, "doc_id", "left").select("band", "n", "bytes", "doc_id", F.coalesce("class_id", "doc_id").alias("label")), "near-labels")
-        first = rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "lo")
-        rest = saved(rows.join(saved(first, "near-mixed").hint("merge"), "band").withColumn("out", F.col("label") != F.col("lo")), "near-rest")
-        if tried is None:
-            work = saved(rest.groupBy("band").agg((F.sum(F.col("out").cast("long")) * F.first("n")).alias("pairs"), F.first("bytes").alias("all")), "near-work").select("band", ((F.col("pairs") <= task_pairs) & (F.col("all") <= task_bytes)).alias("little"))
-            rest = saved(rest.join(work.hint("merge"), "band"), "near-rest")
-            same = rest.where("little").groupBy("band").agg(F.sort_array(F.collect_list(F.struct("doc_id", "label"))).alias("m")).select("m").distinct()
-            groups = same.select(F.xxhash64("m").alias("gid"), F.explode("m").alias("x")).select("gid", "x.doc_id", "x.label")
-            found = found.unionByName(saved(small_groups(groups, texts, idf, least), "near-small"))
-            rest = rest.where("not little")
-            members = members.join(rest.select("band").distinct(), "band", "left_semi")
-        left = rest.where("out")
-        if tried is not None:
-            left = left.join(tried, ["band", "doc_id"], "left_anti")
-        n_hubs *= more_hubs
-        turn = F.row_number().over(Window.partitionBy("band").orderBy("doc_id"))
-        hubs = saved(left.select("band", F.col("doc_id").alias("hub"), F.col("label").alias("hub_label"), turn.alias("turn")).where(F.col("turn") <= n_hubs).drop("turn"), "near-hubs")
-        if hubs.isEmpty():
-            return found
-        now = hubs.select("band", F.col("hub").alias("doc_id"))
-        tried = now if tried is None else tried.unionByName(now)
-        # a band's hubs are a stated set of queries against its documents of other classes
-        pairs = rest.join(hubs, "band").where("label <> hub_label").select(F.greatest("doc_id", "hub").alias("doc_id"), F.least("doc_id", "hub").alias("hub")).distinct()
-        found = found.unionByName(saved(star(pairs, texts, idf), "near-stars").where(F.col("sim") >= least))
+    found = saved(star(members.where("doc_id <> hub").select("doc_id", "hub").distinct(), texts, idf, least), "near-stars")
+    members = members.drop("hub")
+    rest = mixed_buckets(members, found, task_pairs, task_bytes)
+    for deal in range(deals):
+        much = rest.where("not little")
+        if much.isEmpty():
+            break
+        own = much.groupBy("doc_id").agg(F.max(F.struct("n", F.xxhash64("band", F.lit(deal)).alias("h"), "band", "bytes")).alias("x"), F.first("label").alias("label"))
+        groups = F.ceil(F.greatest(F.col("x.n") / group_docs, F.col("x.bytes") / task_bytes))
+        dealt = own.select(F.xxhash64("x.band", F.pmod(F.xxhash64("doc_id", F.lit(deal)), groups)).alias("gid"), "doc_id", "label")
+        found = found.unionByName(saved(small_groups(dealt, texts, idf, least), "near-dealt"))
+        rest = mixed_buckets(members, found, task_pairs, task_bytes)
+    same = rest.where("little").groupBy("band").agg(F.sort_array(F.collect_list(F.struct("doc_id", "label"))).alias("m")).select("m").distinct()
+    groups = same.select(F.xxhash64("m").alias("gid"), F.explode("m").alias("x")).select("gid", "x.doc_id", "x.label")
+    found = found.unionByName(saved(small_groups(groups, texts, idf, least), "near-small"))
+    rest = rest.where("not little")
+    tried = rest.select("band", "doc_id").limit(0)
+    share = more_hubs / (rest.agg(F.max("n")).first()[0] or 1)
+    turn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))  # a document is a hub in all its buckets at once
+    while share < more_hubs and not rest.isEmpty():
+        hubs = rest.where("out").where(turn < share).join(tried, ["band", "doc_id"], "left_anti")
+        hubs = saved(hubs.select("band", F.col("doc_id").alias("hub"), F.col("label").alias("hub_label")), "near-hubs")
+        # a band's hubs are a stated set of queries against its documents of other classes that haven't been hubs before
+        pairs = rest.join(tried, ["band", "doc_id"], "left_anti").join(hubs, "band").where("label <> hub_label")
+        pairs = pairs.select(F.greatest("doc_id", "hub").alias("doc_id"), F.least("doc_id", "hub").alias("hub")).distinct()
+        found = found.unionByName(saved(star(pairs, texts, idf, least), "near-stars"))
+        tried = tried.unionByName(hubs.select("band", F.col("hub").alias("doc_id")))
+        rest = mixed_buckets(members.join(rest.select("band").distinct(), "band", "left_semi"), found, task_pairs, task_bytes)
+        share *= more_hubs
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:

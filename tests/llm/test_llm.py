@@ -598,10 +598,11 @@ def brute_classes(rows, idf, least=0.8):
     return {i: find(i) for i in sets}, pairs
 
 
-@pytest.mark.parametrize("task_pairs,more_hubs", [(200_000, 64), (0, 2)])
-def test_near_duplicates(spark, task_pairs, more_hubs, monkeypatch):
+@pytest.mark.parametrize("task_pairs,group_docs,deals", [(4_000_000, 1024, 3), (0, 4, 1), (0, 4, 0)])
+def test_near_duplicates(spark, task_pairs, group_docs, deals, monkeypatch):
+    """Small buckets in a task; all dealt into groups, then by rounds of hubs; by rounds of hubs alone."""
     rows = near_rows()
-    monkeypatch.setattr(neardup.links, "__defaults__", (neardup.LEAST_SIMILARITY, task_pairs, 16 << 20, more_hubs))
+    monkeypatch.setattr(neardup.links, "__defaults__", (neardup.LEAST_SIMILARITY, task_pairs, 16 << 20, group_docs, deals, 2))
     df = docs_of(spark, rows, True)
     got = {r.doc_id: r.class_id for r in neardup.classes(df).collect()}
     assert got == brute_classes(rows, neardup.word_idf(df))[0]
@@ -609,6 +610,22 @@ def test_near_duplicates(spark, task_pairs, more_hubs, monkeypatch):
     assert {r.doc_id for r in kept.collect()} == set(got.values())
 
 
+def test_group_similarities():
+    """Blocks and pairs give what comparing two sets gives, with shingles that repeat within a text."""
+    r, idf = random.Random(3), np.random.default_rng(0).random(neardup.BUCKETS) * 5 + 0.1
+    shingles = neardup.Shingles(idf)
+    base = prose(55, 1, 300)[0].split()
+    texts = [" ".join(w if r.random() > 0.03 else f"x{r.randrange(9)}" for w in base[r.randrange(9) :]) for _ in range(50)] + ["same " * 40, "same " * 60, "a b", "a b", "b a", " ".join(base) * 2]
+    sets = [shingles.counted(h) for h in neardup.hashed_words(texts, 64)]
+    few = np.array([0, 3, 7, 50, 51, 52, 55])
+    for often, block in ((32, 2048), (2, 7), (1, 5), (100, 8)):
+        got = neardup.similarities(sets, few, often, block)
+        for k, i in enumerate(few):
+            want = np.array([neardup.similarity(shingles(texts[i]), shingles(x)) for x in texts])
+            others = np.arange(len(texts)) != i
+            assert np.allclose(got[k][others], want[others], atol=1e-5)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_near_recall(spark):
     """Every pair of the table at 0.8 and more, found by comparing all that share a shingle, is in one class, and classes hold nothing else."""
