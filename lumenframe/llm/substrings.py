@@ -4,8 +4,9 @@ A window is ``WINDOW`` consecutive words of one document. Every window is filed
 its ``GRAM``-word grams: equal windows have equal anchors, and neighbouring windows mostly share one, so the index
 holds some 8 entries for 100 words and misses no window. Each batch of documents becomes an immutable run of
 (anchor, document), sorted and bucketed by anchor; it is merge-joined with the earlier runs without moving them.
-Documents that share an anchor are then read again, and their windows under it are compared by a second, independent
-64-bit hash (verification: 128 bits agree). Runs are compacted into one when there are too many.
+Documents that share an anchor are then read again, and their windows under it are compared by a hash made from other
+64-bit hashes of their words (verification: two windows are taken for equal if 128 bits that share no step agree). Runs
+are compacted into one when there are too many. A manifest beside the runs lists them, so a later session goes on.
 """
 
 from __future__ import annotations
@@ -61,10 +62,10 @@ def anchors(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.n
     return at, g
 
 
-def word_hashes() -> WordIds:
+def word_hashes(seed: int = 0) -> WordIds:
     import xxhash
 
-    return WordIds(lambda w: xxhash.xxh3_64_intdigest(w))
+    return WordIds(lambda w: xxhash.xxh3_64_intdigest(w, seed))
 
 
 def split(text: str | None) -> list[bytes]:
@@ -78,19 +79,44 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("key"), text.alias("text"))
 
 
+MANIFEST = "generation long, name string, location string, buckets int, window int, gram int, most_runs int, hot_docs int"
+
+
 class FingerprintIndex:
-    """Runs of the documents seen so far. add(batch) files a batch and gives the rows to verify."""
+    """Runs of the documents seen so far, under ``path``. add(batch) files a batch and gives the rows to verify."""
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, most_runs: int = 4, hot_docs: int = 1000, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, most_runs: int = 4, hot_docs: int = 1000, buckets: int | None = None, path: str | None = None):
         self.spark, self.window, self.gram = ready(spark), window, gram
         self.most_runs, self.hot_docs, self.buckets = most_runs, hot_docs, buckets or partitions(spark)
+        self.path, self.generation = path or scratch(spark, "index"), 0
         self.runs: list[str] = []
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+        """The index that an earlier session left under ``path``, as of its last whole generation."""
+        rows = spark.read.schema(MANIFEST).json(f"{path}/manifest")
+        last = rows.where(F.col("generation") == (rows.agg(F.max("generation")).first()[0] or 0)).orderBy("name").collect()  # a row a run
+        if not last:
+            raise FileNotFoundError(f"no index under {path}")
+        one = last[0]
+        out = cls(spark, one["window"], one["gram"], one["most_runs"], one["hot_docs"], one["buckets"], path)
+        out.generation, out.runs = one["generation"], [r["name"] for r in last]
+        for r in last:
+            if not spark.catalog.tableExists(r["name"]):
+                spark.sql(f"CREATE TABLE {r['name']} (g BIGINT, doc_id BIGINT, key BIGINT) USING parquet CLUSTERED BY (g) SORTED BY (g) INTO {r['buckets']} BUCKETS LOCATION '{r['location']}'")
+        return out
+
+    def _commit(self) -> None:
+        """Add a generation to the manifest: readers see all of its runs or none."""
+        self.generation += 1
+        rows = [(self.generation, name, f"{self.path}/{name}", self.buckets, self.window, self.gram, self.most_runs, self.hot_docs) for name in self.runs]
+        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").json(f"{self.path}/manifest")
+
     def _write(self, rows: DataFrame) -> str:
         name = f"lumenframe_run_{uuid.uuid4().hex}"
         (
             rows.repartition(self.buckets, "g").write.format("parquet").option("compression", "zstd")
-            .bucketBy(self.buckets, "g").sortBy("g").option("path", scratch(self.spark, "run")).saveAsTable(name)
+            .bucketBy(self.buckets, "g").sortBy("g").option("path", f"{self.path}/{name}").saveAsTable(name)
         )
         return name
 
@@ -132,17 +158,28 @@ class FingerprintIndex:
         if len(self.runs) > self.most_runs:
             out = saved(out, "shared-rows")  # it reads the runs that go now
             self.compact()
+        else:
+            self._commit()
         return out
 
     def compact(self) -> None:
-        """One run of all."""
+        """One run of all. Files of the old ones stay, for what reads them still, until ``vacuum``."""
         old, rows = self.runs, None
         for name in old:
             rows = self.spark.table(name) if rows is None else rows.unionByName(self.spark.table(name))
         self.runs = [self._write(rows)]
+        self._commit()
         for name in old:
             self.spark.sql(f"DROP TABLE {name}")
 
+    def vacuum(self) -> None:
+        """Remove the files of runs that the last generation doesn't list; rows that add() gave before must have been used."""
+        top = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for f in files.listStatus(top):
+            if f.getPath().getName().startswith("lumenframe_run_") and f.getPath().getName() not in self.runs:
+                files.delete(f.getPath(), True)
+
 
 def repeated(docs: DataFrame, shared: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, key, spans: runs of first words [a, z] of windows that also start in a document with a smaller doc_id.
@@ -156,7 +193,7 @@ def repeated(docs: DataFrame, shared: DataFrame, window: int = WINDOW, gram: int
     lists = shared.groupBy("doc_id", "key").agg(F.collect_set(F.struct("g", "hot")).alias("gs"))
 
     def run(batches):
-        ids = word_hashes()
+        ids, others = word_hashes(), word_hashes(1)
         for b in batches:
             cols = [[] for _ in range(6)]
             for d, k, t, gs in zip(*(b.column(c).to_pylist() for c in ("doc_id", "key", "text", "gs"))):
@@ -165,7 +202,7 @@ def repeated(docs: DataFrame, shared: DataFrame, window: int = WINDOW, gram: int
                     continue
                 h = np.fromiter(map(ids.__getitem__, words), np.uint64, len(words))
                 at, g = anchors(h, window, gram)
-                hashes = rolled(h, window, 1).view(np.int64)
+                hashes = rolled(np.fromiter(map(others.__getitem__, words), np.uint64, len(words)), window, 1).view(np.int64)
                 hot = dict(sorted((x["g"], x["hot"]) for x in gs))  # an anchor that has become hot since: True comes last
                 first = np.nonzero(np.concatenate([[True], at[1:] != at[:-1]]))[0]
                 last = np.concatenate([first[1:], [len(at)]])

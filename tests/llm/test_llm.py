@@ -169,11 +169,16 @@ def test_language(spark):
     mixed = LANGS["en"] * 10 + " " + LANGS["de"] * 10
     pi = dict(zip(langs, langid.mixtures([mixed], logp)[0]))
     assert pi["en"] > 0.25 and pi["de"] > 0.25 and pi["fr"] < 0.05  # the language set is the two that are there
-    odd = langid.predict(docs_of(spark, ODD, True).drop("_text"), langs, logp, ("doc_id",)).collect()
+    odd = langid.predict(docs_of(spark, ODD, True), langs, logp, ("doc_id",)).collect()
     assert len(odd) == len(ODD) and {(r.doc_id, r.lang_pred, r.score) for r in odd if r.doc_id in (1, 2, 3, 6)} == {(i, "und", 0.0) for i in (1, 2, 3, 6)}
     kept = langid.stage_language(spark, spark.createDataFrame([(i, t, x, None, None) for i, t, x in rows] + [(900, "123 ...", "en", None, None)], DOCS), "")
     assert kept.count() == 300 and kept.columns == [c.split()[0] for c in DOCS.split(", ")]
     assert langid.fit(langid.training_rows(docs_of(spark, ODD)))[0] == []
+    clash = spark.createDataFrame([(i, t, x, None, None) for i, t, x in rows], DOCS).withColumns({c: F.lit("x") for c in ("_text", "lang_pred_", "u", "share")})
+    assert langid.stage_language(spark, clash, "").columns == clash.columns
+    assert toxicity.score(clash, toxicity.Ordinal(np.zeros(8), [1.0]), ("doc_id", "_text")).count() == chunking.fingerprints(clash, ("doc_id", "_text")).count() == 300
+    whole = langid.predict(docs_of(spark, [(1, LANGS["de"] * 3000)]), langs, logp, ("doc_id",)).first()  # a very long text
+    assert whole.lang_pred == "de"
 
 
 def test_stage_without_labels(spark):
@@ -320,6 +325,29 @@ def test_substrings(spark, hot, runs, batches):
     assert got == brute_removed(rows, 12)
 
 
+def test_index_outlives_its_session(spark, tmp_path):
+    """Batches filed in three sessions, compaction among them, give what brute force gives; old runs' files go."""
+    base = [" ".join(t.split()[:60]) for t in prose(13, 12, 150)]
+    r = random.Random(6)
+    rows = [(i, " ".join(r.choice(base).split()[r.randint(0, 9) :] + r.choice(base).split()[: r.randint(0, 50)])) for i in range(48)]
+    path, out = f"file://{tmp_path}/index", None
+    for k in range(4):
+        index = substrings.FingerprintIndex(spark, 12, 6, most_runs=2, buckets=3, path=path) if k == 0 else substrings.FingerprintIndex.open(spark, path)
+        assert len(index.runs) == [0, 1, 2, 1][k]
+        shared = index.add(docs_of(spark, rows[12 * k : 12 * k + 12]))
+        out = shared if out is None else out.unionByName(shared)
+        out = substrings.saved(out, "test")
+        for name in index.runs:  # the next session knows only the files
+            spark.sql(f"DROP TABLE {name}")
+    index.vacuum()
+    assert sorted(p.name for p in (tmp_path / "index").iterdir() if p.name != "manifest") == sorted(index.runs)
+    df = docs_of(spark, rows)
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substrings.removed(df, substrings.repeated(df, out, 12, 6), 12).collect()}
+    assert got == brute_removed(rows, 12) and sum(n for _, n, _ in got.values()) > 100
+    with pytest.raises(Exception):
+        substrings.FingerprintIndex.open(spark, f"file://{tmp_path}/none")
+
+
 def test_substring_odd_rows(spark):
     df = docs_of(spark, ODD, True)
     spans = substrings.repeated(df, substrings.shared_rows(df))
@@ -501,7 +529,7 @@ def test_next_documents(spark, monkeypatch, tmp_path):
         assert r.fingerprint == chunking.text_of(chunking.chunks(t)) and r.near_next == chunking.containment(chunking.chunks(t), chunking.chunks(nxt))
     every = chunking.with_next(docs_of(spark, ODD), lambda p: __import__("pyarrow").RecordBatch.from_pydict({"d": [str(x[0]) for x in p]}), "d string")
     assert every.count() == len(ODD)
-    assert chunking.fingerprints(docs_of(spark, ODD, True).drop("_text")).count() == len(ODD)
+    assert chunking.fingerprints(docs_of(spark, ODD, True)).count() == len(ODD)
 
 
 # --- toxicity ---
@@ -541,7 +569,7 @@ def test_toxicity(spark):
             labels.append((i, int(bad)))
     lab = spark.createDataFrame([*labels, (0, 0), (None, 1), (5000, 1), (3, None)], "doc_id long, grade int")
     model, n = toxicity.learn(docs_of(spark, rows), lab)
-    out = {x.doc_id: x for x in toxicity.score(docs_of(spark, [*rows, (900, None), (901, "")], True).drop("_text"), model).collect()}
+    out = {x.doc_id: x for x in toxicity.score(docs_of(spark, [*rows, (900, None), (901, "")], True), model).collect()}
     assert n == 2 and all(out[i].toxic == (i % 5 == 0) for i in range(250, 400)) and not out[900].toxic and not out[901].toxic
     none, _ = toxicity.learn(docs_of(spark, rows), lab.limit(0))
     assert toxicity.score(docs_of(spark, rows), none).where("toxic").count() == 0
