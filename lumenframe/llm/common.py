@@ -65,6 +65,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spare(names, name: str = "_text") -> str:
+    """``name``, longer until none of ``names`` is it in any case."""
+    taken = {x.lower() for x in names}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def lean(run):
     """``run`` for mapInArrow, that gives memory back to the system when its task is done: workers are kept, several an executor."""
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import lean, ready, table
+from lumenframe.llm.common import lean, ready, spare, table
 
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -139,12 +139,12 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, keep: tuple[str
     """
     spark = ready(docs.sparkSession)
     shared = spark.sparkContext.broadcast(logp)  # buckets x languages, whatever the corpus
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    rows = docs.select(*keep, F.col("text").cast("string").alias(spare(keep)))
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches):
         for b in batches:
-            pi = mixtures(b.column("_text").to_pylist(), shared.value, penalty)
+            pi = mixtures(b.column(b.num_columns - 1).to_pylist(), shared.value, penalty)
             top = pi.argmax(1) if len(langs) else np.zeros(len(pi), int)
             best = pi[np.arange(len(pi)), top] if len(langs) else np.zeros(len(pi))
             order = [[(langs[j], float(p[j])) for j in np.argsort(-p, kind="stable") if p[j] > 0] for p in pi]
