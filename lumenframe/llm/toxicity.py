@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import WordIds, bare, crc, lean, ready, table
+from lumenframe.llm.common import WordIds, bare, crc, lean, ready, saved, spare, table
 
 
 #: Lengths of the word beginnings that are features besides whole words: inflected and compounded insults share them.
@@ -47,7 +47,15 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(np.asarray(z)[:, None] - self.thresholds, -50, 50)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, weights: np.ndarray, buckets: int, n_grades: int, l2: float = 5e-3, least_docs: int = 5, least_z: float = 4.0, steps: int = 200, rate: float = 0.05) -> Ordinal:
+LEAST_DOCS, LEAST_Z = 5, 4.0
+
+
+def screened(n_in: np.ndarray, g_in: np.ndarray, mean: float, sd: float, least_docs: int = LEAST_DOCS, least_z: float = LEAST_Z) -> np.ndarray:
+    """Which features tell something: n_in rows have one, with grades that sum to g_in; mean and sd are those of all rows' grades."""
+    return (n_in >= least_docs) & (np.abs(g_in - n_in * mean) >= least_z * max(sd, 1e-9) * np.sqrt(np.maximum(n_in, 1)))
+
+
+def fit(rows: list[np.ndarray], grades: np.ndarray, weights: np.ndarray, buckets: int, n_grades: int, l2: float = 5e-3, least_docs: int = LEAST_DOCS, least_z: float = LEAST_Z, steps: int = 200, rate: float = 0.05) -> Ordinal:
     """Weighted maximum likelihood with a small L2 penalty, by Adam over the whole sample.
 
     Features of fewer than ``least_docs`` rows, or whose rows' mean grade is within ``least_z`` standard errors of the
@@ -57,8 +65,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, weights: np.ndarray, buckets
     for x, g in zip(rows, grades):
         n_in[x] += 1
         g_in[x] += g
-    mean, sd = grades.mean(), max(float(grades.std()), 1e-9)
-    useful = (n_in >= least_docs) & (np.abs(g_in - n_in * mean) >= least_z * sd * np.sqrt(np.maximum(n_in, 1)))
+    useful = screened(n_in, g_in, grades.mean(), float(grades.std()), least_docs, least_z)
     rows = [x[useful[x]] for x in rows]
     row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
     col = np.concatenate([*rows, np.zeros(0, np.int64)])
@@ -111,12 +118,33 @@ def learn(docs: DataFrame, labels: DataFrame, per_grade: int = 8000, buckets: in
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("grade"), pa.array([features(t, ids).astype("<i4").tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["grade", "x"])
 
-    rows, grades = [], []
-    for r in chosen.mapInArrow(lean(run), "grade int, x binary").toLocalIterator():
-        rows.append(np.frombuffer(r["x"], "<i4"))
-        grades.append(r["grade"])
-    grades = np.array(grades, np.int64)
-    got = np.bincount(grades, minlength=n_grades)
+    def count(batches):
+        n_in, g_in = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        for b in batches:
+            for g, x in zip(b.column("grade").to_pylist(), b.column("x").to_pylist()):
+                x = np.frombuffer(x, "<i4")
+                n_in[x] += 1
+                g_in[x] += g
+        at = np.nonzero(n_in)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n_in[at]), pa.array(g_in[at])], names=["f", "n", "g"])
+
+    sample = saved(chosen.mapInArrow(lean(run), "grade int, x binary"), "toxicity-sample")
+    got = np.bincount(np.concatenate([np.zeros(0, np.int64), sample.select("grade").toArrow()["grade"].to_numpy()]), minlength=n_grades)
+    sums = sample.mapInArrow(lean(count), "f long, n long, g long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("g").alias("g")).toArrow()  # a row a bucket at most
+    n_in, g_in = np.zeros(buckets), np.zeros(buckets)
+    n_in[sums["f"].to_numpy()], g_in[sums["f"].to_numpy()] = sums["n"].to_numpy(), sums["g"].to_numpy()
+    grade = np.arange(n_grades)
+    mean = (got * grade).sum() / max(1, got.sum())
+    useful = screened(n_in, g_in, mean, max(0.0, (got * grade**2).sum() / max(1, got.sum()) - mean**2) ** 0.5)
+    kept = spark.sparkContext.broadcast(useful)
+
+    def some(batches):
+        for b in batches:
+            xs = [np.frombuffer(x, "<i4") for x in b.column("x").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("grade"), pa.array([x[kept.value[x]].tobytes() for x in xs], pa.binary())], names=["grade", "x"])
+
+    table = sample.mapInArrow(lean(some), "grade int, x binary").toArrow()  # in one job; only the screened features of the sample
+    rows, grades = [np.frombuffer(x, "<i4") for x in table["x"].to_pylist()], table["grade"].to_numpy().astype(np.int64)
     weights = np.array([sizes.get(g, 0) / max(1, got[g]) for g in range(n_grades)])[grades]
     return fit(rows, grades, weights, buckets, n_grades), n_grades
 
@@ -129,14 +157,14 @@ def score(docs: DataFrame, model: Ordinal, keep: tuple[str, ...] = ("doc_id",))
     spark = ready(docs.sparkSession)
     buckets = len(model.w)
     shared = spark.sparkContext.broadcast((model.w, model.thresholds))  # as long as the buckets, whatever the corpus
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    rows = docs.select(*keep, F.col("text").cast("string").alias(spare(keep)))
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches):
         w, t = shared.value
         m, ids = Ordinal(w, t), word_features(buckets)
         for b in batches:
-            z = np.array([w[features(x, ids)].sum() for x in b.column("_text").to_pylist()])
+            z = np.array([w[features(x, ids)].sum() for x in b.column(b.num_columns - 1).to_pylist()])
             p = m.at_least(z)
             grade = (p >= 0.5).sum(1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(p.sum(1)), pa.array(grade), pa.array(grade > 0)], names=[*b.schema.names[:-1], "severity", "grade", "toxic"])
