@@ -137,8 +137,9 @@ def eights(raw: bytes) -> np.ndarray:
 
 
 def span_hashes(raw: bytes, a: np.ndarray, z: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
-    """64-bit hashes of the spans raw[a:z], never 0. Eight bytes at a time, each mixed in by steps that aren't linear, so
-    no family of spans collides as those of a polynomial do; spans over LONG bytes by xxh3."""
+    """64-bit hashes of the spans raw[a:z]. Eight bytes at a time, each mixed in by steps that aren't linear, so no family
+    of spans collides as those of a polynomial do; spans over LONG bytes by xxh3. Every step can be undone, so spans of
+    one length of at most eight bytes never share a hash."""
     words = eights(raw) if words is None else words
     n = z - a
     h = n.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -159,7 +160,7 @@ def span_hashes(raw: bytes, a: np.ndarray, z: np.ndarray, words: np.ndarray | No
         import xxhash
 
         h[long] = [xxhash.xxh3_64_intdigest(raw[i:j]) for i, j in zip(a[long].tolist(), z[long].tolist())]
-    return h | np.uint64(1)
+    return h
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,14 +185,14 @@ def bare_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hashed_words(texts: list[str | None], bits: int, chunk: int = 1 << 18, spans=word_spans) -> list[np.ndarray]:
-    """Hashes of ``bits`` bits (64: unsigned) of each text's words (those of ``spans``, in lower case), in order, all in numpy."""
+    """Hashes of ``bits`` bits (64: unsigned, never 0) of each text's words (those of ``spans``, in lower case), in order, all in numpy."""
     none = np.zeros(0, np.uint64 if bits == 64 else np.int64)
     out, held, places, size = [none] * len(texts), [], [], 0
 
     def flush() -> None:
         raw = b"\0".join(held) + b"\0"
         a, z = spans(np.frombuffer(raw, np.uint8))
-        h = span_hashes(raw, a, z)
+        h = span_hashes(raw, a, z) | np.uint64(1)
         h = h if bits == 64 else (h >> np.uint64(64 - bits)).astype(np.int64)
         stops = np.searchsorted(a, np.cumsum([len(x) + 1 for x in held])).tolist()
         for i, lo, hi in zip(places, [0, *stops], stops):

@@ -20,6 +20,7 @@ from lumenframe.llm.common import lean, partitions, ready, saved
 from lumenframe.llm.tokens import encoder
 
 K1, B = 1.2, 0.75
+NONE = np.uint64(1 << 40)  # above all hashes
 
 
 def token_table(docs: DataFrame, tokenizer: str, kind: str, end_id: int) -> DataFrame:
@@ -31,16 +32,15 @@ def token_table(docs: DataFrame, tokenizer: str, kind: str, end_id: int) -> Data
         vocab = enc.tok.get_vocab_size()
         mixed = (np.arange(vocab, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
         for b in batches:
-            blobs, route, n = [], [], []
-            for x in enc.many(b.column("text").to_pylist()):
-                blobs.append(x + end)
-                ids = np.frombuffer(blobs[-1], enc.dtype)
-                h = mixed[ids]
-                low = int(h.min())
-                rest = h[h > np.uint64(low)]
-                route.append((low << 31) | (int(rest.min()) if len(rest) else low))
-                n.append(len(ids))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(route, pa.int64()), pa.array(n, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "route", "n_terms", "ids"])
+            blobs = [x + end for x in enc.many(b.column("text").to_pylist())]
+            n = np.array([len(x) // enc.dtype.itemsize for x in blobs], np.int64)
+            first = np.cumsum(n) - n
+            h = mixed[np.frombuffer(b"".join(blobs), enc.dtype)]
+            low = np.minimum.reduceat(h, first) if len(n) else h
+            h[h == np.repeat(low, n)] = NONE
+            low2 = np.minimum.reduceat(h, first) if len(n) else h
+            route = (low << np.uint64(31)) | np.where(low2 == NONE, low, low2)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(route.view(np.int64)), pa.array(n), pa.array(blobs, pa.binary())], names=["doc_id", "route", "n_terms", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return saved(rows.mapInArrow(lean(encode), "doc_id long, route long, n_terms long, ids binary"), "packing-tokens")

@@ -60,8 +60,8 @@ class Pool:
         """Slot of each hash, -1 where it isn't known."""
         slot = (h & np.uint64(self.mask)).astype(np.int64)
         key = self.keys[slot]
-        out = np.where(key == h, slot, -1)
-        todo = np.nonzero((key != h) & (key != 0))[0]
+        out = np.where((key == h) & (h != 0), slot, -1)
+        todo = np.nonzero((key != h) & (key != 0) & (h != 0))[0]
         while len(todo):
             s = (slot[todo] + 1) & self.mask
             slot[todo] = s
@@ -72,10 +72,12 @@ class Pool:
         return out
 
     def verified(self, slot: np.ndarray, raw: bytes, words: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
-        """``slot``, with -1 where the piece raw[a:z] isn't, byte for byte, the one that the slot holds."""
-        n, at = z - a, self.byte_at[slot]
+        """``slot``, with -1 where the piece raw[a:z] isn't, byte for byte, the one that the slot holds. (Of at most eight
+        bytes, one length and one hash are one piece.)"""
+        n = z - a
         good = (slot >= 0) & (self.byte_n[slot] == n)
-        todo, here, left = np.nonzero(good)[0], 0, None
+        todo, here = np.nonzero(good & (n > 8))[0], 0
+        at = self.byte_at[slot]
         while len(todo):
             left = n[todo] - here
             same = (words[a[todo] + here] ^ self.words[at[todo] + here]) & FIRST[np.minimum(left, 8)] == 0
@@ -211,7 +213,7 @@ class Encoder:
             first = np.full(len(pieces), -1, np.int64)
             first[back[::-1]] = new[::-1]
             keys, one = np.unique(h[first], return_index=True)  # of pieces that share a hash, one has its place
-            fits = (self.pool.find(keys) < 0) & (z[first[one]] - a[first[one]] <= self.LONGEST)
+            fits = (keys != 0) & (self.pool.find(keys) < 0) & (z[first[one]] - a[first[one]] <= self.LONGEST)
             keys, one = keys[fits], one[fits]
             if len(keys) and self.pool.count + len(keys) <= self.pool.most:
                 self.pool.add(keys, [pieces[i] for i in one.tolist()], [blobs[i] for i in one.tolist()])
