@@ -169,17 +169,9 @@ def set_part_link(links: DataFrame, files: DataFrame, follower: str, leader: str
 
 
 def followers_of(links: DataFrame, leader: str) -> DataFrame:
-    """All that lead to a content, directly or not."""
-    spark = links.sparkSession
-    view = f"links_{uuid.uuid4().hex}"
-    links.createOrReplaceTempView(view)
-    return spark.sql(
-        f"""WITH RECURSIVE f(fingerprint, path) AS (
-          SELECT fingerprint, array(leader, fingerprint) FROM {view} WHERE leader = :leader
-          UNION ALL SELECT l.fingerprint, array_append(f.path, l.fingerprint) FROM f JOIN {view} l ON l.leader = f.fingerprint WHERE NOT array_contains(f.path, l.fingerprint))
-        SELECT DISTINCT fingerprint FROM f""",
-        args={"leader": leader},
-    )
+    """All that lead to a content, directly or not, however long the chain: those whose end it is once its own link is cut."""
+    cut = links.where(F.col("fingerprint") != leader)
+    return final_leaders(cut).where(F.col("leader") == leader).select(F.col("follower").alias("fingerprint"))
 
 
 def unlink(links: DataFrame, leader: str) -> DataFrame:

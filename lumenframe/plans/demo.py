@@ -93,13 +93,11 @@ def best_version(spark, d):
 
 
 @query("representative_file", """
-SELECT l_orderkey AS version_id, fp AS fingerprint, path FROM (SELECT l_orderkey, l_partkey || '-' || l_suppkey AS fp, 'f' || (l_orderkey * 8 + l_linenumber) AS path,
-row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, -CAST(l_quantity AS BIGINT), 'f' || (l_orderkey * 8 + l_linenumber), l_partkey || '-' || l_suppkey) AS r FROM lineitem WHERE l_linestatus = 'F') WHERE r = 1""")
+SELECT l_orderkey AS version_id, fp AS fingerprint, path FROM (SELECT l_orderkey, l_partkey || '-' || l_suppkey AS fp, 'f' || (l_orderkey * 8 + l_linenumber) || '-' || l_partkey || '-' || l_suppkey AS path,
+row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, -CAST(l_quantity AS BIGINT), 'f' || (l_orderkey * 8 + l_linenumber) || '-' || l_partkey || '-' || l_suppkey) AS r FROM lineitem WHERE l_linestatus = 'F') WHERE r = 1""")
 def representative_file(spark, d):
-    rows = a.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("version_id"), F.concat(F.lit("f"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("string")).alias("path"), F.col("l_linenumber").alias("part"), F.col("l_quantity").cast("long").alias("size"), F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("fingerprint"), F.lit("main").alias("role"), (F.col("l_linestatus") != "F").alias("missing"))
-    order = F.struct("part", -F.col("size"), "path", "fingerprint")
-    pick = versions.present_mains(rows).where("fingerprint <> ''").groupBy("version_id").agg(F.min_by(F.struct("fingerprint", "path"), order).alias("r"))
-    return pick.select("version_id", "r.fingerprint", "r.path")
+    rows = a.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("version_id"), F.concat(F.lit("f"), F.concat_ws("-", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))).alias("path"), F.col("l_linenumber").alias("part"), F.col("l_quantity").cast("long").alias("size"), F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("fingerprint"), F.lit("main").alias("role"), (F.col("l_linestatus") != "F").alias("missing"))
+    return versions.representatives(rows)
 
 
 FILES = "SELECT doc_id, source || '/' || coalesce(lang, '-') || '/doc' || doc_id || '.mkv' AS path, n_chars AS size, CASE WHEN coalesce(text, '') = '' THEN '' ELSE substr(sha256(text), 1, 32) END AS fp FROM documents"
@@ -143,13 +141,13 @@ def identity_join(spark, d):
 
 @query("unidentified_queue", f"""
 WITH f AS (SELECT fp, min(doc_id) AS doc_id FROM ({FILES}) WHERE fp <> '' GROUP BY fp), j AS (SELECT f.doc_id, coalesce(i.status, 'none') AS status FROM f LEFT JOIN ({IDENTS}) i ON f.fp = i.fp)
-SELECT status, CAST(count(*) AS BIGINT) AS n, min(doc_id) AS first FROM j WHERE status IN ('none', 'unmatched') GROUP BY status""")
+SELECT 'none' AS status, count(*) AS n, NULL::BIGINT AS first FROM j WHERE status = 'none' UNION ALL SELECT 'unmatched', 1, doc_id FROM j WHERE status = 'unmatched'""")
 def unidentified_queue(spark, d):
     rows = a.files(spark, d).select(F.col("version_id").alias("id"), "fingerprint", F.lit(True).alias("present"), F.lit("t").alias("title"), F.lit(0).alias("year"))
     view = rows.join(a.identifications(spark, d).select("fingerprint", "status"), "fingerprint", "left").withColumn("status", F.coalesce("status", F.lit("none")))
-    w = Window.partitionBy("fingerprint").orderBy("id")
-    firsts = view.where("present and fingerprint <> ''").withColumn("_n", F.row_number().over(w)).where("_n = 1 and status in ('none', 'unmatched')")
-    return firsts.groupBy("status").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    pending, unmatched = reports.unidentified(view)
+    waiting = pending.select(F.lit("none").alias("status"), F.col("pending").alias("n"), F.lit(None).cast("long").alias("first"))
+    return waiting.unionByName(unmatched.select("status", F.lit(1).cast("long").alias("n"), F.col("id").alias("first")))
 
 
 @query("pending_probes", f"SELECT f.path FROM ({FILES}) f LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL OR l.quality = 0")
@@ -178,11 +176,9 @@ KINDS = "CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase'
 ENTRIES = f"SELECT CAST({KINDS} AS BIGINT) AS list_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS added_at FROM events"
 
 
-@query("list_membership_min", f"SELECT 'movie:' || user_id AS item_key, list_id, min(added_at) AS added_at FROM ({ENTRIES}) WHERE user_id IN (SELECT p_partkey FROM part) GROUP BY user_id, list_id")
+@query("list_membership_min", f"SELECT 'movie:' || user_id AS item_key, list_id, min(added_at) AS added_at FROM ({ENTRIES}) WHERE user_id > 0 AND user_id IN (SELECT p_partkey FROM part) GROUP BY user_id, list_id")
 def list_membership_min(spark, d):
-    built = a.items(spark, d)
-    targets = built.where("movie_id > 0 or item_key = 'movie:0'").select(text.ref_movie("movie_id").alias("ref"), "item_key")
-    return a.list_entries(spark, d).join(targets, "ref").groupBy("item_key", "list_id").agg(F.min("added_at").alias("added_at"))
+    return items.memberships(a.view(spark, d).limit(0), a.items(spark, d), a.list_entries(spark, d))
 
 
 @query("list_cards", f"""
@@ -230,10 +226,9 @@ def norm_title(spark, d):
     return a.table(spark, d, "documents").select("doc_id", text.norm_title(F.concat_ws(" ", "lang", "source")).alias("title"))
 
 
-@query("words", f"SELECT doc_id, CAST(len(list_filter(string_split_regex(replace({FOLD.format(c='text')}, 'ß', 'ss'), '[^a-z0-9]+'), lambda x: x <> '')) AS BIGINT) AS n FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(replace({FOLD.format(c='text')}, 'ß', 'ss'), '[^\\x00-\\x7F]')")
+@query("words", r"SELECT doc_id, CAST(len(list_filter(string_split_regex(regexp_replace(text, '\p{Mn}', '', 'g'), '[^\p{L}\p{Nd}]+'), lambda x: x <> '')) AS BIGINT) AS n FROM documents WHERE text IS NOT NULL")
 def words(spark, d):
-    rows = a.table(spark, d, "documents").where("text is not null").where(~text.fold("text").rlike(r"[^\x00-\x7F]"))
-    return rows.select("doc_id", F.size(text.words("text")).cast("long").alias("n"))
+    return a.table(spark, d, "documents").where("text is not null").select("doc_id", F.size(text.words("text")).cast("long").alias("n"))
 
 
 @query("strip_accents", "SELECT doc_id, md5(translate(text, 'áàäâãåéèëêíìïîóòöôõøúùüûñçÁÀÄÂÃÅÉÈËÊÍÌÏÎÓÒÖÔÕØÚÙÜÛÑÇ', 'aaaaaaeeeeiiiioooooouuuuncAAAAAAEEEEIIIIOOOOOOUUUUNC')) AS h FROM documents")
@@ -275,9 +270,13 @@ def longest_prefix_join(spark, d):
 
 @query("strict_duration", "SELECT l_orderkey AS version_id, CAST(CASE WHEN bool_and(l_returnflag <> 'R') THEN sum(CAST(l_quantity AS BIGINT)) ELSE 0 END AS BIGINT) AS duration_ms FROM lineitem WHERE l_linestatus = 'F' GROUP BY l_orderkey")
 def strict_duration(spark, d):
-    rows = a.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("version_id"), F.monotonically_increasing_id().cast("string").alias("path"), F.col("l_linenumber").alias("part"), F.lit(1).alias("size"), F.lit(1).alias("mtime"), F.lit("video").alias("kind"), F.lit("main").alias("role"), (F.col("l_linestatus") != "F").alias("missing"), F.col("l_quantity").cast("long").alias("duration_ms"), F.col("l_returnflag").alias("flag"))
-    n = versions.present_mains(rows).groupBy("version_id").agg(F.count("*").alias("mains"), F.count_if(F.col("flag") != "R").alias("valid"), F.sum(F.when(F.col("flag") != "R", F.col("duration_ms"))).alias("total"))
-    return n.select("version_id", F.when(F.col("valid") == F.col("mains"), F.col("total")).otherwise(0).cast("long").alias("duration_ms"))
+    """A line is a file; its probe failed (R by an error, or by another time of the file) or gives the quantity as duration."""
+    path = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")])
+    rows = a.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("version_id"), path.alias("path"), F.col("l_linenumber").alias("part"), F.lit(1).alias("size"), F.lit(1).alias("mtime"), F.lit("video").alias("kind"), F.lit("main").alias("role"), (F.col("l_linestatus") != "F").alias("missing"), F.col("l_quantity").cast("long").alias("duration_ms"), (F.col("l_returnflag") == "R").alias("failed"))
+    stale = F.col("failed") & (F.col("part") % 2 == 0)
+    blank = [F.lit(0).alias("width"), F.lit(0).alias("height"), F.lit("").alias("video_codec"), F.lit(None).alias("audio"), F.lit(None).alias("subs")]
+    probes = rows.select("path", "size", (F.col("mtime") + stale.cast("int")).alias("mtime"), F.when(F.col("failed") & ~stale, "broken").otherwise("").alias("error"), "duration_ms", *blank)
+    return versions.strict_durations(rows, probes)
 
 
 @query("sync_files_merge", f"""
@@ -344,10 +343,16 @@ def catalog_status(spark, d):
     return listing.status(f, f.select(F.lit("").alias("error")).limit(0)).select("files", "present", "hashed")
 
 
-@query("search_bm25")
+@query("search_bm25", f"""
+WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS key, 10 AS weight, coalesce(text, '') AS t FROM documents UNION ALL SELECT CAST(doc_id AS VARCHAR), 2, source FROM documents),
+w AS (SELECT key, weight, unnest(list_filter(string_split_regex(replace({FOLD.format(c='t')}, 'ß', 'ss'), '[^\\p{{L}}\\p{{Nd}}]+'), lambda x: x <> '')) AS term FROM c),
+size AS (SELECT key, count(*) AS words FROM w GROUP BY key), total AS (SELECT count(*) AS docs, avg(words) AS mean FROM size),
+hit AS (SELECT CASE WHEN term = 'the' THEN 0 WHEN term = 'of' THEN 1 ELSE 2 END AS pos, key, sum(weight) AS wtf FROM w WHERE term IN ('the', 'of') OR starts_with(term, 'an') GROUP BY 1, 2),
+df AS (SELECT pos, count(*) AS df FROM hit GROUP BY pos)
+SELECT key, round(sum(greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * wtf * 2.2 / (wtf + 1.2 * (0.25 + 0.75 * words / mean))), 6) AS score FROM hit JOIN df USING (pos) JOIN size USING (key), total GROUP BY key HAVING count(*) = 3""")
 def search_bm25(spark, d):
     docs = a.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("key"), F.coalesce("text", F.lit("")).alias("title"), F.lit("").alias("original"), F.lit("").alias("directors"), F.lit("").alias("cast"), F.col("source").alias("files"), F.struct("doc_id").alias("ord"))
-    return search.query(search.postings(docs), "the of an").select("key", "score")
+    return search.query(search.postings(docs), "the of an").select("key", F.round("score", 6).alias("score"))
 
 
 @query("home_rows_seeded")

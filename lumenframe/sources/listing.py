@@ -14,13 +14,80 @@ from lumenframe.functions.text import base_name
 MIB = 1 << 20
 
 
+def filesystem(path: str):
+    """(file system, path within it) of a URI or a local path, on whichever machine this runs."""
+    from urllib.parse import urlparse
+
+    from pyarrow import fs
+
+    u = urlparse(path)
+    if u.scheme in ("", "file"):
+        return fs.LocalFileSystem(), u.path if u.scheme else path
+    return fs.FileSystem.from_uri(path)
+
+
+def _below(prefix: str, folder: str):
+    """(files, folders, error) right below a folder; a file is (path, size, mtime)."""
+    from pyarrow import fs
+
+    files, folders = [], []
+    try:
+        system, at = filesystem(folder)
+        for x in system.get_file_info(fs.FileSelector(at)):
+            path = prefix + x.path
+            if x.type == fs.FileType.Directory:
+                if not x.base_name.startswith("."):
+                    folders.append(path)
+            elif x.type == fs.FileType.File:
+                files.append((path, x.size, (x.mtime_ns or 0) // 1_000_000))
+    except OSError as e:
+        return [], [], str(e)
+    return files, folders, ""
+
+
+def walk_roots(spark: SparkSession, roots: list[str], folders_a_task: int = 4) -> tuple[DataFrame, list[str]]:
+    """(path, size, mtime in ms, kind of the stored files under ``roots``; the roots that were read without an error).
+
+    Every file counts, empty ones and names with '_' too; dot folders are skipped. File contents aren't read. The driver
+    lists folders from the top until there are some for each task; tasks walk what is below those. A root that can't be
+    listed, or a part of it, isn't clean: nothing under it may be taken for missing."""
+    rows, open_folders = [], [(r, r if "://" in r else r.rstrip("/") or "/") for r in roots]
+    enough = folders_a_task * spark.sparkContext.defaultParallelism
+    prefixes = {r: r[: r.index("://") + 3] + r[r.index("://") + 3 :].split("/")[0] if "://" in r and not r.startswith("file:") else "" for r in roots}
+    while open_folders and len(open_folders) < enough:
+        deeper = []
+        for root, folder in open_folders:
+            files, folders, error = _below(prefixes[root], folder)
+            rows += [(root, *f, "") for f in files] + ([(root, folder, 0, 0, error)] if error else [])
+            deeper += [(root, f) for f in folders]
+        open_folders = deeper
+    schema = "root string, path string, size long, mtime long, error string"
+    here = spark.createDataFrame(rows, schema)
+    if open_folders:
+
+        def run(batches):
+            for pdf in batches:
+                for root, top in zip(pdf["root"], pdf["path"]):
+                    todo = [top]
+                    while todo:
+                        folder = todo.pop()
+                        files, folders, error = _below(prefixes[root], folder)
+                        todo += folders
+                        out = [(root, *f, "") for f in files] + ([(root, folder, 0, 0, error)] if error else [])
+                        if out:
+                            yield pd.DataFrame(out, columns=["root", "path", "size", "mtime", "error"])
+
+        tops = spark.createDataFrame(open_folders, "root string, path string").repartition(min(len(open_folders), enough))
+        here = here.unionByName(tops.mapInPandas(run, schema))
+    here = here.checkpoint() if spark.sparkContext.getCheckpointDir() else here.cache()  # one look at the folders for both answers
+    bad = {r["root"] for r in here.where("error <> ''").select("root").distinct().collect()}  # at most the roots
+    files = here.where("error = ''").select("path", "size", "mtime").withColumn("kind", media.kind("path"))
+    return files.where(media.stored("kind")), [r for r in roots if r not in bad]
+
+
 def walk(spark: SparkSession, root: str) -> DataFrame:
-    """path, size, mtime (ms), kind of the stored files under ``root``; dot folders are skipped. File contents aren't read; Spark's file source doesn't list empty files."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
-    # binaryFile skips names that begin with '_' or '.' itself; dot folders further up are cut here
-    path = F.regexp_replace("path", "^file:/+", "/")
-    out = rows.select(path.alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"))
-    return out.where(~F.col("path").rlike(r"/\.[^/]*/")).withColumn("kind", media.kind("path")).where(media.stored("kind"))
+    """The files of ``walk_roots`` under one root."""
+    return walk_roots(spark, [root])[0]
 
 
 def fingerprint_bytes(head: bytes, tail: bytes | None, size: int) -> str:
@@ -35,10 +102,10 @@ def fingerprint_bytes(head: bytes, tail: bytes | None, size: int) -> str:
 
 
 def fingerprint_file(path: str) -> str:
-    import os
-
-    size = os.path.getsize(path)
-    with open(path, "rb") as f:
+    """Of a local path or a URI that ``pyarrow`` can open; only the first and last MiB of a large file are read."""
+    system, at = filesystem(path)
+    with system.open_input_file(at) as f:
+        size = f.size()
         if size <= 2 * MIB:
             return fingerprint_bytes(f.read(), None, size)
         head = f.read(MIB)
@@ -47,7 +114,7 @@ def fingerprint_file(path: str) -> str:
 
 
 def fingerprints(files: DataFrame) -> DataFrame:
-    """files(path, ...) with fingerprint of each: ranged reads by path, so a file's size doesn't matter. Unreadable: ''."""
+    """files(path, ...) with fingerprint of each: ranged reads by path, so a file's size doesn't matter. Unreadable now: null."""
 
     def run(batches):
         for pdf in batches:
@@ -56,7 +123,7 @@ def fingerprints(files: DataFrame) -> DataFrame:
                 try:
                     out.append(fingerprint_file(p))
                 except OSError:
-                    out.append("")
+                    out.append(None)
             yield pdf.assign(fingerprint=out)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields if f.name != "fingerprint")
@@ -77,9 +144,15 @@ def changed(listing: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def scan(listing: DataFrame, known: DataFrame) -> DataFrame:
-    """A scan's files: unchanged ones keep their fingerprint, the others are hashed."""
+    """A scan's files: unchanged ones keep their fingerprint, the others are hashed. One that can't be read now keeps all
+    that is known of it; a new one has no fingerprint until a later scan can read it."""
     rows = changed(listing, known)
     hashed = fingerprints(rows.where("fingerprint is null"))
+    state = ("size", "mtime", "kind", "fingerprint")
+    before = known.select("path", *[F.col(c).alias(f"_{c}") for c in state])
+    lost = F.col("fingerprint").isNull()
+    old = {c: F.when(lost, F.coalesce(f"_{c}", F.lit("") if c == "fingerprint" else c)).otherwise(F.col(c)).alias(c) for c in state}
+    hashed = hashed.join(before, "path", "left").select(*[old.get(c, F.col(c)) for c in rows.columns])
     return rows.where("fingerprint is not null").unionByName(hashed)
 
 

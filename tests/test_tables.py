@@ -195,15 +195,28 @@ def test_identify(spark):
 
 def test_walk_and_scan(spark, tmp_path):
     root = tmp_path / "cine"
-    for name, n in {"F [X, 1973]/a.mkv": 4096, "F [X, 1973]/a.spa.srt": 100, "F [X, 1973]/info.nfo": 10, "Thumbs.db": 5, ".hid/x.mkv": 9, "e.avi": 0}.items():
+    for name, n in {"F [X, 1973]/a.mkv": 4096, "F [X, 1973]/a.spa.srt": 100, "F [X, 1973]/info.nfo": 10, "Thumbs.db": 5, ".hid/x.mkv": 9, "e.avi": 0, "_G/_c.mkv": 7, "a/b/c/d/e/f.mkv": 8}.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_bytes(b"x" * n)
     found = listing.walk(spark, f"file://{root}")
-    assert {r.path.rpartition("/")[2]: r.kind for r in found.collect()} == {"a.mkv": "video", "a.spa.srt": "subtitle", "info.nfo": "info"}
+    assert {r.path.rpartition("/")[2]: r.kind for r in found.collect()} == {"a.mkv": "video", "a.spa.srt": "subtitle", "info.nfo": "info", "e.avi": "video", "_c.mkv": "video", "f.mkv": "video"}
+    for share in (1, 100):  # tasks walk below folders, or the driver has listed all
+        files, clean = listing.walk_roots(spark, [str(root), f"{tmp_path}/gone"], share)
+        assert files.count() == 6 and clean == [str(root)]
     first = listing.scan(found, schema.empty(spark, "files")).cache()
     fps = {r.path.rpartition("/")[2]: r.fingerprint for r in first.collect()}
     assert len(fps["a.mkv"]) == 32 and fps["a.spa.srt"] == "" and listing.fingerprint_file(str(root / "e.avi")) == ""
-    assert listing.changed(found, first).where("fingerprint is null").count() == 0
+    assert fps["e.avi"] == "" and {r.path.rpartition("/")[2] for r in listing.changed(found, first).where("fingerprint is null").collect()} == {"e.avi"}
+    known = schema.complete(first, "files").cache()
+    assert known.count() == 6
+    (root / "_G" / "_c.mkv").write_bytes(b"y" * 9)
+    (root / "new.mkv").write_bytes(b"z")
+    later = listing.walk(spark, str(root)).cache()
+    assert later.count() == 7
+    (root / "_G" / "_c.mkv").unlink()  # listed, but not to be read when its turn comes
+    (root / "new.mkv").unlink()
+    again = {r.path.rpartition("/")[2]: r for r in listing.scan(later, known).collect()}
+    assert len(again) == 7 and (again["_c.mkv"].size, again["_c.mkv"].fingerprint) == (7, fps["_c.mkv"]) and (again["new.mkv"].size, again["new.mkv"].fingerprint) == (1, "")
     native = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"file://{root}").where("path like '%a.mkv'")
     assert native.select(listing.content_fingerprint(F.col("content"), F.col("length")).alias("f")).first().f == fps["a.mkv"]
     big = tmp_path / "big"
@@ -316,3 +329,6 @@ def test_stream(spark, tmp_path):
     assert [r.path for r in run().read("files").collect()] == ["r/a"]
     (src / "2.json").write_text('{"path":"r/b","size":1,"mtime":1,"kind":"video","fingerprint":"f"}\n{"path":"r/a","size":2,"mtime":2,"kind":"video","fingerprint":"g"}\n')
     assert {r.path: (r.fingerprint, r.first_seen) for r in run().read("files").collect()} == {"r/a": ("g", 5), "r/b": ("f", 5)}
+    began = (src / "1.json").stat().st_mtime
+    dated = ingest(spark, str(src), f"file://{tmp_path}/cat2", f"{tmp_path}/ck2", ["r"])
+    assert {r.first_seen // 1000 - int(began) in range(300) for r in dated.read("files").collect()} == {True}
