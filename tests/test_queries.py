@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from lumenframe.plans import demo
+from lumenframe.plans import demo, more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
