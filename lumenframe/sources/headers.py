@@ -355,7 +355,7 @@ def avi(src: Source) -> dict:
     riff = struct.unpack("<4sI4s", src.read(0, 12))
     if riff[0] != b"RIFF" or riff[2] != b"AVI ":
         raise FormatError("no AVI")
-    state = {"avih": (0, 0), "strh": [], "frames": 0}
+    state = {"avih": None, "strh": [], "frames": 0}
 
     def chunks(at: int, end: int):
         while at + 8 <= end:
@@ -373,10 +373,9 @@ def avi(src: Source) -> dict:
                     walk(s + 4, e)
                 elif name == b"movi":
                     return
-            elif kind == b"avih":
-                b = src.read(s, min(40, e - s))
-                state["avih"] = (struct.unpack_from("<I", b, 0)[0], struct.unpack_from("<I", b, 16)[0])
-                out["width"], out["height"] = (dim(x) for x in struct.unpack_from("<II", b, 32))
+            elif kind == b"avih" and e - s >= 40:
+                b = src.read(s, 40)
+                state["avih"] = struct.unpack_from("<I", b, 0)[0], struct.unpack_from("<I", b, 16)[0], *struct.unpack_from("<II", b, 32)
             elif kind == b"strh":
                 stream = src.read(s, min(56, e - s))
             elif kind == b"strf" and stream is not None:
@@ -385,29 +384,32 @@ def avi(src: Source) -> dict:
                 state["frames"] = struct.unpack("<I", src.read(s, 4))[0]
 
     walk(12, src.size)
-    per_frame, frames = state["avih"]
+    if state["avih"] is None:
+        raise FormatError("no main header")
+    per_frame, frames, width, height = state["avih"]
+    if not out["width"] and not out["height"]:
+        out["width"], out["height"] = dim(width), dim(height)
     rate = state["strh"]
-    by_stream = rate[0] * 1000 / rate[1] if rate and rate[1] else 0
-    out["duration_ms"] = sane_ms(by_stream) or sane_ms(state["frames"] * per_frame / 1000) or sane_ms(frames * per_frame / 1000)
-    if not out["video_codec"] and not out["audio"]:
-        raise FormatError("no streams")
+    by_stream = sane_ms(rate[0] * 1000 / rate[1]) if rate and rate[1] else 0
+    out["duration_ms"] = by_stream or sane_ms((state["frames"] or frames) * per_frame / 1000)
     return out
 
 
 def avi_stream(head: bytes, fmt: bytes, state: dict, out: dict) -> None:
+    """One stream's header and format; those too short to tell are left out."""
+    if len(head) < 36:
+        return
     kind = head[:4]
     scale, rate, _, length = struct.unpack_from("<IIII", head, 20)
-    if kind == b"vids" and not out["video_codec"]:
-        out["video_codec"] = fourcc(fmt[16:20] if len(fmt) >= 20 else head[4:8])
-        w, h = struct.unpack_from("<ii", fmt, 4) if len(fmt) >= 12 else (0, 0)
-        out["width"], out["height"] = dim(w) or out["width"], dim(abs(h)) or out["height"]
+    if kind == b"vids" and not out["video_codec"] and len(fmt) >= 20:
+        out["video_codec"] = fourcc(fmt[16:20])
+        w, h = struct.unpack_from("<ii", fmt, 4)
+        out["width"], out["height"] = dim(w), dim(abs(h))
         state["strh"] = (length * scale, rate)
     elif kind == b"auds" and len(fmt) >= 4:
         tag, n = struct.unpack_from("<HH", fmt)
         codec = WAV_TAGS.get(tag, "")
         out["audio"].append(track(codec, "", 6 if codec in ("ac3", "dts") and n == 5 else n))
-    elif kind == b"txts":
-        out["subs"].append(track("", "", 0))
 
 
 # --- DVD title sets ---

@@ -200,7 +200,3 @@ def status(files: DataFrame, media_rows: DataFrame) -> DataFrame:
 def file_name(path):
     return base_name(path)
 
-
-def pandas_listing(rows: list[tuple[str, int, int]]) -> pd.DataFrame:
-    """A listing from (path, size, mtime), for tests and recorded trees."""
-    return pd.DataFrame(rows, columns=["path", "size", "mtime"])

@@ -288,6 +288,22 @@ def make_avi():
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
+def test_avi_rules():
+    """A main header is needed and enough; a picture format of under 20 bytes tells nothing, the main header's frame counts then."""
+    whole = make_avi()
+    assert headers.probe(headers.Source.of(whole.replace(b"avih", b"xxxx")))["error"] != ""
+    alone = headers.probe(headers.Source.of(whole.replace(b"strh", b"xxxx")))
+    assert (alone["error"], alone["duration_ms"], alone["width"], alone["video_codec"], alone["audio"]) == ("", 100_000, 640, "", [])
+    at = whole.index(b"strf")
+    short = whole[:at] + b"strf" + struct.pack("<I", 16) + whole[at + 8 : at + 24] + whole[at + 8 + struct.unpack_from("<I", whole, at + 4)[0] :]
+    cut = struct.unpack_from("<I", whole, at + 4)[0] - 16
+    for name in (b"strl", b"hdrl"):  # the lists around it are shorter too
+        k = short.index(name) - 4
+        short = short[:k] + struct.pack("<I", struct.unpack_from("<I", short, k)[0] - cut) + short[k + 4 :]
+    got = headers.probe(headers.Source.of(short))
+    assert (got["error"], got["video_codec"], got["width"], [x["codec"] for x in got["audio"]]) == ("", "", 640, ["ac3"])
+
+
 def make_ifo():
     h = bytearray(4096)
     h[:12] = b"DVDVIDEO-VTS"
