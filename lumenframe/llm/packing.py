@@ -130,10 +130,11 @@ def chain(shard: Shard, sizes: np.ndarray, window: int, room: int):
                     break
 
 
-def pack(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 1, window: int = 2048, shard_docs: int = 1024, query_terms: int = 24) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 1, window: int = 2048, shard_docs: int = 1024, query_terms: int = 24, ids_column: bool = True) -> DataFrame:
     """Pieces of all documents in sequences of at most ``window`` ids (a power of two).
 
-    doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (packed little-endian 32-bit). Every window
+    doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (packed little-endian 32-bit; left out without
+    ``ids_column``, as no column that a Python operator makes is pruned by what follows it). Every window
     is full but the last of a task, which is cut into sequences whose lengths are powers of two: nothing is padded.
     Null or empty text: the end id alone. Repeated rows are documents of their own. Extra columns are left out.
     Sequence ids are unique, not gapless.
@@ -188,8 +189,9 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 1, w
                             out.append([doc, start + lo - off, hi - lo, ids[lo - off : hi - off], all_ids, seq, lo - a])
                     seq += 1
             blobs = [p[3].astype("<u4").tobytes() for p in out]
-            cols = [pa.array([p[i] for p in out], pa.int64()) for i in (0, 1, 2)] + [pa.array([zlib.crc32(x) for x in blobs], pa.int64())] + [pa.array([p[i] for p in out], pa.int64()) for i in (4, 5, 6)] + [pa.array(blobs, pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+            cols = [pa.array([p[i] for p in out], pa.int64()) for i in (0, 1, 2)] + [pa.array([zlib.crc32(x) for x in blobs], pa.int64())] + [pa.array([p[i] for p in out], pa.int64()) for i in (4, 5, 6)]
+            cols += [pa.array(blobs, pa.binary())] * ids_column
+            return pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: len(cols)])
 
         for b in batches:
             for doc, x in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist()):
@@ -202,7 +204,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 1, w
         yield flushed(True)
 
     dealt = tokens.repartitionByRange(partitions(spark), "route", "doc_id").sortWithinPartitions("route", "doc_id", "ids")
-    return dealt.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return dealt.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * ids_column)
 
 
 def op3_retrieval_packing(spark, sf_dir: str) -> DataFrame:
@@ -210,4 +212,4 @@ def op3_retrieval_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), "byte", 1).drop("ids")
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), "byte", 1, ids_column=False)

@@ -127,6 +127,8 @@ def test_packing(spark):
         assert total == sorted(x for ids in want[k] for x in ids)
     assert by.keys() == want.keys()
     assert packing.pack(docs_of(spark, []), path).count() == 0
+    bare = packing.pack(docs_of(spark, rows, True), path, "byte", 1, window=256, shard_docs=50, ids_column=False)
+    assert sorted(map(repr, bare.collect())) == sorted(repr(r) for r in packing.pack(docs_of(spark, rows, True), path, "byte", 1, window=256, shard_docs=50).drop("ids").collect())
 
 
 def test_bm25_ranks_by_definition():
