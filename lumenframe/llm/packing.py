@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import lean, partitions, ready, saved
-from lumenframe.llm.tokens import encoder
+from lumenframe.llm.tokens import encoder, forget
 
 K1, B = 1.2, 0.75
 NONE = np.uint64(1 << 40)  # above all hashes
@@ -50,6 +50,7 @@ def corpus_terms(tokens: DataFrame, dtype, vocab: int) -> tuple[np.ndarray, int,
     """Document frequency of each term, documents, mean length: over all documents. At most one row a term comes to the driver."""
 
     def count(batches):
+        forget()
         df = np.zeros(vocab, np.int64)
         for b in batches:
             for x in b.column("ids").to_pylist():
@@ -149,6 +150,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 1, w
     def run(batches):
         from pyspark import TaskContext
 
+        forget()
         seq, pieces = TaskContext.get().partitionId() << 32, []
         held: list[tuple] = []  # documents of the shard that is being gathered
         open_at = 0

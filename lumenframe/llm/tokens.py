@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import FIRST, LONG, eights, lean, partitions, ready, scratch, span_hashes
+from lumenframe.llm.common import FIRST, LONG, eights, give_back, lean, partitions, ready, scratch, span_hashes
 
 #: Python takes these for white space, the library doesn't.
 ODD = re.compile(r"[\x1c-\x1f]")
@@ -276,6 +276,13 @@ def encoder(path: str, kind: str) -> Encoder:
     return _ENCODERS[path, kind]
 
 
+def forget() -> None:
+    """Drop this worker's encoders (some 250 MB each when full): what comes after encoding needs none."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        give_back()
+
+
 def write_tokens(docs: DataFrame, out: str, tokenizer: str, kind: str = "word", end_id: int = 2, row_group_mb: int = 64, page_rows: int = 256, n: int | None = None) -> str:
     """Write ``documents`` as token ids, in ascending doc_id, into Parquet files under ``out``.
 
@@ -345,6 +352,7 @@ def op10_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_tokens(docs, scratch(spark, "tokens"), public_tokenizers.path("word_bpe_49k.json"), "word", 2)
 
     def digest(batches):
+        forget()
         for b in batches:
             lists = b.column("ids")
             at, ids = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
