@@ -73,27 +73,22 @@ def spare(names, name: str = "_text") -> str:
     return name
 
 
-def give_back() -> None:
-    """Return freed memory to the system."""
-    import ctypes
-    import gc
-
-    import pyarrow as pa
-
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
-
-
 def lean(run):
     """``run`` for mapInArrow, that gives memory back to the system when its task is done: workers are kept, several an executor."""
 
     def out(batches):
         yield from run(batches)
-        give_back()
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
 
     return out
 
