@@ -2,8 +2,8 @@
 
 TF-IDF vectors of passages are projected on the leading right singular directions of a matrix of corpus passages and
 benchmark items, each direction divided by its singular value. The decomposition is a distributed randomised one
-(subspace iteration: tasks add up their passages' products, only sums of fixed size reach the driver). It is fitted on a
-bounded sample; every passage of every document is projected and searched. Passages whose latent cosine with an item is
+(subspace iteration: tasks add up their passages' products, only sums of fixed size reach the driver) over all words of
+all documents and items; every passage of every document is projected and searched. Passages whose latent cosine with an item is
 high enough are candidates, and so is every place that holds one of the words that no leak of a short item (which a
 passage dilutes) can do without; a longest common subsequence of words, weighted by idf, and a check of the answer decide.
 """
@@ -23,7 +23,6 @@ BITS, LATENT_BITS = 18, 15  # of a word's hash: for idf and the exact checks; fo
 BUCKETS, TERMS = 1 << BITS, 1 << LATENT_BITS
 PASSAGE, STRIDE = 32, 16
 RANK, SPARE = 128, 16  # directions kept, and those beside them while iterating
-FIT_PASSAGES, FIT_ITEMS = 16_384, 4_096  # the matrix has at most about so many rows
 LEAST_COSINE = 0.4
 FULL, PART, ANSWER = 0.8, 0.6, 0.8  # shares of the idf weight: of the item by itself; of the item, if so much of its answer is there
 LONGEST_ITEM, SHORT_ITEM = 64, 8
@@ -93,69 +92,116 @@ def blocks(benchmark: DataFrame, most: int):
         yield block
 
 
-def passages(docs: DataFrame, n_docs: int, most: int = FIT_PASSAGES) -> DataFrame:
-    """words (hashes) of about ``most`` passages, from documents of least hash, evenly from each; a bounded sample for the fit only."""
-    share, each = min(1.0, most / max(1, n_docs)), max(1, most // max(1, n_docs))
+def passages(texts: DataFrame) -> DataFrame:
+    """words (hashes) of passages of PASSAGE words that cover every text, evenly placed (the last ends with the text; shorter texts are one)."""
 
     def run(batches):
+        place = np.arange(PASSAGE)
         for b in batches:
-            out = []
-            for w in words_of(b.column("text").to_pylist()):
-                k = min(each, -(-len(w) // PASSAGE))
-                out += [w[i : i + PASSAGE].astype(np.int32).tolist() for i in np.linspace(0, max(0, len(w) - PASSAGE), k).astype(int).tolist()] if k else []
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], names=["words"])
-
-    u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return docs.where("text is not null").where(u < share).select("text").mapInArrow(lean(run), "words array<int>")
-
-
-def decomposed(rows: DataFrame, idf: np.ndarray, rank: int = RANK, iterations: int = 2, tasks: int = 2, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+            docs = [w for w in words_of(b.column("text").to_pylist()) if len(w)]
+            n = np.array([len(w) for w in docs], np.int64)
+            k = -(-n // PASSAGE)
+            doc = np.repeat(np.arange(len(docs)), k)
+            start = (np.arange(len(doc)) - (np.cumsum(k) - k)[doc]) * np.maximum(n - PASSAGE, 0)[doc] // np.maximum(k - 1, 1)[doc]
+            size = np.minimum(n, PASSAGE)[doc]
+            at = ((np.cumsum(n) - n)[doc] + start)[:, None] + place
+            words = np.concatenate([*docs, np.zeros(0, np.int64)]).astype(np.int32)[at[place < size[:, None]]]
+            lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(size)).astype(np.int32), words)
+            yield pa.RecordBatch.from_arrays([lists], names=["words"])
+
+    return texts.where("text is not null").select("text").mapInArrow(lean(run), "words array<int>")
+
+
+def summed(at: np.ndarray, x: np.ndarray, row: np.ndarray, y: np.ndarray, z: np.ndarray, group: int = 8, most: int = 256) -> None:
+    """z[at] += x * y[row], by products of ``group`` entries of one place; ``most`` groups at a time."""
+    by = np.argsort(at.astype(np.uint16 if len(z) <= 1 << 16 else np.int64), kind="stable")
+    n = np.bincount(at, minlength=len(z))
+    places = np.nonzero(n)[0]
+    n = n[places]
+    groups = -(-n // group)
+    of = np.repeat(np.arange(len(places)), groups)
+    inside = (np.arange(len(of)) - (np.cumsum(groups) - groups)[of]) * group
+    start, left = (np.cumsum(n) - n)[of] + inside, n[of] - inside
+    x, row = np.append(x[by], np.zeros(group, x.dtype)), np.append(row[by], np.zeros(group, row.dtype))
+    out, place = np.empty((len(of), 1, y.shape[1]), y.dtype), np.arange(group)
+    for i in range(0, len(of), most):
+        k = start[i : i + most, None] + place
+        np.matmul(np.where(place < left[i : i + most, None], x[k], 0)[:, None], y[row[k]], out=out[i : i + most])
+    if len(of):
+        z[places] += np.add.reduceat(out[:, 0], np.cumsum(groups) - groups, 0)
+
+
+def orthonormal(z: np.ndarray, block: int = 2048) -> np.ndarray:
+    """Orthonormal columns that span those of z, by its Gram matrix; z isn't copied but by ``block`` rows."""
+    for _ in range(2):  # the second time for what rounding leaves
+        values, turn = np.linalg.eigh(sum(x.T @ x for x in (z[i : i + block].astype(np.float64) for i in range(0, len(z), block))))
+        keep = values > 1e-12 * max(values.max(initial=0), 1e-30)
+        turn = (turn[:, keep] / np.sqrt(values[keep])).astype(np.float32)
+        out = z if keep.all() else np.empty((len(z), turn.shape[1]), np.float32)
+        for i in range(0, len(z), block):
+            out[i : i + block] = z[i : i + block] @ turn
+        z = out
+    return z
+
+
+def decomposed(rows: DataFrame, idf: np.ndarray, rank: int = RANK, iterations: int = 2, tasks: int | None = None, block: int = 2048, held: int = 8192) -> tuple[np.ndarray, np.ndarray]:
     """(V, s): the leading right singular vectors (TERMS x at most ``rank``) and values of the matrix whose rows are the
-    unit TF-IDF vectors of ``rows`` (words), by randomised subspace iteration.
+    unit TF-IDF vectors of all of ``rows`` (words), by randomised subspace iteration.
 
     A pass gives each task's sums of a^T (a Q) and of (a Q)^T (a Q); the former are added by block of terms in tasks, so
-    the driver gets TERMS x (rank + SPARE) numbers a pass, whatever the rows. No rows: no directions.
+    the driver gets TERMS x (rank + SPARE) numbers a pass, whatever the rows. As many ``tasks`` as there are cores read
+    the rows, so the sums don't grow with them; each takes ``held`` rows at once. No rows: no directions.
     """
     spark = rows.sparkSession
-    width = rank + SPARE
-    rows = saved(rows.where("size(words) > 0").repartition(tasks), "lsi-rows")
+    width, tasks = rank + SPARE, tasks or spark.sparkContext.defaultParallelism
+    rows = saved(rows.where("size(words) > 0"), "lsi-rows").coalesce(tasks)
     weights = spark.sparkContext.broadcast(idf)
 
-    def vectors(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Term and weight of each word, and where rows begin."""
-        at = lists.offsets.to_numpy()
-        w = lists.values.to_numpy()[at[0] : at[-1]].astype(np.int64)
-        at = at - at[0]
-        x = weights.value[w]
-        term = w >> (BITS - LATENT_BITS)
-        # a term that a row has twice is two entries; their sum has the norm of the row's vector
-        row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        key, back = np.unique(row * TERMS + term, return_inverse=True)
-        x = np.bincount(back, x, len(key))
-        row, term = key // TERMS, key % TERMS
-        first = np.searchsorted(row, np.arange(len(at) - 1))
-        return term, (x / np.sqrt(np.add.reduceat(x * x, first))[row]).astype(np.float32), first
+    def vectors(lists: list[pa.ListArray]) -> tuple[np.ndarray, np.ndarray]:
+        """Term and weight of each word (0 beyond a row's last), rows x the words of the longest; a term that a row has twice is two entries."""
+        size = np.concatenate([x.value_lengths().to_numpy() for x in lists])
+        words = np.full((len(size), size.max()), -1, np.int32)
+        words[np.arange(size.max()) < size[:, None]] = np.concatenate([x.flatten().to_numpy() for x in lists])
+        words.sort(1)
+        term, x = np.maximum(words, 0) >> (BITS - LATENT_BITS), np.where(words >= 0, weights.value[words], 0)
+        first = np.ones(words.shape, bool)  # of a term's entries in its row
+        first[:, 1:] = term[:, 1:] != term[:, :-1]
+        first = np.nonzero(first.ravel())[0]
+        norm = np.bincount(first // words.shape[1], np.add.reduceat(x.ravel(), first).astype(np.float64) ** 2, len(size))
+        return term, (x / np.sqrt(norm)[:, None]).astype(np.float32)
 
     def product(q: np.ndarray, terms: bool) -> tuple[np.ndarray, np.ndarray]:
         """Both sums; of the first only zeros unless ``terms``."""
         shared = spark.sparkContext.broadcast(q)
+        width = q.shape[1]
 
         def run(batches):
-            z, g = np.zeros((TERMS, width), np.float32), np.zeros((width, width))
+            z, g = np.zeros((TERMS, width) if terms else (0, width), np.float32), np.zeros((width, width))
+
+            def take(lists: list[pa.ListArray], most: int = 32) -> None:
+                term, x = vectors(lists)
+                y = np.empty((len(term), 1, width), np.float32)
+                for i in range(0, len(term), most):
+                    np.matmul(x[i : i + most, None], shared.value[term[i : i + most]], out=y[i : i + most])
+                y = y[:, 0]
+                g[:] += y.T @ y
+                if terms:
+                    some = np.nonzero(x.ravel())[0]
+                    summed(term.ravel()[some], x.ravel()[some], some // x.shape[1], y, z)
+
+            lists: list[pa.ListArray] = []
             for b in batches:
-                if not b.num_rows:
-                    continue
-                term, x, first = vectors(b.column("words"))
-                y = np.add.reduceat(x[:, None] * shared.value[term], first, 0)
-                g += y.T.astype(np.float64) @ y
-                if not terms:
-                    continue
-                by = np.argsort(term, kind="stable")
-                some, at = np.unique(term[by], return_index=True)
-                row = np.searchsorted(first, np.arange(len(term)), "right") - 1
-                z[some] += np.add.reduceat(x[by][:, None] * y[row[by]], at, 0)
-            out = [(i, z[i : i + block].tobytes()) for i in range(0, TERMS, block) if z[i : i + block].any()] + [(-1, g.tobytes())]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["i", "x"])
+                if b.num_rows:
+                    lists.append(b.column("words"))
+                if sum(map(len, lists)) >= held:
+                    take(lists)
+                    lists = []
+            if lists:
+                take(lists)
+            for i in range(0, len(z), block):
+                if z[i : i + block].any():
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([z[i : i + block].tobytes()], pa.binary())], names=["i", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([g.tobytes()], pa.binary())], names=["i", "x"])
 
         def add(batches):
             sums: dict[int, np.ndarray] = {}
@@ -165,21 +211,27 @@ def decomposed(rows: DataFrame, idf: np.ndarray, rank: int = RANK, iterations: i
                     sums[i] = sums[i] + x if i in sums else x
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["i", "x"])
 
-        z, g = np.zeros((TERMS, width), np.float32), np.zeros((width, width))
-        for r in rows.mapInArrow(lean(run), "i int, x binary").repartition(tasks, "i").mapInArrow(lean(add), "i int, x binary").collect():
-            if r["i"] < 0:
-                g = np.frombuffer(r["x"]).reshape(width, width)
+        z, g = np.zeros((TERMS, width) if terms else (0, width), np.float32), np.zeros((width, width))
+        got = rows.mapInArrow(lean(run), "i int, x binary").repartition(2, "i").mapInArrow(lean(add), "i int, x binary").toArrow()
+        for i, x in zip(got["i"].to_pylist(), got["x"]):
+            x = np.frombuffer(x.as_buffer(), np.float64 if i < 0 else np.float32).reshape(-1, width)
+            if i < 0:
+                g = x
             else:
-                z[r["i"] : r["i"] + block] = np.frombuffer(r["x"], np.float32).reshape(-1, width)
+                z[i : i + block] = x
         shared.destroy()
         return z, g
 
-    q = np.random.Generator(np.random.PCG64(7)).standard_normal((TERMS, width)).astype(np.float32)
+    r, q = np.random.Generator(np.random.PCG64(7)), np.empty((TERMS, width), np.float32)
+    for i in range(0, TERMS, block):
+        q[i : i + block] = r.standard_normal((block, width))
     for _ in range(iterations):
-        q = np.linalg.qr(product(q, True)[0])[0]
+        q = orthonormal(product(q, True)[0])
+        if not q.shape[1]:
+            return q, np.zeros(0)
     values, turn = np.linalg.eigh(product(q, False)[1])  # of A restricted to the subspace
     keep = np.argsort(-values)[:rank]
-    keep = keep[values[keep] > 1e-9 * max(values.max(), 1e-30)]
+    keep = keep[values[keep] > 1e-9 * max(values.max(initial=0), 1e-30)]
     return (q @ turn[:, keep].astype(np.float32)), np.sqrt(values[keep])
 
 
@@ -293,15 +345,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_parts: int = BLOCK_PARTS)
     spark = ready(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bench = benchmark.where("trim(text) <> ''").select("item_id", F.col("text").cast("string").alias("text"), *[F.col("answer").cast("string").alias("answer") for c in benchmark.columns if c == "answer"])
-    idf, n_docs = word_idf(docs)
+    idf, _ = word_idf(docs)
     kind, id_type = bench.schema["item_id"].dataType.simpleString(), to_arrow_type(bench.schema["item_id"].dataType)
     schema = f"doc_id long, item_id {kind}, cosine double, coverage double, answer double, at long"
     v, out = None, None
     for its in blocks(bench, block_parts):
         if v is None:  # one latent space for all blocks
-            known = spark.createDataFrame([(x.words.tolist(),) for x in its[:FIT_ITEMS]], "words array<int>")
-            v, s = decomposed(passages(docs, n_docs).unionByName(known), idf)
-            v = (v / s).astype(np.float32)
+            v, s = decomposed(passages(docs.select("text").unionByName(bench.select("text"))), idf)
+            v /= s.astype(np.float32)
         shared = spark.sparkContext.broadcast((its, v, idf))
 
         def run(batches, shared=shared):

@@ -434,6 +434,26 @@ def test_decomposition(spark):
     assert none[0].shape == (decontam.TERMS, 0)
 
 
+def test_latent_space_is_of_all_passages(spark, monkeypatch):
+    """The matrix holds every word of every document and item, however many there are (more than 16,384 passages, 4,096 items)."""
+    docs = [(i, " ".join(f"w{(i * 37 + j) % 5003}" for j in range(1000 + i % 70))) for i in range(600)] + [(600, None), (601, ""), (602, "one two")]
+    items = [(i, f"item{i} has words of its own") for i in range(4200)]
+    held = []
+
+    def spy(rows, idf):
+        held.append(rows.select(F.size("words").alias("n"), F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"), F.max("n").alias("most")).toPandas())
+        held.append(rows.count())
+        return np.zeros((decontam.TERMS, 0), np.float32), np.zeros(0)
+
+    monkeypatch.setattr(decontam, "decomposed", spy)
+    decontam.leaks(docs_of(spark, docs), spark.createDataFrame(items, "item_id int, text string"))
+    words, n = held
+    sizes = [len(w) for w in decontam.words_of([t for _, t in docs + items])]
+    assert n == sum(-(-x // decontam.PASSAGE) for x in sizes) > 16_384 + 4_096 and words["most"].max() == decontam.PASSAGE
+    assert set(words["w"]) == set(np.concatenate(decontam.words_of([t for _, t in docs + items])).tolist())
+    assert words["n"].sum() == sum(-(-x // decontam.PASSAGE) * min(x, decontam.PASSAGE) for x in sizes)
+
+
 def paraphrase(r, words, share):
     """Words with a ``share`` of them replaced or dropped, a few put in."""
     out = []
