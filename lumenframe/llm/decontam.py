@@ -14,10 +14,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import hashed_words, lean, partitions, ready, saved, table
+from lumenframe.llm.common import hashed_words, lean, ready, table
 
 BITS, LATENT_BITS = 18, 15  # of a word's hash: for idf and the exact checks; for the latent space
 BUCKETS, TERMS = 1 << BITS, 1 << LATENT_BITS
@@ -92,43 +93,52 @@ def blocks(benchmark: DataFrame, most: int):
         yield block
 
 
-def passages(texts: DataFrame) -> DataFrame:
-    """words (hashes) of passages of PASSAGE words that cover every text, evenly placed (the last ends with the text; shorter texts are one)."""
+def passages(texts: list) -> pa.ListArray:
+    """Words (hashes) of the passages of PASSAGE words that cover every text, evenly placed (the last ends with the text; shorter texts are one)."""
+    docs = [w for w in words_of(texts) if len(w)]
+    n = np.array([len(w) for w in docs], np.int64)
+    k = -(-n // PASSAGE)
+    doc = np.repeat(np.arange(len(docs)), k)
+    start = (np.arange(len(doc)) - (np.cumsum(k) - k)[doc]) * np.maximum(n - PASSAGE, 0)[doc] // np.maximum(k - 1, 1)[doc]
+    size, place = np.minimum(n, PASSAGE)[doc], np.arange(PASSAGE)
+    at = ((np.cumsum(n) - n)[doc] + start)[:, None] + place
+    words = np.concatenate([*docs, np.zeros(0, np.int64)]).astype(np.int32)[at[place < size[:, None]]]
+    return pa.ListArray.from_arrays(np.append(0, np.cumsum(size)).astype(np.int32), words)
 
-    def run(batches):
-        place = np.arange(PASSAGE)
-        for b in batches:
-            docs = [w for w in words_of(b.column("text").to_pylist()) if len(w)]
-            n = np.array([len(w) for w in docs], np.int64)
-            k = -(-n // PASSAGE)
-            doc = np.repeat(np.arange(len(docs)), k)
-            start = (np.arange(len(doc)) - (np.cumsum(k) - k)[doc]) * np.maximum(n - PASSAGE, 0)[doc] // np.maximum(k - 1, 1)[doc]
-            size = np.minimum(n, PASSAGE)[doc]
-            at = ((np.cumsum(n) - n)[doc] + start)[:, None] + place
-            words = np.concatenate([*docs, np.zeros(0, np.int64)]).astype(np.int32)[at[place < size[:, None]]]
-            lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(size)).astype(np.int32), words)
-            yield pa.RecordBatch.from_arrays([lists], names=["words"])
-
-    return texts.where("text is not null").select("text").mapInArrow(lean(run), "words array<int>")
-
-
-def summed(at: np.ndarray, x: np.ndarray, row: np.ndarray, y: np.ndarray, z: np.ndarray, group: int = 8, most: int = 256) -> None:
-    """z[at] += x * y[row], by products of ``group`` entries of one place; ``most`` groups at a time."""
-    by = np.argsort(at.astype(np.uint16 if len(z) <= 1 << 16 else np.int64), kind="stable")
+
+def summed(at: np.ndarray, x: np.ndarray, row: np.ndarray, y: np.ndarray, z: np.ndarray, often: int = 50, rows: int = 4096, most: int = 1024) -> None:
+    """z[at] += x * y[row]; entries by row, at most one of a place in a row. Places in more than one of ``often`` rows by
+    products of ``rows`` rows, the others by a product each, those of like length (``most`` entries) together."""
     n = np.bincount(at, minlength=len(z))
+    much = np.nonzero(n * often > len(y))[0]
+    rank = np.full(len(z), -1)
+    rank[much] = np.arange(len(much))
+    rank = rank[at]
+    some = np.nonzero(rank >= 0)[0]
+    stops = np.searchsorted(row[some], np.arange(0, len(y) + rows, rows)).tolist()
+    sums = np.zeros((len(much), y.shape[1]), np.float32)
+    for i, lo, hi in zip(range(0, len(y), rows), stops, stops[1:]):
+        has, k = np.zeros((min(rows, len(y) - i), len(much)), np.float32), some[lo:hi]
+        has[row[k] - i, rank[k]] = x[k]
+        sums += has.T @ y[i : i + rows]
+    z[much] += sums
+    rest = np.nonzero(rank < 0)[0]
+    if not len(rest):
+        return
+    rest = rest[np.argsort(at[rest].astype(np.uint16 if len(z) <= 1 << 16 else np.int64), kind="stable")]
+    n[much] = 0
     places = np.nonzero(n)[0]
     n = n[places]
-    groups = -(-n // group)
-    of = np.repeat(np.arange(len(places)), groups)
-    inside = (np.arange(len(of)) - (np.cumsum(groups) - groups)[of]) * group
-    start, left = (np.cumsum(n) - n)[of] + inside, n[of] - inside
-    x, row = np.append(x[by], np.zeros(group, x.dtype)), np.append(row[by], np.zeros(group, row.dtype))
-    out, place = np.empty((len(of), 1, y.shape[1]), y.dtype), np.arange(group)
-    for i in range(0, len(of), most):
-        k = start[i : i + most, None] + place
-        np.matmul(np.where(place < left[i : i + most, None], x[k], 0)[:, None], y[row[k]], out=out[i : i + most])
-    if len(of):
-        z[places] += np.add.reduceat(out[:, 0], np.cumsum(groups) - groups, 0)
+    by = np.argsort(n, kind="stable")
+    start, places, n = (np.cumsum(n) - n)[by], places[by], n[by]
+    x, row = np.append(x[rest], np.zeros(n[-1], x.dtype)), np.append(row[rest], np.zeros(n[-1], row.dtype))
+    i = 0
+    while i < len(n):
+        j = min(len(n), i + max(1, most // int(n[i])))
+        place = np.arange(n[j - 1])
+        k = start[i:j, None] + place
+        z[places[i:j]] += np.matmul(np.where(place < n[i:j, None], x[k], 0)[:, None], y[row[k]])[:, 0]
+        i = j
 
 
 def orthonormal(z: np.ndarray, block: int = 2048) -> np.ndarray:
@@ -144,9 +154,9 @@ def orthonormal(z: np.ndarray, block: int = 2048) -> np.ndarray:
     return z
 
 
-def decomposed(rows: DataFrame, idf: np.ndarray, rank: int = RANK, iterations: int = 2, tasks: int | None = None, block: int = 2048, held: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+def decomposed(rows: DataFrame, idf: np.ndarray, rank: int = RANK, iterations: int = 2, tasks: int | None = None, block: int = 2048, held: int = 32_768) -> tuple[np.ndarray, np.ndarray]:
     """(V, s): the leading right singular vectors (TERMS x at most ``rank``) and values of the matrix whose rows are the
-    unit TF-IDF vectors of all of ``rows`` (words), by randomised subspace iteration.
+    unit TF-IDF vectors of all of ``rows`` (words; or text: all its passages), by randomised subspace iteration.
 
     A pass gives each task's sums of a^T (a Q) and of (a Q)^T (a Q); the former are added by block of terms in tasks, so
     the driver gets TERMS x (rank + SPARE) numbers a pass, whatever the rows. As many ``tasks`` as there are cores read
@@ -154,11 +164,11 @@ def decomposed(rows: DataFrame, idf: np.ndarray, rank: int = RANK, iterations: i
     """
     spark = rows.sparkSession
     width, tasks = rank + SPARE, tasks or spark.sparkContext.defaultParallelism
-    rows = saved(rows.where("size(words) > 0"), "lsi-rows").coalesce(tasks)
+    rows = rows.coalesce(tasks)
     weights = spark.sparkContext.broadcast(idf)
 
     def vectors(lists: list[pa.ListArray]) -> tuple[np.ndarray, np.ndarray]:
-        """Term and weight of each word (0 beyond a row's last), rows x the words of the longest; a term that a row has twice is two entries."""
+        """Term and weight of each word, rows x the words of the longest: 0 beyond a row's last, and but once for a term that it has twice."""
         size = np.concatenate([x.value_lengths().to_numpy() for x in lists])
         words = np.full((len(size), size.max()), -1, np.int32)
         words[np.arange(size.max()) < size[:, None]] = np.concatenate([x.flatten().to_numpy() for x in lists])
@@ -167,8 +177,10 @@ def decomposed(rows: DataFrame, idf: np.ndarray, rank: int = RANK, iterations: i
         first = np.ones(words.shape, bool)  # of a term's entries in its row
         first[:, 1:] = term[:, 1:] != term[:, :-1]
         first = np.nonzero(first.ravel())[0]
-        norm = np.bincount(first // words.shape[1], np.add.reduceat(x.ravel(), first).astype(np.float64) ** 2, len(size))
-        return term, (x / np.sqrt(norm)[:, None]).astype(np.float32)
+        whole, row = np.add.reduceat(x.ravel(), first), first // words.shape[1]
+        x = np.zeros(words.shape, np.float32)
+        x.ravel()[first] = whole / np.sqrt(np.bincount(row, whole.astype(np.float64) ** 2, len(size)))[row]
+        return term, x
 
     def product(q: np.ndarray, terms: bool) -> tuple[np.ndarray, np.ndarray]:
         """Both sums; of the first only zeros unless ``terms``."""
@@ -191,12 +203,12 @@ def decomposed(rows: DataFrame, idf: np.ndarray, rank: int = RANK, iterations: i
 
             lists: list[pa.ListArray] = []
             for b in batches:
-                if b.num_rows:
-                    lists.append(b.column("words"))
+                new = b.column("words") if "words" in b.schema.names else passages(b.column("text").to_pylist())
+                lists.append(new.filter(pa.compute.greater(new.value_lengths(), 0)))
                 if sum(map(len, lists)) >= held:
                     take(lists)
                     lists = []
-            if lists:
+            if sum(map(len, lists)):
                 take(lists)
             for i in range(0, len(z), block):
                 if z[i : i + block].any():
@@ -351,7 +363,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_parts: int = BLOCK_PARTS)
     v, out = None, None
     for its in blocks(bench, block_parts):
         if v is None:  # one latent space for all blocks
-            v, s = decomposed(passages(docs.select("text").unionByName(bench.select("text"))), idf)
+            v, s = decomposed(docs.select("text").unionByName(bench.select("text")), idf)
             v /= s.astype(np.float32)
         shared = spark.sparkContext.broadcast((its, v, idf))
 

@@ -441,17 +441,31 @@ def test_latent_space_is_of_all_passages(spark, monkeypatch):
     held = []
 
     def spy(rows, idf):
-        held.append(rows.select(F.size("words").alias("n"), F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"), F.max("n").alias("most")).toPandas())
-        held.append(rows.count())
+        held.extend(r.text for r in rows.collect())
         return np.zeros((decontam.TERMS, 0), np.float32), np.zeros(0)
 
     monkeypatch.setattr(decontam, "decomposed", spy)
     decontam.leaks(docs_of(spark, docs), spark.createDataFrame(items, "item_id int, text string"))
-    words, n = held
-    sizes = [len(w) for w in decontam.words_of([t for _, t in docs + items])]
-    assert n == sum(-(-x // decontam.PASSAGE) for x in sizes) > 16_384 + 4_096 and words["most"].max() == decontam.PASSAGE
-    assert set(words["w"]) == set(np.concatenate(decontam.words_of([t for _, t in docs + items])).tolist())
-    assert words["n"].sum() == sum(-(-x // decontam.PASSAGE) * min(x, decontam.PASSAGE) for x in sizes)
+    texts = [t for _, t in docs + items]
+    assert sorted(t for t in held if t) == sorted(t for t in texts if t)
+    rows, words = decontam.passages(held).to_pylist(), [w for w in decontam.words_of(held) if len(w)]
+    assert len(rows) == sum(-(-len(w) // decontam.PASSAGE) for w in words) > 16_384 + 4_096
+    rows = iter(rows)
+    for w in words:
+        seen = [next(rows) for _ in range(-(-len(w) // decontam.PASSAGE))]
+        assert seen[0] == w[: decontam.PASSAGE].tolist() and seen[-1] == w[-decontam.PASSAGE :].tolist() and set(sum(seen, [])) == set(w.tolist())
+
+
+def test_sums_by_place():
+    r = np.random.default_rng(2)
+    n, width = 700, 9
+    has = np.where(r.random((n, 300)) < np.linspace(0, 0.2, 300), r.random((n, 300)), 0).astype(np.float32)
+    y, z = r.random((n, width)).astype(np.float32), r.random((300, width)).astype(np.float32)
+    row, at = np.nonzero(has)
+    for often, rows, most in ((50, 128, 64), (1, 4096, 1024), (10_000, 100, 16)):
+        got = z.copy()
+        decontam.summed(at, has[row, at], row, y, got, often, rows, most)
+        assert np.allclose(got, z + has.T @ y, rtol=1e-4)
 
 
 def paraphrase(r, words, share):
