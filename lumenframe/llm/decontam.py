@@ -106,7 +106,7 @@ def passages(texts: list) -> pa.ListArray:
     return pa.ListArray.from_arrays(np.append(0, np.cumsum(size)).astype(np.int32), words)
 
 
-def summed(at: np.ndarray, x: np.ndarray, row: np.ndarray, y: np.ndarray, z: np.ndarray, often: int = 50, rows: int = 4096, most: int = 1024) -> None:
+def summed(at: np.ndarray, x: np.ndarray, row: np.ndarray, y: np.ndarray, z: np.ndarray, often: int = 50, rows: int = 4096, most: int = 2048) -> None:
     """z[at] += x * y[row]; entries by row, at most one of a place in a row. Places in more than one of ``often`` rows by
     products of ``rows`` rows, the others by a product each, those of like length (``most`` entries) together."""
     n = np.bincount(at, minlength=len(z))
@@ -132,12 +132,17 @@ def summed(at: np.ndarray, x: np.ndarray, row: np.ndarray, y: np.ndarray, z: np.
     by = np.argsort(n, kind="stable")
     start, places, n = (np.cumsum(n) - n)[by], places[by], n[by]
     x, row = np.append(x[rest], np.zeros(n[-1], x.dtype)), np.append(row[rest], np.zeros(n[-1], row.dtype))
+    width = y.shape[1]
+    kept = np.empty(max(most, int(n[-1])) * width, y.dtype)  # one buffer for all gathers: a new one each costs as much again
     i = 0
     while i < len(n):
         j = min(len(n), i + max(1, most // int(n[i])))
+        while (j - i) * int(n[j - 1]) * width > len(kept):
+            j = i + max(1, (j - i) // 2)
         place = np.arange(n[j - 1])
         k = start[i:j, None] + place
-        z[places[i:j]] += np.matmul(np.where(place < n[i:j, None], x[k], 0)[:, None], y[row[k]])[:, 0]
+        here = np.take(y, row[k], 0, kept[: k.size * width].reshape(*k.shape, width), "clip")
+        z[places[i:j]] += np.matmul(np.where(place < n[i:j, None], x[k], 0)[:, None], here)[:, 0]
         i = j
 
 
@@ -158,8 +163,9 @@ def decomposed(rows: DataFrame, idf: np.ndarray, rank: int = RANK, iterations: i
     """(V, s): the leading right singular vectors (TERMS x at most ``rank``) and values of the matrix whose rows are the
     unit TF-IDF vectors of all of ``rows`` (words; or text: all its passages), by randomised subspace iteration.
 
-    A pass gives each task's sums of a^T (a Q) and of (a Q)^T (a Q); the former are added by block of terms in tasks, so
-    the driver gets TERMS x (rank + SPARE) numbers a pass, whatever the rows. As many ``tasks`` as there are cores read
+    A pass gives each task's sums of a^T (a Q), which are added by block of terms in tasks, so the driver gets TERMS x
+    (rank + SPARE) numbers a pass, whatever the rows. The last pass's Z = A^T A Q also gives the values: A^T A is about
+    Z (Q^T Z)^-1 Z^T (Nystrom), so no further pass reads the rows. As many ``tasks`` as there are cores read
     the rows, so the sums don't grow with them; each takes ``held`` rows at once. No rows: no directions.
     """
     spark = rows.sparkSession
@@ -182,24 +188,23 @@ def decomposed(rows: DataFrame, idf: np.ndarray, rank: int = RANK, iterations: i
         x.ravel()[first] = whole / np.sqrt(np.bincount(row, whole.astype(np.float64) ** 2, len(size)))[row]
         return term, x
 
-    def product(q: np.ndarray, terms: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Both sums; of the first only zeros unless ``terms``."""
+    def product(q: np.ndarray) -> np.ndarray:
+        """A^T A q."""
         shared = spark.sparkContext.broadcast(q)
         width = q.shape[1]
 
         def run(batches):
-            z, g = np.zeros((TERMS, width) if terms else (0, width), np.float32), np.zeros((width, width))
+            z = np.zeros((TERMS, width), np.float32)
 
             def take(lists: list[pa.ListArray], most: int = 32) -> None:
                 term, x = vectors(lists)
                 y = np.empty((len(term), 1, width), np.float32)
+                kept = np.empty((most, term.shape[1], width), np.float32)
                 for i in range(0, len(term), most):
-                    np.matmul(x[i : i + most, None], shared.value[term[i : i + most]], out=y[i : i + most])
-                y = y[:, 0]
-                g[:] += y.T @ y
-                if terms:
-                    some = np.nonzero(x.ravel())[0]
-                    summed(term.ravel()[some], x.ravel()[some], some // x.shape[1], y, z)
+                    here = term[i : i + most]
+                    np.matmul(x[i : i + most, None], np.take(shared.value, here, 0, kept[: len(here)], "clip"), out=y[i : i + most])
+                some = np.nonzero(x.ravel())[0]
+                summed(term.ravel()[some], x.ravel()[some], some // x.shape[1], y[:, 0], z)
 
             lists: list[pa.ListArray] = []
             for b in batches:
@@ -213,38 +218,42 @@ def decomposed(rows: DataFrame, idf: np.ndarray, rank: int = RANK, iterations: i
             for i in range(0, len(z), block):
                 if z[i : i + block].any():
                     yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([z[i : i + block].tobytes()], pa.binary())], names=["i", "x"])
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([g.tobytes()], pa.binary())], names=["i", "x"])
 
         def add(batches):
             sums: dict[int, np.ndarray] = {}
             for b in batches:
                 for i, x in zip(b.column("i").to_pylist(), b.column("x").to_pylist()):
-                    x = np.frombuffer(x, np.float64 if i < 0 else np.float32)
+                    x = np.frombuffer(x, np.float32)
                     sums[i] = sums[i] + x if i in sums else x
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["i", "x"])
 
-        z, g = np.zeros((TERMS, width) if terms else (0, width), np.float32), np.zeros((width, width))
+        z = np.zeros((TERMS, width), np.float32)
         got = rows.mapInArrow(lean(run), "i int, x binary").repartition(2, "i").mapInArrow(lean(add), "i int, x binary").toArrow()
         for i, x in zip(got["i"].to_pylist(), got["x"]):
-            x = np.frombuffer(x.as_buffer(), np.float64 if i < 0 else np.float32).reshape(-1, width)
-            if i < 0:
-                g = x
-            else:
-                z[i : i + block] = x
+            z[i : i + block] = np.frombuffer(x.as_buffer(), np.float32).reshape(-1, width)
         shared.destroy()
-        return z, g
+        return z
 
-    r, q = np.random.Generator(np.random.PCG64(7)), np.empty((TERMS, width), np.float32)
+    def between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """a^T b."""
+        return sum(a[i : i + block].T.astype(np.float64) @ b[i : i + block] for i in range(0, TERMS, block))
+
+    r, z = np.random.Generator(np.random.PCG64(7)), np.empty((TERMS, width), np.float32)
     for i in range(0, TERMS, block):
-        q[i : i + block] = r.standard_normal((block, width))
-    for _ in range(iterations):
-        q = orthonormal(product(q, True)[0])
-        if not q.shape[1]:
-            return q, np.zeros(0)
-    values, turn = np.linalg.eigh(product(q, False)[1])  # of A restricted to the subspace
+        z[i : i + block] = r.standard_normal((block, width))
+    for k in range(iterations):
+        q = orthonormal(z) if k else z
+        z = product(q)
+        if not z.any():
+            return z[:, :0], np.zeros(0)
+    core = between(q, z)
+    values, turn = np.linalg.eigh((core + core.T) / 2)
+    keep = values > 1e-6 * values.max()
+    z = z @ (turn[:, keep] / np.sqrt(values[keep])).astype(np.float32)  # A^T A is about z z^T
+    values, turn = np.linalg.eigh(between(z, z))
     keep = np.argsort(-values)[:rank]
-    keep = keep[values[keep] > 1e-9 * max(values.max(initial=0), 1e-30)]
-    return (q @ turn[:, keep].astype(np.float32)), np.sqrt(values[keep])
+    keep = keep[values[keep] > 1e-9 * values.max()]
+    return z @ (turn[:, keep] / np.sqrt(values[keep])).astype(np.float32), np.sqrt(values[keep])
 
 
 class Retriever:

@@ -434,6 +434,20 @@ def test_decomposition(spark):
     assert none[0].shape == (decontam.TERMS, 0)
 
 
+
+def test_decomposition_reads_rows_once_an_iteration(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([([i << 3, (i + 1) << 3, (i * i) << 3],) for i in range(50)], "words array<int>")
+    v, s = decontam.decomposed(rows.mapInArrow(seen, "words array<int>"), np.ones(decontam.BUCKETS, np.float32), rank=5)
+    assert v.shape == (decontam.TERMS, 5) and read.value == 2 * 50
+
+
 def test_latent_space_is_of_all_passages(spark, monkeypatch):
     """The matrix holds every word of every document and item, however many there are (more than 16,384 passages, 4,096 items)."""
     docs = [(i, " ".join(f"w{(i * 37 + j) % 5003}" for j in range(1000 + i % 70))) for i in range(600)] + [(600, None), (601, ""), (602, "one two")]
