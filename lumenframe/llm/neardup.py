@@ -84,11 +84,19 @@ def samples(hashes: np.ndarray, weights: np.ndarray, block: int = 1024) -> np.nd
     r, inv, lnc, beta = _random()
     best, at, quantum = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.int64), np.zeros(SAMPLES, np.float32)
     k = np.arange(SAMPLES)
+    kept = np.empty((4, min(block, len(hashes)), SAMPLES), np.float32)  # one buffer for all blocks
     for i in range(0, len(hashes), block):
         row = (hashes[i : i + block] >> np.uint64(20)).astype(np.int64) & (TABLE - 1)
-        be = beta[row]
-        t = np.floor(np.log(weights[i : i + block]).astype(np.float32)[:, None] * inv[row] + be)
-        a = lnc[row] - r[row] * (t - be + 1)
+        t, be, a, of = kept[:, : len(row)]
+        for x, out in ((inv, t), (beta, be), (r, a), (lnc, of)):
+            np.take(x, row, 0, out, "clip")
+        t *= np.log(weights[i : i + block]).astype(np.float32)[:, None]
+        t += be
+        np.floor(t, out=t)
+        np.subtract(t, be, out=be)
+        be += 1
+        a *= be
+        np.subtract(of, a, out=a)
         j = a.argmin(0)
         low = a[j, k]
         less = low < best

@@ -768,3 +768,16 @@ def test_pipeline(spark, tmp_path):
             assert shared in docs.where("doc_id = 103").first().text and shared not in docs.where("doc_id = 104").first().text
     every = set(range(40)) | {103, 104}
     assert seen["language"] == every | {100, 102} and seen["near_duplicates"] == every | {102} and seen["benchmark_leaks"] == every and seen["packing"] == every
+
+
+def test_samples_are_those_of_the_formula():
+    g = np.random.default_rng(3)
+    h, w = np.unique(g.integers(0, 1 << 63, 300).astype(np.uint64)), g.random(300) * 5 + 0.1
+    w = w[: len(h)]
+    r, inv, lnc, beta = neardup._random()
+    row = (h >> np.uint64(20)).astype(np.int64) & (neardup.TABLE - 1)
+    t = np.floor(np.log(w).astype(np.float32)[:, None] * inv[row] + beta[row])
+    j = (lnc[row] - r[row] * (t - beta[row] + 1)).argmin(0)
+    want = neardup.mixed(h[j] + t[j, np.arange(neardup.SAMPLES)].astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for block in (1024, 300, 64, 7):
+        assert np.array_equal(neardup.samples(h, w, block), want)
