@@ -125,6 +125,7 @@ def crc(word: str) -> int:
 
 
 _INSIDE = np.array([chr(i).isalnum() if i < 128 else True for i in range(256)])
+_INSIDE_TABLE = _INSIDE.astype(np.uint8).tobytes()
 _MARKS = re.compile("[\xa0-\xbf\xd7\xf7\u2000-\u206f\u3000-\u303f\uff00-\uff0f]")
 #: Masks of the first n bytes of a little-endian word.
 FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
@@ -163,10 +164,16 @@ def span_hashes(raw: bytes, a: np.ndarray, z: np.ndarray, words: np.ndarray | No
     return h
 
 
+def runs(data: np.ndarray, table: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes that ``table`` (0 or 1 for each byte) has 1 for; the last byte has 0."""
+    x = np.frombuffer(b"\0" + data.tobytes().translate(table), np.uint8)
+    edges = np.nonzero(x[1:] != x[:-1])[0]
+    return edges[::2], edges[1::2]
+
+
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of letters and digits (any byte of a character outside ASCII counts as one); the last byte is no letter."""
-    edge = np.diff(_INSIDE[data].astype(np.int8), prepend=0)
-    return np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+    return runs(data, _INSIDE_TABLE)
 
 
 _SPACE = np.isin(np.arange(256), [0, 9, 10, 11, 12, 13, 28, 29, 30, 31, 32])

@@ -281,27 +281,73 @@ class Retriever:
         #: Each item's words, with the weight of all their places in it.
         self.heavy = [dict(zip(w.tolist(), (idf[w] * n).tolist())) for w, n in (np.unique(it.words, return_counts=True) for it in its)]
         self.least = [(PART - 1e-6) * sum(w.values()) for w in self.heavy]
+        #: The same as arrays, for likely(): each word's number among all items' (0: in none), each item's numbers and weights.
+        self.number = np.zeros(len(idf), np.int32)
+        vocab = np.unique(np.concatenate([it.words for it in its])) if its else np.zeros(0, np.int64)
+        self.number[vocab] = np.arange(1, len(vocab) + 1)
+        self.n_words = len(vocab) + 1
+        size = np.array([len(w) for w in self.heavy], np.int64)
+        inside = np.arange(size.max(initial=0)) < size[:, None]
+        self.has, self.weight = np.zeros(inside.shape, np.int32), np.zeros(inside.shape)
+        self.has[inside] = self.number[[x for w in self.heavy for x in w]]
+        self.weight[inside] = [x for w in self.heavy for x in w.values()]
+        self.enough = np.array(self.least) * (1 - 1e-6)  # lower, for another order of the sum
 
     def can_be(self, i: int, near: set[int]) -> bool:
         """Whether the words of a place are enough for the item, in whatever order."""
         w = self.heavy[i]
         return sum([w[x] for x in w.keys() & near]) >= self.least[i]
 
-    def short(self, words: np.ndarray):
-        """(item, first word of a passage) of every place where a short item may be."""
-        for p in np.nonzero(self.anchored[words])[0].tolist():
-            for i in self.anchors[int(words[p])]:
-                yield i, max(0, p - PASSAGE // 2)
-
-    def latent(self, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int = 256) -> np.ndarray:
+    def likely(self, docs: list[np.ndarray], doc: np.ndarray, item: np.ndarray, at: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+        """Which of these places (document, item, first word) can_be() may hold for, all at once: every one that it holds
+        for, and next to no others. Those of a place follow each other; tables of ``most`` bytes."""
+        reach = np.arange(PASSAGE + 2 * LONGEST_ITEM)
+        sizes = np.array([len(w) for w in docs], np.int64)
+        number = np.append(self.number[np.concatenate(docs)], 0)
+        base = np.cumsum(sizes) - sizes
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])
+        firsts, group = np.nonzero(new)[0], np.cumsum(new) - 1
+        out = np.zeros(len(doc), bool)
+        step = max(1, most // self.n_words)
+        stops = np.append(firsts, len(doc))
+        for i in range(0, len(firsts), step):
+            k = firsts[i : i + step]
+            lo, hi = np.maximum(at[k] - LONGEST_ITEM, 0), np.minimum(at[k] + PASSAGE + LONGEST_ITEM, sizes[doc[k]])
+            near = number[np.where(reach < (hi - lo)[:, None], (base[doc[k]] + lo)[:, None] + reach, len(number) - 1)]
+            there = np.zeros((len(k), self.n_words), bool)
+            there.ravel()[near + np.arange(0, there.size, self.n_words)[:, None]] = True
+            end = int(stops[min(i + step, len(firsts))])
+            for j in range(int(k[0]), end, 1 << 14):
+                some = slice(j, min(j + (1 << 14), end))
+                it = item[some]
+                out[some] = (there[(group[some] - i)[:, None], self.has[it]] * self.weight[it]).sum(1) >= self.enough[it]
+        return out
+
+    def short(self, docs: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Document, item and first word of a passage of every place where a short item may be."""
+        sizes = np.array([len(w) for w in docs], np.int64)
+        words = np.concatenate(docs)
+        p = np.nonzero(self.anchored[words])[0]
+        d = np.searchsorted(np.cumsum(sizes), p, "right")
+        of = [self.anchors[w] for w in words[p].tolist()]
+        n = np.array([len(x) for x in of], np.int64)
+        at = np.maximum(0, p - (np.cumsum(sizes) - sizes)[d] - PASSAGE // 2)
+        return np.repeat(d, n), np.array([i for x in of for i in x], np.int64), np.repeat(at, n)
+
+    def latent(self, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int = 64) -> np.ndarray:
         """Sums of the latent vectors of ``sizes`` words (STRIDE at most) from each start; ``most`` starts at a time."""
         padded = np.append(words, 0)
         place = np.arange(STRIDE)
         out = np.empty((len(starts), 1, self.v.shape[1]), np.float32)
-        for i in range(0, len(starts), most):
-            n = sizes[i : i + most, None]
-            w = padded[np.where(place < n, starts[i : i + most, None] + place, len(words))]
-            np.matmul(np.where(place < n, self.idf[w], 0)[:, None], self.v[w >> (BITS - LATENT_BITS)], out=out[i : i + most])
+        kept = np.empty((most, STRIDE, self.v.shape[1]), np.float32)  # one buffer for all gathers
+        for j in range(0, len(starts), 1 << 14):
+            n = sizes[j : j + (1 << 14), None]
+            w = padded[np.where(place < n, starts[j : j + (1 << 14), None] + place, len(words))]
+            x, term = np.where(place < n, self.idf[w], 0), w >> (BITS - LATENT_BITS)
+            for i in range(0, len(w), most):
+                here = term[i : i + most]
+                np.matmul(x[i : i + most, None], np.take(self.v, here, 0, kept[: len(here)], "clip"), out=out[j + i : j + i + len(here)])
         return out[:, 0]
 
     def whole(self, words: np.ndarray) -> np.ndarray:
@@ -313,8 +359,8 @@ class Retriever:
     def cosine(self, i: int, passage: np.ndarray) -> float:
         return float(np.clip(self.z[i] @ self.whole(passage), 0, 1))
 
-    def candidates(self, docs: list[np.ndarray], most: int = 1 << 21):
-        """(document, item, first word of the passage, cosine) of documents that have words, document by document.
+    def candidates(self, docs: list[np.ndarray], most: int = 1 << 21) -> tuple[np.ndarray, ...]:
+        """Document, item, first word of the passage and cosine of documents that have words, document by document.
 
         A passage is two blocks of STRIDE words that follow each other (a document of one block is one passage)."""
         sizes = np.array([len(w) for w in docs], np.int64)
@@ -324,16 +370,30 @@ class Retriever:
         inside = np.arange(len(doc)) - first[doc]
         x = self.latent(np.concatenate(docs), (np.cumsum(sizes) - sizes)[doc] + STRIDE * inside, np.minimum(STRIDE, sizes[doc] - STRIDE * inside))
         last = inside == n_blocks[doc] - 1
-        x[:-1][~last[:-1]] += x[1:][~last[:-1]]  # the right side is read before any of it is written
         at = np.nonzero(~last | (n_blocks[doc] == 1))[0]
-        x = x[at]
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-        step = max(1, most // max(1, len(self.its)))
+        step = max(1, min(2048, most // max(1, len(self.its))))
+        found = []
         for i in range(0, len(at), step):
-            score = x[i : i + step] @ self.z.T
-            p, item = np.nonzero(score >= LEAST_COSINE)
-            place = at[p + i]
-            yield from zip(doc[place].tolist(), item.tolist(), (STRIDE * inside[place]).tolist(), np.minimum(score[p, item], 1.0).tolist())
+            k = at[i : i + step]
+            both = np.nonzero(~last[k])[0]
+            y = x[k]
+            y[both] += x[k[both] + 1]
+            y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
+            score = y @ self.z.T
+            p, item = np.divmod(np.nonzero((score >= LEAST_COSINE).ravel())[0], max(1, len(self.its)))
+            place = k[p]
+            found.append((doc[place], item, STRIDE * inside[place], np.minimum(score[p, item], 1.0)))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def places(self, docs: list[np.ndarray]):
+        """(document, item, first word, cosine or None) of the candidates of documents that have words which can be leaks
+        by the words there: those by their cosines, then those of short items."""
+        doc, item, at, cosine = self.candidates(docs)
+        some = self.likely(docs, doc, item, at)
+        yield from zip(doc[some].tolist(), item[some].tolist(), at[some].tolist(), cosine[some].tolist())
+        doc, item, at = self.short(docs)
+        some = self.likely(docs, doc, item, at)
+        yield from zip(doc[some].tolist(), item[some].tolist(), at[some].tolist(), [None] * len(doc))
 
     def coverage(self, item: Item, window: np.ndarray) -> tuple[float, float]:
         """Share of the item's idf weight in a longest (heaviest) common subsequence with the window, and of its answer's weight in the window."""
@@ -384,9 +444,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_parts: int = BLOCK_PARTS)
                 some = [k for k, w in enumerate(words) if len(w)]
                 best: dict = {}
                 if some:
-                    short = ((k, i, a, None) for k in some for i, a in find.short(words[k]))
                     here, near = None, frozenset()
-                    for k, i, a, cosine in [*((some[d], i, a, c) for d, i, a, c in find.candidates([words[k] for k in some])), *short]:
+                    for d, i, a, cosine in find.places([words[k] for k in some]):
+                        k = some[d]
                         it, w = find.its[i], words[k]
                         if here != (k, a):  # the words around a passage, for all its candidates
                             here, near = (k, a), set(w[max(0, a - LONGEST_ITEM) : a + PASSAGE + LONGEST_ITEM].tolist())

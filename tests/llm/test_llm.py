@@ -523,6 +523,32 @@ def test_retrieval_recall(spark):
     assert len(want) > 120 and len(got & want) >= 0.98 * len(want)
 
 
+def test_places_are_screened_in_arrays():
+    """Only places that can_be() holds for, and all of them, are looked at one by one, whatever the documents' ends."""
+    r = np.random.default_rng(4)
+    idf = (r.random(decontam.BUCKETS) * 8 + 0.5).astype(np.float32)
+    some = r.integers(0, decontam.BUCKETS, 60)
+    its = [decontam.Item(i, "w") for i in range(30)]
+    for i, it in enumerate(its):
+        it.words = r.choice(some[: 20 + i], 3 + 2 * i)
+        it.word_list = it.words.tolist()
+    docs = [r.choice(some, n) if n % 2 else r.choice([*some[:30], *range(500)], n) for n in (1, 2, 16, 17, 40, 160, 161, 700, 1501)]
+    find = decontam.Retriever(its, r.standard_normal((decontam.TERMS, 6)).astype(np.float32), idf)
+    every = [(d, i, a) for d, w in enumerate(docs) for a in range(0, len(w), decontam.STRIDE) for i in range(len(its))]
+    want = [find.can_be(i, set(docs[d][max(0, a - 64) : a + 96].tolist())) for d, i, a in every]
+    assert 50 < sum(want) < len(want) - 50
+    for most in (1 << 22, 200):
+        assert find.likely(docs, *np.array(every).T, most).tolist() == want
+    can = {x for x, yes in zip(every, want) if yes}
+    near = {(d, i, a): c for d, i, a, c in zip(*(x.tolist() for x in find.candidates(docs)))}
+    got = [(d, i, a) for d, i, a, c in find.places(docs) if c is not None]
+    assert len(near) > len(got) > 50 and sorted(got) == sorted(near.keys() & can)
+    for (d, i, a), c in near.items():
+        assert abs(find.cosine(i, docs[d][a : a + decontam.PASSAGE]) - c) < 1e-4
+    short = {(d, i, a) for d, i, a, c in find.places(docs) if c is None}
+    assert short == {(d, i, max(0, p - 16)) for d, w in enumerate(docs) for p, x in enumerate(w.tolist()) for i in find.anchors.get(x, []) if find.can_be(i, set(w[max(0, max(0, p - 16) - 64) : max(0, p - 16) + 96].tolist()))}
+
+
 def test_short_items_are_found(spark):
     """Copies of items of 3 to 15 words among rare words, and copies without a word, against brute force."""
     r = random.Random(5)
