@@ -20,7 +20,7 @@ from lumenframe.llm.common import lean, partitions, ready, saved
 from lumenframe.llm.tokens import encoder
 
 K1, B = 1.2, 0.75
-NONE = np.uint64(1 << 40)  # above all hashes
+NONE = np.uint32((1 << 32) - 1)  # above all hashes
 
 
 def token_table(docs: DataFrame, tokenizer: str, kind: str, end_id: int) -> DataFrame:
@@ -30,7 +30,7 @@ def token_table(docs: DataFrame, tokenizer: str, kind: str, end_id: int) -> Data
         enc = encoder(tokenizer, kind)
         end = np.array([end_id], enc.dtype).tobytes()
         vocab = enc.tok.get_vocab_size()
-        mixed = (np.arange(vocab, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        mixed = ((np.arange(vocab, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.uint32)
         for b in batches:
             blobs = [x + end for x in enc.many(b.column("text").to_pylist())]
             n = np.array([len(x) // enc.dtype.itemsize for x in blobs], np.int64)
@@ -39,7 +39,7 @@ def token_table(docs: DataFrame, tokenizer: str, kind: str, end_id: int) -> Data
             low = np.minimum.reduceat(h, first) if len(n) else h
             h[h == np.repeat(low, n)] = NONE
             low2 = np.minimum.reduceat(h, first) if len(n) else h
-            route = (low << np.uint64(31)) | np.where(low2 == NONE, low, low2)
+            route = (low.astype(np.uint64) << np.uint64(31)) | np.where(low2 == NONE, low, low2)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(route.view(np.int64)), pa.array(n), pa.array(blobs, pa.binary())], names=["doc_id", "route", "n_terms", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -53,7 +53,7 @@ def corpus_terms(tokens: DataFrame, dtype, vocab: int) -> tuple[np.ndarray, int,
         df = np.zeros(vocab, np.int64)
         for b in batches:
             for x in b.column("ids").to_pylist():
-                df[np.unique(np.frombuffer(x, dtype))] += 1
+                df[np.frombuffer(x, dtype)] += 1  # once a document: repeated places of an index count once
         at = np.nonzero(df)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["term", "df"])
 
@@ -68,24 +68,36 @@ class Shard:
     """A BM25 index of some documents; rank(seed) gives the others by falling score, best first, those without a shared query term left out."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, query_terms: int = 24):
-        self.n, rows, terms, tfs = len(docs), [], [], []
-        for i, ids in enumerate(docs):
-            t, tf = np.unique(ids, return_counts=True)
-            rows.append(np.full(len(t), i, np.int32))
-            terms.append(t.astype(np.int64))
-            tfs.append(tf)
-        row, term, tf = np.concatenate(rows), np.concatenate(terms), np.concatenate(tfs)
+        self.n = len(docs)
         size = np.array([len(x) for x in docs])
+        # each document's terms and their counts: one sort of all ids of the shard
+        kind, vocab = (np.uint32 if len(docs) * len(idf) < 1 << 32 else np.uint64), len(idf)
+        key = np.concatenate(docs).astype(kind)
+        key += np.repeat(np.arange(len(docs), dtype=kind) * kind(vocab), size)
+        key.sort()
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        first = np.nonzero(new)[0]
+        tf = np.diff(first, append=len(key))
+        row, term = (x.astype(t) for x, t in zip(np.divmod(key[first], kind(vocab)), (np.int32, np.int64)))
         w = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[row] / mean))).astype(np.float32)
         in_shard = np.bincount(term, minlength=len(idf))
         # the terms a seed asks with: its highest weights among those that another document of the shard has
         use = np.nonzero(in_shard[term] > 1)[0]
-        use = use[np.lexsort((term[use], -w[use], row[use]))]
-        first = np.searchsorted(row[use], np.arange(self.n))
-        use = use[np.arange(len(use)) - first[row[use]] < query_terms]
-        self.ask_row, self.ask_term = row[use], term[use]
+        bits = max(1, (len(idf) - 1).bit_length())
+        if self.n.bit_length() + 31 + bits <= 64:  # in one number: row, falling weight (a float above 0 is ordered as its bits are), term
+            low = np.uint64((1 << bits) - 1)
+            key = row[use].astype(np.uint64) << np.uint64(31 + bits) | (0x7FFFFFFF - w[use].view(np.int32)).astype(np.uint64) << np.uint64(bits) | term[use].astype(np.uint64)
+            key.sort()
+            ask_row, ask_term = (key >> np.uint64(31 + bits)).astype(np.int32), (key & low).astype(np.int64)
+        else:
+            use = use[np.lexsort((term[use], -w[use], row[use]))]
+            ask_row, ask_term = row[use], term[use]
+        first = np.searchsorted(ask_row, np.arange(self.n))
+        asked = np.arange(len(ask_row)) - first[ask_row] < query_terms
+        self.ask_row, self.ask_term = ask_row[asked], ask_term[asked]
         self.ask_at = np.searchsorted(self.ask_row, np.arange(self.n + 1))
-        by = np.argsort(term, kind="stable")
+        by = np.argsort(term.astype(np.uint16) if bits <= 16 else term, kind="stable")
         self.post_doc, self.post_w = row[by], w[by]
         self.post_at = np.concatenate([[0], np.cumsum(in_shard)])
 

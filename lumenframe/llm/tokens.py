@@ -10,6 +10,7 @@ through the library's whole chain of steps; texts that hold one of a vocabulary'
 
 from __future__ import annotations
 
+import codecs
 import gc
 import re
 import zlib
@@ -21,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import FIRST, LONG, eights, lean, partitions, ready, scratch, span_hashes
+from lumenframe.llm.common import FIRST, LONG, eights, lean, partitions, ready, runs, scratch, span_hashes
 
 #: Python takes these for white space, the library doesn't.
 ODD = re.compile(r"[\x1c-\x1f]")
@@ -35,10 +36,16 @@ BYTE_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{
 WORD_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
 
 
+#: The letter that a byte-level vocabulary has for each byte, and what stands between parts (never in plain ones, in lower case either).
+BYTE_LETTERS = "".join(chr(b) if b in {*range(33, 127), *range(161, 173), *range(174, 256)} else chr(256 + b - sum(x <= b for x in (*range(33, 127), *range(161, 173), *range(174, 256)))) for b in range(256))
+BETWEEN = "\u0250"
+BETWEEN_LETTERS = codecs.charmap_decode(BETWEEN.encode(), "strict", BYTE_LETTERS)[0]
 #: White space that isn't one ASCII byte, and characters that the two libraries class differently: such texts go piece by piece.
 WIDE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x00]")
 END = 0x1C  # between texts
-SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+SPACES = (9, 10, 11, 12, 13, 32)
+SPACE_TABLE = bytes(b in SPACES for b in range(256))
+TEXT_TABLE = bytes(b != END and b not in SPACES for b in range(256))
 
 
 class Pool:
@@ -138,6 +145,11 @@ class Encoder:
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 65536 else "<u4")
+        self.model, self.per_call = Tokenizer(self.tok.model), 1000  # a call's words: with more, its work grows faster than they do
+        suffix = getattr(self.tok.model, "end_of_word_suffix", None) or ""
+        self.id_bytes = np.zeros(self.tok.get_vocab_size(), np.int64)  # of text that an id stands for: a character of its name is a byte
+        for name, i in self.tok.get_vocab().items():
+            self.id_bytes[i] = len(name) - len(suffix) * (bool(suffix) and name.endswith(suffix))
         self.word = kind == "word"
         self.pieces, self.parts = (str.split, WORD_PARTS) if self.word else (BYTE_PIECES, BYTE_PARTS)
         self.pool, self.most_parts = Pool(self.dtype, bits), most_parts
@@ -151,6 +163,22 @@ class Encoder:
             blob, at = np.fromiter(chain.from_iterable(got), self.dtype, int(at[-1]) // self.dtype.itemsize).tobytes(), at.tolist()
             into.update(zip(part, (blob[a:z] for a, z in zip(at, at[1:]))))
 
+    def _run_parts(self, parts: list[str], into: dict[str, bytes]) -> None:
+        """Ids of parts of plain letters, many in a call of the library: each is a word of its own to it, written as its byte
+        letters. It gives one list of ids for all; where a part's ids end follows from the bytes that each id stands for."""
+        for i in range(0, len(parts), self.per_call):
+            some = parts[i : i + self.per_call]
+            raw = BETWEEN.join(some).encode()
+            words = codecs.charmap_decode(raw, "strict", BYTE_LETTERS)[0].split(BETWEEN_LETTERS)
+            ids = np.array(self.model.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, self.dtype)
+            ends, want = np.cumsum(self.id_bytes[ids]), np.cumsum([*map(len, words)])
+            at = np.searchsorted(ends, want)
+            if len(words) != len(some) or not len(ends) or ends[-1] != want[-1] or (ends[at] != want).any():  # a vocabulary without all bytes
+                self._run(self.bare, some, into)
+                continue
+            blob, at = ids.tobytes(), ((at + 1) * self.dtype.itemsize).tolist()
+            into.update(zip(some, [blob[a:z] for a, z in zip([0, *at], at)]))
+
     def learn(self, new: list[str]) -> list[bytes]:
         """Ids of pieces, in order."""
         whole, cut = [], []
@@ -171,7 +199,7 @@ class Encoder:
         known = self.part_cache
         missing = list({x for xs in cut if xs is not None for x in xs}.difference(known))
         here = known if len(known) + len(missing) <= self.most_parts else {}
-        self._run(self.bare, missing, here)
+        self._run_parts(missing, here)
         get = here.__getitem__ if here is known else lambda x: here[x] if x in here else known[x]
         odd: dict[str, bytes] = {}
         self._run(self.tok, whole, odd)
@@ -179,15 +207,11 @@ class Encoder:
 
     def spans(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the pieces of texts that END follows: the rules of BYTE_PIECES, or of a split at white space."""
-        space = SPACES[data]
-        text = ~space & (data != END)
-        edge = np.diff(text.astype(np.int8), prepend=0)
-        a, z = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]  # data ends with END
+        a, z = runs(data, TEXT_TABLE)  # data ends with END
         if self.word:
             return a, z
-        edge = np.diff(space.astype(np.int8), prepend=0)
-        ra, rz = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
-        before = text[rz]  # a word follows: it takes a last blank with it; what else is last stands alone
+        ra, rz = runs(data, SPACE_TABLE)
+        before = data[rz] != END  # a word follows: it takes a last blank with it; what else is last stands alone
         alone = before & (data[rz - 1] != 32)
         more = before & (rz - ra > 1)
         starts = np.concatenate([np.where((a > 0) & (data[a - 1] == 32), a - 1, a), ra[~before], ra[more], rz[alone] - 1])

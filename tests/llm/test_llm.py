@@ -49,6 +49,47 @@ def test_encoder_is_the_library(kind):
         assert got == np.array(lib.encode(t, add_special_tokens=False).ids, own.dtype).tobytes(), repr(t)
 
 
+@pytest.mark.parametrize("kind", ["word", "byte"])
+def test_parts_are_encoded_many_in_a_call(kind):
+    """Ids of parts from one call of the library for all are those of a call each, also where their ends can't be told."""
+    own = tokens.Encoder(public_tokenizers.path(FILES[kind]), kind)
+    own.per_call = 70
+    r = random.Random(6)
+    letters = "abcdeETS'.,!019éñüßſ\u0180\u0181\u01c5\u023a\u024f"
+    parts = list(dict.fromkeys([" " * (kind == "byte") * r.randint(0, 1) + "".join(r.choice(letters) for _ in range(r.randint(1, 12))) for _ in range(500)] + ["\n\n", "\t", " ", "x" * 3000]))
+    parts = parts if kind == "byte" else list(dict.fromkeys(p.strip().lower() for p in parts if p.strip()))
+    want, got, calls = {}, {}, []
+    own._run(own.bare, parts, want)
+    run, own._run = own._run, lambda tok, some, into: (calls.append(len(some)), run(tok, some, into))
+    own._run_parts(parts, got)
+    assert got == want and list(got) == parts and not calls
+    own.id_bytes = own.id_bytes + 1
+    got = {}
+    own._run_parts(parts, got)
+    assert got == want and sum(calls) == len(parts)
+
+
+@pytest.mark.parametrize("vocab", [300, (1 << 22) + 1])
+def test_shard_index(vocab):
+    """Terms, counts and the heaviest query terms of a shard against a count and a sort of each document; a vocabulary too large for one number, too."""
+    r = np.random.default_rng(8)
+    docs = [np.append(r.zipf(1.4, r.integers(0, 40)) % vocab, 1).astype(np.uint32) for _ in range(1024)]
+    idf, mean = (r.integers(1, 9, vocab) / 4).astype(np.float32), 20.0
+    got = packing.Shard(docs, idf, mean, 5)
+    held = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=vocab)
+    assert np.array_equal(np.diff(got.post_at), held)
+    posts = []
+    for i, d in enumerate(docs):
+        t, tf = np.unique(d, return_counts=True)
+        w = (idf[t] * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(d) / mean))).astype(np.float32)
+        posts += zip(t.tolist(), [i] * len(t), w.tolist())
+        some = held[t] > 1
+        best = t[some][np.lexsort((t[some], -w[some]))][:5]
+        assert got.ask_term[got.ask_at[i] : got.ask_at[i + 1]].tolist() == best.tolist()
+    posts.sort()
+    assert got.post_doc.tolist() == [i for _, i, _ in posts] and np.allclose(got.post_w, [w for *_, w in posts], rtol=1e-6)
+
+
 @pytest.mark.parametrize("kind", ["word", "byte"])
 def test_encoder_tells_like_words_apart(kind):
     """Thue-Morse words and their complements, which polynomial hashes modulo 2^64 confuse; and pieces whose hashes are made equal."""
